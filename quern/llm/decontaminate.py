@@ -109,8 +109,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **optio
 #: Plain SQL with the same result: every document is laid against every benchmark window
 #: by equality of the masked tokens.
 SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
-b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS v FROM benchmark WHERE item_id IS NOT NULL),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS v FROM benchmark WHERE item_id IS NOT NULL),
 dp AS (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS i FROM d WHERE len(w) >= 10),
 bp AS (SELECT item_id, v, unnest(range(1, len(v) - 8)) AS j FROM b WHERE len(v) >= 10),
 ds AS (
@@ -123,7 +123,7 @@ bs AS (
   UNION ALL SELECT item_id, j, 2, concat_ws(' ', v[j], v[j+1], v[j+2], v[j+3], v[j+5], v[j+6], v[j+8], v[j+9]) FROM bp),
 h AS (SELECT DISTINCT doc_id, item_id, i - j AS start FROM ds JOIN bs USING (k, s)),
 e AS (SELECT doc_id, item_id, start, len(v) AS n_item,
-             len(list_filter(range(1, len(v) + 1), x -> start + x >= 1 AND w[greatest(start + x, 1)] = v[x])) AS n_equal
+             len(list_filter(range(1, len(v) + 1), lambda x: start + x >= 1 AND w[greatest(start + x, 1)] = v[x])) AS n_equal
       FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, start) AS rank
       FROM e WHERE n_equal >= 10 AND n_equal >= 0.8 * n_item)

@@ -13,19 +13,19 @@ is an expression over the stored posteriors, never a table that is written and r
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored
+from quern.llm.common import BROADCAST_BYTES, stored
 
 #: Word weights are kept for this many hash buckets, so the model has a fixed size.
 BUCKETS = 4096
 #: Default share of the mixed tokens for each domain (quality x toxicity).
-TARGETS = {"good": 0.70, "poor": 0.25, "good-toxic": 0.03, "poor-toxic": 0.02}
+TARGETS = {"good": 0.80, "poor": 0.14, "good-toxic": 0.04, "poor-toxic": 0.02}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -34,81 +34,100 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.where("quality is not null and toxic is not null and doc_id is not null").select("doc_id", name.alias("domain")).distinct()
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def _matrix(rows: list[list[float]]) -> Column:
+    """A literal array<array<double>>; the optimizer folds it to one constant."""
+    return F.expr("array(" + ",".join("array(" + ",".join(f"{x!r}D" for x in map(float, r)) + ")" for r in rows) + ")")
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def bags(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n_tokens, buckets): how many words, and which hash buckets they fall in.
+
+    A document counts a bucket once, so a long text does not outweigh the others.
+    """
+    words = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+")
+    words = docs.select(F.col(id_col).alias("id"), F.filter(words, lambda w: w != "").alias("words"))
+    return words.select("id", F.size("words").cast("long").alias("n_tokens"), F.array_distinct(F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))).alias("buckets"))
 
 
-def word_weights(docs: DataFrame, domains: DataFrame, names: list[str], smoothing: float = 1.0) -> tuple[list[list[float]], list[float]]:
-    """log P(bucket | domain) as BUCKETS x domains, and log P(domain).
+def word_weights(bags: DataFrame, domains: DataFrame, names: list[str], pooled: float = 10.0) -> tuple[list[list[float]], list[float]]:
+    """log P(bucket | domain) / P(bucket) as BUCKETS x domains, and log P(domain).
 
     Counted over all labelled documents; collects BUCKETS x domains numbers, a fixed size.
-    Each document counts a bucket once, so a long text does not outweigh the others.
+    ``pooled`` documents of the corpus's own rates are added to each domain, so a domain
+    with few labels says little.
     """
-    known = domains.where(F.col("domain").isin(names)).select(F.col("doc_id").alias("known_id"), "domain")
-    seen = docs.join(known, docs["_id"] == known["known_id"]).select("domain", F.explode(F.array_distinct(F.transform("_words", _bucket))).alias("bucket"))
-    counts = {(r["domain"], r["bucket"]): r["n"] for r in seen.groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = domains.where(F.col("domain").isin(names)).select(F.col("doc_id").alias("id"), "domain")
     rows = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    weights = [[math.log((counts.get((d, b), 0) + smoothing) / (rows.get(d, 0) + 2 * smoothing)) for d in names] for b in range(BUCKETS)]
+    if sum(rows.values()) * 40 <= BROADCAST_BYTES:
+        known = F.broadcast(known)
+    seen = bags.select("id", "buckets").join(known, "id").select("domain", F.explode("buckets").alias("bucket"))
+    counts = {(r["domain"], r["bucket"]): r["n"] for r in seen.groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = [sum(counts.get((d, b), 0) for b in range(BUCKETS)) for d in names]
+    every = sum(sizes) + BUCKETS
+    extra = pooled * every / max(sum(rows.values()), 1)
+    weights = []
+    for b in range(BUCKETS):
+        share = (sum(counts.get((d, b), 0) for d in names) + 1) / every
+        weights.append([math.log((counts.get((d, b), 0) + extra * share) / (size + extra) / share) for d, size in zip(names, sizes, strict=True)])
     total = sum(rows.values()) + len(names)
     return weights, [math.log((rows.get(d, 0) + 1) / total) for d in names]
 
 
 def posteriors(docs: DataFrame, domains: DataFrame, names: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, n_tokens, p): p holds the posterior of each of ``names``, in that order."""
-    words = docs.select(F.col(id_col).alias("_id"), _words(F.col(text_col)).alias("_words"))
-    weights, prior = word_weights(words, domains, names)
-    # Evidence against the mean domain, so that a word common to all says nothing.
-    centred = [[w - sum(ws) / len(ws) for w in ws] for ws in weights]
-    model = F.from_json(F.lit(json.dumps([list(column) for column in zip(*centred, strict=True)])), "array<array<double>>")
-    scored = words.select("_id", F.size("_words").cast("long").alias("n_tokens"), F.array_distinct(F.transform("_words", _bucket)).alias("buckets"))
-    n = F.greatest(F.size("buckets"), F.lit(1))
-    scores = [
-        F.lit(prior[k]) + F.aggregate("buckets", F.lit(0.0), lambda s, b, k=k: s + F.get(F.get(model, F.lit(k)), b)) / F.sqrt(n)
-        for k in range(len(names))
-    ]
-    scored = scored.select("_id", "n_tokens", F.array(*scores).alias("s"))
-    scored = scored.select("_id", "n_tokens", F.transform("s", lambda x: F.exp(x - F.array_max("s"))).alias("e"))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return scored.select("_id", "n_tokens", F.transform("e", lambda x: x / total).alias("p"))
-
-
-def fit_rates(p: DataFrame, targets: list[float], steps: int = 200, tolerance: float = 1e-6) -> tuple[Column, list[float]]:
-    """Rates from projected gradient on sum_d w_d (S_d - T_d)^2, S_d the expected tokens.
-
-    ``p`` has n_tokens and p.  Starts at rate 1.  w_d is one over the tokens of domain d
-    at the start, so rare domains converge as fast as common ones; the step is one over
-    the Lipschitz bound for the token-weighted inner product.  Stops when each domain is
-    within ``tolerance`` of the total tokens.  Returns the rate as a column over ``p``,
-    and S.
+    """(id, n_tokens, p): p holds the posterior of each of ``names``, in that order.
+
+    The log odds of a document are the mean evidence of its buckets times the root of
+    their number, so that long texts do not become certain by length alone.
+    """
+    rows = stored(bags(docs, id_col, text_col), "bags").withColumn("row", F.monotonically_increasing_id())
+    weights, prior = word_weights(rows, domains, names)
+    model = [(b, *ws) for b, ws in enumerate(weights)]
+    values = ",".join("(" + ",".join([str(b), *(f"{w!r}D" for w in ws)]) + ")" for b, *ws in model)
+    model = docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(bucket, {', '.join(f'w{k}' for k in range(len(names)))})")
+    each = rows.select("row", "id", "n_tokens", F.explode_outer("buckets").alias("bucket")).join(F.broadcast(model), "bucket", "left")
+    sums = [(F.lit(prior[k]) + F.coalesce(F.sum(f"w{k}"), F.lit(0.0)) / F.sqrt(F.count(F.lit(1)))).alias(f"s{k}") for k in range(len(names))]
+    scored = each.groupBy("row", "id", "n_tokens").agg(*sums)
+    top = F.greatest(*[F.col(f"s{k}") for k in range(len(names))]) if len(names) > 1 else F.col("s0")
+    scored = scored.select("id", "n_tokens", *[F.exp(F.col(f"s{k}") - top).alias(f"e{k}") for k in range(len(names))])
+    total = sum((F.col(f"e{k}") for k in range(1, len(names))), F.col("e0"))
+    return scored.select("id", "n_tokens", F.array(*[F.col(f"e{k}") / total for k in range(len(names))]).alias("p"))
+
+
+def fit_rates(p: DataFrame, targets: list[float], steps: int = 60, tolerance: float = 1e-4) -> tuple[Column, list[float]]:
+    """Rates by projected gradient on (S - T)' W (S - T), S the expected tokens by domain.
+
+    ``p`` has n_tokens and p.  Starts at rate 1.  W is the inverse of the token-weighted
+    second moment of the posteriors; with it the gradient's Lipschitz bound is 1 in the
+    token-weighted inner product, so the step is 1 and overlapping or rare domains do not
+    slow the descent.  Stops when each domain is within ``tolerance`` of the total tokens.
+    Returns the rate as a column over ``p``, and S.
     """
     k = len(targets)
     term = lambda rate: [F.sum(rate * F.col("n_tokens") * F.get("p", F.lit(j))) for j in range(k)]
     second = [F.sum(F.col("n_tokens") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))) for i in range(k) for j in range(k)]
     first = p.agg(*[c.alias(f"c{i}") for i, c in enumerate([*term(F.lit(1.0)), *second])]).first()
-    start = [float(x or 0.0) for x in first[:k]]
-    total = sum(start)
+    sums = [float(x or 0.0) for x in first[:k]]
+    total = sum(sums)
     rate: Column = F.lit(1.0)
     if total <= 0:
-        return rate, start
-    goal = [t * total for t in targets]
-    weight = [1.0 / max(s, total * 1e-9) for s in start]
-    bound = max(sum(abs(float(first[k + i * k + j] or 0.0)) * math.sqrt(weight[i] * weight[j]) for j in range(k)) for i in range(k))
-    sums, past = start, []
+        return rate, sums
+    moment = np.array([float(x or 0.0) for x in first[k:]]).reshape(k, k)
+    metric = np.linalg.inv(moment + np.eye(k) * total * 1e-9)
+    goal = np.array([t * total for t in targets])
+    past: list[list[float]] = []
     for _ in range(steps):
-        if max(abs(s - g) for s, g in zip(sums, goal, strict=True)) <= tolerance * total:
+        if np.abs(sums - goal).max() <= tolerance * total:
             break
-        past.append([w * (s - g) / bound for w, s, g in zip(weight, sums, goal, strict=True)])
-        trail = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in past])
-        rate = F.aggregate(
-            trail, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - sum((F.get(F.col("p"), F.lit(j)) * F.get(g, F.lit(j)) for j in range(1, k)), F.get(F.col("p"), F.lit(0)) * F.get(g, F.lit(0))))
-        )
-        row = p.agg(*[c.alias(f"c{i}") for i, c in enumerate(term(rate))]).first()
-        sums = [float(x or 0.0) for x in row]
-    return rate, sums
+        past.append((metric @ (sums - goal)).tolist())
+        trail = _matrix(past)
+
+        def step(r: Column, g: Column) -> Column:
+            return F.greatest(F.lit(0.0), r - sum((F.get(F.col("p"), F.lit(j)) * F.get(g, F.lit(j)) for j in range(1, k)), F.get(F.col("p"), F.lit(0)) * F.get(g, F.lit(0))))
+
+        rate = F.aggregate(trail, F.lit(1.0), step)
+        row = p.select("n_tokens", "p", rate.alias("rate")).agg(*[c.alias(f"c{i}") for i, c in enumerate(term(F.col("rate")))]).first()
+        sums = np.array([float(x or 0.0) for x in row])
+    return rate, list(sums)
 
 
 def mix(
@@ -117,7 +136,7 @@ def mix(
     targets: Mapping[str, float] = TARGETS,
     id_col: str = "doc_id",
     text_col: str = "text",
-    steps: int = 200,
+    steps: int = 60,
 ) -> DataFrame:
     """A nonnegative rate for each document, so that domains reach their target tokens.
 
@@ -138,5 +157,5 @@ def mix(
     rate, _ = fit_rates(p, [targets[d] / share for d in names], steps)
     best = F.get(F.array(*[F.lit(d) for d in names]), F.array_position("p", F.array_max("p")).cast("int") - 1)
     return p.select(
-        F.col("_id").alias(id_col), "n_tokens", best.alias("domain"), F.col("p").alias("posterior"), rate.alias("rate"), (rate * F.col("n_tokens")).alias("mixed_tokens")
+        F.col("id").alias(id_col), "n_tokens", best.alias("domain"), F.col("p").alias("posterior"), rate.alias("rate"), (rate * F.col("n_tokens")).alias("mixed_tokens")
     )

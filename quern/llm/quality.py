@@ -31,6 +31,9 @@ _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _BYTE = np.random.default_rng(991).integers(1, 2**63, 256, dtype=np.uint64)
 SHAPES = 8
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1
+_KIND[65:91], _KIND[48:58], _KIND[10], _KIND[128:] = 2, 3, 4, 5
 
 
 def word_buckets(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,74 +57,86 @@ def word_buckets(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[n
     return (hashes & _U(buckets - 1)).astype(np.int64), np.searchsorted(offsets, starts, side="right") - 1
 
 
-def shapes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Shares of kinds of bytes, and the variety of words, of each text."""
+def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct buckets of each text with the index of their text, and the text's shape:
+    shares of kinds of bytes, length and variety of words."""
     n = len(offsets) - 1
     size = np.maximum(np.diff(offsets), 1).astype(float)
-
-    def share(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(mask)))
+    grams, owner = word_buckets(data, offsets, buckets)
+    words = np.bincount(owner, minlength=n)
+    pairs = np.sort(owner * buckets + grams)
+    if len(pairs):
+        pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))]
+    owner, grams = pairs // buckets, pairs % buckets
+    distinct = np.bincount(owner, minlength=n)
+
+    def share(kind: int) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(_KIND[data] == kind, dtype=np.int64)))
         return (total[offsets[1:]] - total[offsets[:-1]]) / size
 
-    punct = ((data > 32) & (data < 48)) | ((data > 57) & (data < 65)) | ((data > 90) & (data < 97)) | ((data > 122) & (data < 127))
-    upper = (data > 64) & (data < 91)
-    digit = (data > 47) & (data < 58)
-    line = data == 10
-    grams, owner = word_buckets(data, offsets, 1 << 20)
-    words = np.bincount(owner, minlength=n)
-    distinct = np.bincount(np.unique(owner * (1 << 20) + grams) >> 20, minlength=n) if len(grams) else np.zeros(n)
-    return np.stack(
-        [share(punct) * 5, share(upper) * 5, share(digit) * 5, share(line) * 20, share(data > 127) * 2, distinct / np.maximum(words, 1), np.minimum(np.log1p(words) / 10, 2), np.minimum(words / size, 1) * 4], axis=1
-    )
+    shape = [share(1) * 5, share(2) * 5, share(3) * 5, share(4) * 20, share(5) * 2, distinct / np.maximum(words, 1), np.minimum(np.log1p(words) / 10, 2), np.minimum(words / size, 1) * 4]
+    return grams, owner, np.stack(shape, axis=1)
 
 
 @dataclass(frozen=True)
 class Classifier:
-    """log odds = bias + mean over distinct buckets x sqrt(count) + shape weights."""
+    """log odds = bias + weights of the distinct buckets + shape weights; one column a label."""
 
     weights: np.ndarray
     shape_weights: np.ndarray
-    bias: np.ndarray  # one per label
+    bias: np.ndarray
 
     def log_odds(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
-        grams, owner = word_buckets(data, offsets, len(self.weights))
-        pairs = np.unique(owner * len(self.weights) + grams)
-        owner, grams = pairs // len(self.weights), pairs % len(self.weights)
-        scale = 1 / np.sqrt(np.maximum(np.bincount(owner, minlength=n), 1))
-        out = shapes(data, offsets) @ self.shape_weights + self.bias
+        grams, owner, shape = features(data, offsets, len(self.weights))
+        out = shape @ self.shape_weights + self.bias
         for k in range(out.shape[1]):
-            out[:, k] += np.bincount(owner, weights=self.weights[grams, k], minlength=n) * scale
+            out[:, k] += np.bincount(owner, weights=self.weights[grams, k], minlength=n)
         return out
 
 
-def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 16, epochs: int = 15, rate: float = 0.5, decay: float = 1e-4, seed: int = 3) -> Classifier:
-    """Logistic regression for each column of ``labels`` by AdaGrad over distinct words."""
-    k = labels.shape[1]
-    w, sw, bias = np.zeros((buckets, k)), np.zeros((SHAPES, k)), np.zeros(k)
-    gw, gs, gb = np.full((buckets, k), 1e-3), np.full((SHAPES, k), 1e-3), np.full(k, 1e-3)
+def train(texts: list[str], labels: np.ndarray, buckets: int = 1 << 20, epochs: int = 15, rate: float = 0.3, least_z: float = 5.0, seed: int = 3) -> Classifier:
+    """Logistic regression for each column of ``labels`` by AdaGrad.
+
+    Only buckets whose share of texts differs between the classes by ``least_z`` standard
+    errors get a weight, so the many rare words of a long text cannot drown the few that
+    matter.
+    """
+    k, n = labels.shape[1], len(texts)
     bags = []
     for t in texts:
         raw = np.frombuffer(t.encode(), np.uint8)
-        off = np.array([0, len(raw)])
-        b = np.unique(word_buckets(raw, off, buckets)[0])
-        bags.append((b, 1 / np.sqrt(max(len(b), 1)), shapes(raw, off)[0]))
+        grams, _, shape = features(raw, np.array([0, len(raw)]), buckets)
+        bags.append((grams, shape[0]))
+    w = np.zeros((buckets, k), np.float32)
+    sw, bias = np.zeros((SHAPES, k)), np.zeros(k)
+    share = np.clip(labels.mean(axis=0), 0.02, 0.98) if n else np.full(k, 0.5)
+    bias += np.log(share / (1 - share))
+    every = np.bincount(np.concatenate([b for b, _ in bags]), minlength=buckets) if n else np.zeros(buckets)
+    chosen = np.zeros((buckets, k), bool)
+    for j in range(k):
+        n1 = labels[:, j].sum()
+        if 0 < n1 < n:
+            ones = np.bincount(np.concatenate([b for (b, _), y in zip(bags, labels[:, j], strict=True) if y]), minlength=buckets)
+            p = every / n
+            z = (ones / n1 - (every - ones) / (n - n1)) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / (n - n1)))
+            chosen[:, j] = (np.abs(z) >= least_z) & (every >= 5)
+    rows = [(b[chosen[b].any(axis=1)], x) for b, x in bags]
+    gw, gs, gb = np.full((buckets, k), 1e-2, np.float32), np.full((SHAPES, k), 1e-2), np.full(k, 1e-2)
     rng = np.random.default_rng(seed)
-    rate_w = np.clip(labels.mean(axis=0), 0.02, 0.98) if len(labels) else np.full(k, 0.5)
-    bias += np.log(rate_w / (1 - rate_w))
     for _ in range(epochs):
-        for i in rng.permutation(len(bags)):
-            b, s, x = bags[i]
-            z = bias + x @ sw + w[b].sum(axis=0) * s
+        for i in rng.permutation(n):
+            b, x = rows[i]
+            z = bias + x @ sw + w[b].sum(axis=0)
             g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i]
-            gr = g * s + decay * w[b]
+            gr = g * chosen[b]
             gw[b] += gr**2
             w[b] -= rate * gr / np.sqrt(gw[b])
             go = np.outer(x, g)
             gs += go**2
-            sw -= rate * 0.2 * go / np.sqrt(gs)
+            sw -= rate * 0.3 * go / np.sqrt(gs)
             gb += g**2
-            bias -= rate * 0.2 * g / np.sqrt(gb)
+            bias -= rate * 0.3 * g / np.sqrt(gb)
     return Classifier(w, sw, bias)
 
 
