@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import class_lm as _lm
 from quern.llm import decontaminate as _bench
 from quern.llm import exact_dedup as _exact
 from quern.llm import html_text as _html
+from quern.llm import jaccard_join as _jaccard
 from quern.llm import langid as _langid
+from quern.llm import license_scan as _license
 from quern.llm import mixing as _mixing
 from quern.llm import quality as _quality
 from quern.llm.common import remainder, table
@@ -30,6 +33,20 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _license.scan(table(spark, sf_dir, "documents"))[0]
+
+
+def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jaccard.components(table(spark, sf_dir, "documents"))
+
+
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    found = _lm.score(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(table(spark, sf_dir, "documents"), _mixing.label_domains(table(spark, sf_dir, "labels")))
 
