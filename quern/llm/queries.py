@@ -16,6 +16,7 @@ from quern.llm import langid as _langid
 from quern.llm import license_scan as _license
 from quern.llm import mixing as _mixing
 from quern.llm import quality as _quality
+from quern.llm import suffix_dedup as _suffix
 from quern.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_longest_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _suffix.remove(table(spark, sf_dir, "documents"), keep="none")
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _license.scan(table(spark, sf_dir, "documents"))[0]
 
