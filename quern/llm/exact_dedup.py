@@ -91,6 +91,27 @@ def exact_dedup(
     )
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The input rows, all columns as they are, that ``exact_dedup`` keeps, once each.
+
+    Rows whose id is null or not unique are told apart by their digest, and of rows with
+    the same id and text one stays.  All other rows are matched by id alone, against the
+    dropped ids; these are broadcast while measured to be few.
+    """
+    found = stored(exact_dedup(docs, id_col, text_col, **options).select(F.col(id_col).alias("_q_id"), "kept", F.col("text_sha256").alias("_q_sha")), "copies")
+    odd = stored(found.groupBy("_q_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 and _q_id is not null").select("_q_id"), "odd_ids")
+    gone = stored(found.where("not kept and _q_id is not null").join(odd, "_q_id", "left_anti").select("_q_id"), "gone")
+    fit = lambda df: F.broadcast(df) if df.count() * 16 <= BROADCAST_BYTES else df
+    gone, odd = fit(gone), fit(odd)
+    same = docs[id_col] == F.col("_q_id")
+    plain = docs.where(F.col(id_col).isNotNull()).join(gone, same, "left_anti").join(odd, same, "left_anti")
+    rest = docs.where(F.col(id_col).isNull()).unionByName(docs.join(odd, same, "left_semi"))
+    rest = rest.withColumn("_q_digest", F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256))
+    stays = found.where("kept").select("_q_id", "_q_sha").distinct()
+    rest = rest.join(stays, F.col("_q_digest").eqNullSafe(F.col("_q_sha")) & F.col(id_col).eqNullSafe(F.col("_q_id")), "left_semi").dropDuplicates([id_col, "_q_digest"])
+    return plain.unionByName(rest.drop("_q_digest"))
+
+
 SQL = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256

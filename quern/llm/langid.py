@@ -182,3 +182,18 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean")
     return found.select(F.col("id").alias(id_col), "lang_pred", "score", "rejected")
+
+
+def accepted(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose language the model does not reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in slices(batches, text_col):
+            if model is None:
+                continue
+            p, letters = model.scores(*text_buffers(batch.column(batch.schema.get_field_index(text_col))))
+            yield batch.filter(pa.array(letters & (p.max(axis=1) >= model.threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
