@@ -177,7 +177,7 @@ def _one_group(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], max_ro
         label[label < 0] = pd.NA
         return pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy(), "label": label})
 
-    return _vectors(df).groupBy(F.lit(0)).applyInPandas(run, "vec_id long, label long")
+    return _vectors(df).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "vec_id long, label long")
 
 
 def ward(df: DataFrame, eps: float, min_size: int = 2, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -278,6 +278,6 @@ def pairwise_map(df: DataFrame, assign: DataFrame, limit: int = 1200) -> DataFra
     rows = rows.join(small, "cluster_id").select("cluster_id", "embedding", place.alias("i"))
     other = rows.select("cluster_id", F.col("embedding").alias("other"), F.col("i").alias("j"))
     pairs = rows.join(other, "cluster_id").where("i <> j").select("cluster_id", "i", "j", F.round(V.l2("embedding", "other"), 6).alias("d"))
-    entry = lambda k, v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v))))
+    entry = lambda k, v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), F.col(v).alias("v"))), lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)))
     inner = pairs.groupBy("cluster_id", "i").agg(entry("j", "d").alias("row"))
     return inner.groupBy("cluster_id").agg(F.to_json(entry("i", "row")).alias("pairwise"))

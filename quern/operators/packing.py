@@ -117,7 +117,7 @@ def fill_groups(df: DataFrame, assign: DataFrame, size: int = 10, method: str =
         seq += spare
         return pd.DataFrame({"pos": np.arange(len(seq)), "vec_id": pdf["vec_id"].to_numpy()[seq], "cluster_id": pdf["cluster_id"].to_numpy()[seq]})
 
-    return rows.groupBy(F.lit(0)).applyInPandas(run, "pos long, vec_id long, cluster_id long")
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "pos long, vec_id long, cluster_id long")
 
 
 def insertion_slots(base: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -200,4 +200,4 @@ def cluster_sort(df: DataFrame, assign: DataFrame, size: int = 10, max_rows: int
             shift.append((s, n))
         return pd.DataFrame({"pos": np.arange(len(seq)), "vec_id": ids[seq], "cluster_id": of[seq]})
 
-    return rows.groupBy(F.lit(0)).applyInPandas(run, "pos long, vec_id long, cluster_id long")
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "pos long, vec_id long, cluster_id long")

@@ -57,7 +57,7 @@ _D = f"{_V}, d AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.x, b
 _E = f"{_D}, e AS (SELECT src, dst, dist FROM d WHERE dist < {EPS})"
 _KNN = "knn AS (SELECT src, dst, dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM d) WHERE rank <= {k})"
 _REACH = "reach(node, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.node, g.dst FROM reach r JOIN g ON g.src = r.other), comp AS (SELECT node AS vec_id, min(other) AS label FROM reach GROUP BY node)"
-_NUMBER = "sized AS (SELECT label, count(*) AS n FROM comp GROUP BY label HAVING count(*) >= {m}), num AS (SELECT label, row_number() OVER (ORDER BY label) AS cluster_id FROM sized) SELECT v.vec_id, num.cluster_id FROM v LEFT JOIN comp USING (vec_id) LEFT JOIN num USING (label)"
+_NUMBER = "sized AS (SELECT label, count(*) AS n FROM comp GROUP BY label HAVING count(*) >= {m}), num AS (SELECT label, row_number() OVER (ORDER BY label) AS cluster_id FROM sized) SELECT v.vec_id, num.cluster_id FROM v LEFT JOIN comp USING (vec_id) LEFT JOIN num ON num.label = comp.label"
 _O = f"{_V}, o AS (SELECT vec_id, x, label, row_number() OVER (ORDER BY label, vec_id) - 1 AS pos FROM v)"
 _STEP = "s AS (SELECT a.pos, list_distance(a.x, b.x) AS dist FROM o a JOIN o b ON b.pos = a.pos + 1)"
 _NORM = "CASE WHEN sqrt(list_sum([z * z for z in {v}])) > 0 THEN [z / sqrt(list_sum([z * z for z in {v}])) for z in {v}] ELSE {v} END"
@@ -172,7 +172,7 @@ def rank_mutual(spark, d):
     "again(node, other) AS (SELECT src, src FROM h UNION SELECT r.node, h.dst FROM again r JOIN h ON h.src = r.other), "
     "comp2 AS (SELECT vec_id, label FROM comp WHERE label NOT IN (SELECT label FROM big) UNION ALL SELECT node, min(other) FROM again GROUP BY node), "
     "sized AS (SELECT label, count(*) AS n FROM comp2 GROUP BY label HAVING count(*) >= 2), num AS (SELECT label, row_number() OVER (ORDER BY label) AS cluster_id FROM sized) "
-    "SELECT v.vec_id, num.cluster_id FROM v LEFT JOIN comp2 USING (vec_id) LEFT JOIN num USING (label)"
+    "SELECT v.vec_id, num.cluster_id FROM v LEFT JOIN comp2 USING (vec_id) LEFT JOIN num ON num.label = comp2.label"
 )
 def adaptive_graph(spark, d):
     return C.adaptive_graph(_embeddings(spark, d), EPS, 2)

@@ -65,7 +65,7 @@ def load_features(known: DataFrame, found: DataFrame | None = None) -> DataFrame
 def rebased(known: DataFrame, old_root: str, new_root: str, found: DataFrame | None = None, key: str = "filename") -> DataFrame:
     """Adds ``new_path`` and ``status``: moved, skipped (outside the root, or the new path is
     taken), or missing (no file at the new path, if ``found`` tells)."""
-    old, new = old_root.rstrip("/") + "/", new_root.rstrip("/") + "/"
+    old, new = (r if r.endswith("/") else r + "/" for r in (old_root, new_root))
     to = F.when(F.col(key).startswith(old), F.concat(F.lit(new), F.substring(F.col(key), F.lit(len(old) + 1), F.length(key))))
     rows = known.withColumn("new_path", to)
     taken = known.select(F.col(key).alias("_taken")).distinct()
