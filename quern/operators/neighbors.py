@@ -93,6 +93,8 @@ def _pairs(queries: DataFrame, base: DataFrame, kernel, broadcast_bytes: int) ->
     right = base.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), block.alias("j"))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:  # an empty side comes without columns
+            return pa.Table.from_batches([batch_of((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))])
         return pa.Table.from_batches([batch_of(kernel(left.column("id").to_numpy(), _matrix(left.column("v")), right.column("id").to_numpy(), _matrix(right.column("v"))))])
 
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, schema)
