@@ -36,9 +36,8 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fits a rate for each document; documents with rate 0 are not in the mix."""
-    rates = mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")))
-    return rates.where("rate > 0")
+    """Fits a rate for each document, by which its tokens count in the mix; none is dropped."""
+    return mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")))
 
 
 STAGES = [
