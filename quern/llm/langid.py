@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quern.llm.bytescan import mix, slices, text_buffers
 
 UNDETERMINED = "und"
-#: Letters: ASCII letters, and any byte of a character outside ASCII.
+#: Bytes kept in n-grams: ASCII letters, and any byte of a character outside ASCII.
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _FOLD = np.where(_LETTER, np.arange(256), 32).astype(np.uint8)
@@ -57,6 +57,19 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[
     return np.concatenate(out), np.concatenate(own)
 
 
+def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each text has a letter; only texts without an ASCII letter are decoded."""
+
+    def any_of(mask: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(mask)))
+        return total[offsets[1:]] > total[offsets[:-1]]
+
+    found = any_of(_LETTER[data] & (data < 128))
+    for i in np.flatnonzero(~found & any_of(data > 127)).tolist():
+        found[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "ignore"))
+    return found
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     languages: list[str]
@@ -77,8 +90,7 @@ class LanguageModel:
         logits /= self.temperature
         logits -= logits.max(axis=1, keepdims=True)
         p = np.exp(logits)
-        letters = np.concatenate(([0], np.cumsum(_LETTER[data])))
-        return p / p.sum(axis=1, keepdims=True), letters[offsets[1:]] > letters[offsets[:-1]]
+        return p / p.sum(axis=1, keepdims=True), has_letter(data, offsets)
 
 
 def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, dims: int = 16, epochs: int = 12, rate: float = 4.0, reject: float = 0.001, seed: int = 7) -> LanguageModel | None:

@@ -14,7 +14,7 @@ def test_language_held_out(spark, sf):
     rows = langid.predict(d, model).join(d.select("doc_id", "lang"), "doc_id").where(held).collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.97
     assert all(0 <= r["score"] <= 1 for r in rows)
-    odd = docs(spark, [None, "", "123 ...", "é"], [1, 2, 3, None])
+    odd = docs(spark, [None, "", "123 \u2014 \u20ac...", "é"], [1, 2, 3, None])
     got = [(r["lang_pred"], r["score"]) for r in langid.predict(odd, model).orderBy("doc_id").collect()]
     assert sum(g == ("und", 0.0) for g in got) == 3
     assert langid.accepted(odd.withColumnRenamed("lang", "score"), model).count() <= 1
