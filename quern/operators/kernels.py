@@ -406,3 +406,21 @@ def tree_order(n: int, edges: list[tuple[float, int, int]], beta: float = 0.3, g
                 kids.append((w + beta * onward - gamma * size[v], v))
         stack += [v for _, v in sorted(kids, reverse=True)]
     return out
+
+
+def best_reversal(x: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """The one reversal between fixed ends that shortens the path most, if any does."""
+    m = len(path)
+    if m < 4:
+        return path
+    d = distances(x)
+    i, j = np.triu_indices(m - 1, 1)
+    keep = i >= 1
+    i, j = i[keep], j[keep]
+    gain = d[path[i - 1], path[i]] + d[path[j], path[j + 1]] - d[path[i - 1], path[j]] - d[path[i], path[j + 1]]
+    best = int(gain.argmax()) if len(gain) else -1
+    if best < 0 or gain[best] <= 1e-6:
+        return path
+    out = path.copy()
+    out[i[best] : j[best] + 1] = out[i[best] : j[best] + 1][::-1]
+    return out

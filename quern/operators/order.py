@@ -167,3 +167,34 @@ def repaired(order: DataFrame, nodes: DataFrame) -> DataFrame:
     known = first.join(nodes.select("vec_id"), "vec_id", "left_semi")
     key = F.struct(F.col("at").isNull().alias("late"), F.col("at"), F.col("vec_id"))
     return ranked(known.unionByName(lacking).withColumn("key", key), "key", "rank").select((F.col("rank") - 1).alias("pos"), "vec_id")
+
+
+def polish_longest(df: DataFrame, order: DataFrame, edges: int = 300, reach: int = 68) -> DataFrame:
+    """One reversal in each window of ``reach`` positions around the longest steps.
+
+    Overlapping windows are merged; at most ``edges`` windows are listed on the driver.  The
+    path never gets longer.
+    """
+    from quern.operators.metrics import steps
+
+    rows = order.join(_vectors(df), "vec_id")
+    longest = [r["pos"] for r in steps(rows).orderBy(F.desc("dist"), "pos").limit(edges).collect()]
+    windows: list[list[int]] = []
+    for p in sorted(longest):
+        low, high = max(0, p - reach), p + reach
+        if windows and low <= windows[-1][1]:
+            windows[-1][1] = max(windows[-1][1], high)
+        else:
+            windows.append([low, high])
+    if not windows:
+        return order
+    listed = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(windows)], "w int, low long, high long")
+    placed = rows.join(F.broadcast(listed), F.col("pos").between(F.col("low"), F.col("high")), "left")
+
+    def improve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        best = kernels.best_reversal(np.stack(pdf["embedding"].to_list()), np.arange(len(pdf)))
+        return pd.DataFrame({"pos": pdf["pos"].to_numpy(), "vec_id": pdf["vec_id"].to_numpy()[best]})
+
+    inside = placed.where("w is not null").groupBy("w").applyInPandas(improve, "pos long, vec_id long")
+    return inside.unionByName(placed.where("w is null").select("pos", "vec_id"))

@@ -437,6 +437,19 @@ def two_opt(spark, d):
     return O.block_two_opt(df, _by_label(df))
 
 
+@_query()
+def polish_longest(spark, d):
+    df = _embeddings(spark, d)
+    return O.polish_longest(df, _by_label(df))
+
+
+@_query()
+def graph_components(spark, d):
+    """Sizes of the components of the mutual neighbour graph."""
+    df = _embeddings(spark, d)
+    return O.component_sizes(O.neighbor_graph(df, 5), df)
+
+
 @_query()
 def refine(spark, d):
     df = _embeddings(spark, d)

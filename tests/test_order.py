@@ -31,6 +31,8 @@ def test_orders_are_permutations_and_two_opt_never_lengthens(spark, blobs):
         assert sorted(path) == list(range(len(x)))
         better = positions(O.block_two_opt(df, order, 20, 15))
         assert sorted(better) == sorted(path) and length(x, better) <= length(x, path) + 1e-9
+        polished = positions(O.polish_longest(df, order, 5, 8))
+        assert sorted(polished) == sorted(path) and length(x, polished) <= length(x, path) + 1e-9
 
 
 def test_line_is_found(spark):
