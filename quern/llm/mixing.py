@@ -25,7 +25,7 @@ from quern.llm.common import BROADCAST_BYTES, stored
 #: Word weights are kept for this many hash buckets, so the model has a fixed size.
 BUCKETS = 4096
 #: Default share of the mixed tokens for each domain (quality x toxicity).
-TARGETS = {"good": 0.80, "poor": 0.14, "good-toxic": 0.04, "poor-toxic": 0.02}
+TARGETS = {"good": 0.86, "poor": 0.08, "good-toxic": 0.04, "poor-toxic": 0.02}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -93,41 +93,45 @@ def posteriors(docs: DataFrame, domains: DataFrame, names: list[str], id_col: st
     return scored.select("id", "n_tokens", F.array(*[F.col(f"e{k}") / total for k in range(len(names))]).alias("p"))
 
 
-def fit_rates(p: DataFrame, targets: list[float], steps: int = 60, tolerance: float = 1e-4) -> tuple[Column, list[float]]:
+def fit_rates(p: DataFrame, targets: list[float], steps: int = 40, tolerance: float = 1e-4) -> tuple[Column, list[float]]:
     """Rates by projected gradient on (S - T)' W (S - T), S the expected tokens by domain.
 
     ``p`` has n_tokens and p.  Starts at rate 1.  W is the inverse of the token-weighted
-    second moment of the posteriors; with it the gradient's Lipschitz bound is 1 in the
-    token-weighted inner product, so the step is 1 and overlapping or rare domains do not
-    slow the descent.  Stops when each domain is within ``tolerance`` of the total tokens.
+    second moment of the posteriors of the documents whose rate is positive, taken in the
+    same pass as S; in that metric the gradient's Lipschitz bound is 1, so the step is 1,
+    halved after a step that did not come closer, and overlapping or rare domains do not
+    slow the descent.  Stops when each domain is within ``tolerance`` of the total tokens,
+    or, where the targets cannot be met, when a step changes S by less than that.
     Returns the rate as a column over ``p``, and S.
     """
     k = len(targets)
-    term = lambda rate: [F.sum(rate * F.col("n_tokens") * F.get("p", F.lit(j))) for j in range(k)]
-    second = [F.sum(F.col("n_tokens") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))) for i in range(k) for j in range(k)]
-    first = p.agg(*[c.alias(f"c{i}") for i, c in enumerate([*term(F.lit(1.0)), *second])]).first()
-    sums = [float(x or 0.0) for x in first[:k]]
-    total = sum(sums)
+    at = lambda j: F.get(F.col("p"), F.lit(j))
     rate: Column = F.lit(1.0)
-    if total <= 0:
-        return rate, sums
-    moment = np.array([float(x or 0.0) for x in first[k:]]).reshape(k, k)
-    metric = np.linalg.inv(moment + np.eye(k) * total * 1e-9)
-    goal = np.array([t * total for t in targets])
     past: list[list[float]] = []
-    for _ in range(steps):
-        if np.abs(sums - goal).max() <= tolerance * total:
+    step, last, sums = 1.0, math.inf, np.zeros(k)
+
+    def descend(r: Column, g: Column) -> Column:
+        return F.greatest(F.lit(0.0), r - sum((at(j) * F.get(g, F.lit(j)) for j in range(1, k)), at(0) * F.get(g, F.lit(0))))
+
+    for turn in range(steps + 1):
+        rows = p.select("p", (rate * F.col("n_tokens")).alias("t"), F.when(rate > 0, F.col("n_tokens")).otherwise(0).alias("on"))
+        terms = [F.sum(F.col("t") * at(j)) for j in range(k)] + [F.sum(F.col("on") * at(i) * at(j)) for i in range(k) for j in range(i, k)]
+        row = [float(x or 0.0) for x in rows.agg(*[c.alias(f"c{i}") for i, c in enumerate(terms)]).first()]
+        before, sums = sums, np.array(row[:k])
+        if turn == 0:
+            total = sums.sum()
+            goal = np.array([t * total for t in targets])
+        gap = float(np.abs(sums - goal).max())
+        if total <= 0 or gap <= tolerance * total or turn == steps or (turn and step == 1 and np.abs(sums - before).max() <= tolerance * total):
             break
-        past.append((metric @ (sums - goal)).tolist())
-        trail = _matrix(past)
-
-        def step(r: Column, g: Column) -> Column:
-            return F.greatest(F.lit(0.0), r - sum((F.get(F.col("p"), F.lit(j)) * F.get(g, F.lit(j)) for j in range(1, k)), F.get(F.col("p"), F.lit(0)) * F.get(g, F.lit(0))))
-
-        rate = F.aggregate(trail, F.lit(1.0), step)
-        row = p.select("n_tokens", "p", rate.alias("rate")).agg(*[c.alias(f"c{i}") for i, c in enumerate(term(F.col("rate")))]).first()
-        sums = np.array([float(x or 0.0) for x in row])
-    return rate, list(sums)
+        step = step / 2 if gap >= last else min(1.0, 2 * step)
+        last = gap
+        moment = np.zeros((k, k))
+        moment[np.triu_indices(k)] = row[k:]
+        moment += np.triu(moment, 1).T
+        past.append((step * np.linalg.solve(moment + np.eye(k) * total * 1e-6, sums - goal)).tolist())
+        rate = F.aggregate(_matrix(past), F.lit(1.0), descend)
+    return rate, sums.tolist()
 
 
 def mix(
@@ -136,7 +140,7 @@ def mix(
     targets: Mapping[str, float] = TARGETS,
     id_col: str = "doc_id",
     text_col: str = "text",
-    steps: int = 60,
+    steps: int = 40,
 ) -> DataFrame:
     """A nonnegative rate for each document, so that domains reach their target tokens.
 
