@@ -50,7 +50,7 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, target: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, target: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches between rows so that each has about ``target`` bytes of text.
 
     A single longer text stays whole, in a batch of its own.
