@@ -320,10 +320,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     hash, strings of very frequent anchors by 64.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    found = stored(repeated(docs, id_col, text_col, length, keep, **options), "spans").withColumnRenamed("id", "for_id")
-    size = found.agg(F.sum(F.size("ranges") * 24 + 64)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        found = F.broadcast(found)
+    # Spans grow with the corpus, so texts meet them in a shuffle join at every size.
+    found = stored(repeated(docs, id_col, text_col, length, keep, **options), "spans").withColumnRenamed("id", "for_id").hint("merge")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *_content(F.col(text_col)))
     on = (rows["k1"] == found["k1"]) & (rows["k2"] == found["k2"])
     if keep == "first":
