@@ -6,9 +6,10 @@ the domains.  Projected-gradient least squares then fits a nonnegative rate for
 document, so that the expected tokens of each domain, the sum of rate x tokens x
 posterior, match the targets.
 
-Each gradient step is one aggregation to as many numbers as there are domains.  A rate
-after k steps is a function of the document's own posterior and of the k residuals, so it
-is an expression over the stored posteriors, never a table that is written and rejoined.
+Each step is one aggregation to a few numbers for each pair of domains.  Gradients add up to
+one vector before they are projected, so a rate is a function of the document's own posterior
+and of that vector: an expression of one size at any step, never a table that is written and
+rejoined.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from quern.llm.common import BROADCAST_BYTES, stored
 #: Word weights are kept for this many hash buckets, so the model has a fixed size.
 BUCKETS = 4096
 #: Default share of the mixed tokens for each domain (quality x toxicity).
-TARGETS = {"good": 0.86, "poor": 0.08, "good-toxic": 0.04, "poor-toxic": 0.02}
+TARGETS = {"good": 0.70, "poor": 0.25, "good-toxic": 0.03, "poor-toxic": 0.02}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -34,11 +35,6 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.where("quality is not null and toxic is not null and doc_id is not null").select("doc_id", name.alias("domain")).distinct()
 
 
-def _matrix(rows: list[list[float]]) -> Column:
-    """A literal array<array<double>>; the optimizer folds it to one constant."""
-    return F.expr("array(" + ",".join("array(" + ",".join(f"{x!r}D" for x in map(float, r)) + ")" for r in rows) + ")")
-
-
 def bags(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_tokens, buckets): how many words, and which hash buckets they fall in.
 
@@ -93,45 +89,78 @@ def posteriors(docs: DataFrame, domains: DataFrame, names: list[str], id_col: st
     return scored.select("id", "n_tokens", F.array(*[F.col(f"e{k}") / total for k in range(len(names))]).alias("p"))
 
 
-def fit_rates(p: DataFrame, targets: list[float], steps: int = 40, tolerance: float = 1e-4) -> tuple[Column, list[float]]:
-    """Rates by projected gradient on (S - T)' W (S - T), S the expected tokens by domain.
+def solve_rates(p: DataFrame, targets: list[float], steps: int = 200, tolerance: float = 1e-6) -> tuple[Column, dict]:
+    """Rates by projected gradient on |s - t|, s the attained and t the target shares.
 
-    ``p`` has n_tokens and p.  Starts at rate 1.  W is the inverse of the token-weighted
-    second moment of the posteriors of the documents whose rate is positive, taken in the
-    same pass as S; in that metric the gradient's Lipschitz bound is 1, so the step is 1,
-    halved after a step that did not come closer, and overlapping or rare domains do not
-    slow the descent.  Stops when each domain is within ``tolerance`` of the total tokens,
-    or, where the targets cannot be met, when a step changes S by less than that.
-    Returns the rate as a column over ``p``, and S.
+    ``p`` has n_tokens and p.  Starts at rate 1 and projects lazily: preconditioned gradients
+    add up to one vector, and a rate is max(0, 1 - p . vector).  A step is Newton's on
+    |s - t|^2 + weight x the token-weighted square distance of the rates from 1, halved until
+    it descends; the weight goes to 0.  Each step, a halved one too, is one aggregation.
+
+    For any vector z with z . p >= 0 for all documents, no rates come closer to t than
+    -z . t / |z|.  Stops when each share is within ``tolerance`` of its target, or when |s - t|
+    is within ``tolerance`` of the best such bound, or after ``steps`` steps.  Returns the rate
+    as a column over ``p``, and a report: ``tokens`` by domain, ``gap`` (|s - t|),
+    ``least_gap`` (what no rates go below), ``steps`` and ``stopped`` (met, optimal or steps).
     """
-    k = len(targets)
+    k, goal = len(targets), np.array(targets)
     at = lambda j: F.get(F.col("p"), F.lit(j))
-    rate: Column = F.lit(1.0)
-    past: list[list[float]] = []
-    step, last, sums = 1.0, math.inf, np.zeros(k)
-
-    def descend(r: Column, g: Column) -> Column:
-        return F.greatest(F.lit(0.0), r - sum((at(j) * F.get(g, F.lit(j)) for j in range(1, k)), at(0) * F.get(g, F.lit(0))))
-
-    for turn in range(steps + 1):
-        rows = p.select("p", (rate * F.col("n_tokens")).alias("t"), F.when(rate > 0, F.col("n_tokens")).otherwise(0).alias("on"))
-        terms = [F.sum(F.col("t") * at(j)) for j in range(k)] + [F.sum(F.col("on") * at(i) * at(j)) for i in range(k) for j in range(i, k)]
+    used = p.where("n_tokens > 0")
+
+    def look(z: np.ndarray) -> dict:
+        # An array that is indexed by a column stays data: no step compiles new code.
+        raw = sum((at(j) * F.get(F.array(*map(F.lit, map(float, -z))), F.size("p") - (k - j)) for j in range(k)), F.lit(1.0))
+        rows = used.select("p", "n_tokens", raw.alias("raw"), F.greatest(F.lit(0.0), raw).alias("rate"))
+        on = F.when(F.col("raw") > 0, F.col("n_tokens")).otherwise(0)
+        terms = [F.sum(F.col("n_tokens")), F.max("raw"), F.sum(F.col("n_tokens") * F.col("rate") * F.col("rate"))]
+        terms += [F.sum(F.col("n_tokens") * F.col("rate") * at(j)) for j in range(k)] + [F.sum(on * at(i) * at(j)) for i in range(k) for j in range(i, k)]
         row = [float(x or 0.0) for x in rows.agg(*[c.alias(f"c{i}") for i, c in enumerate(terms)]).first()]
-        before, sums = sums, np.array(row[:k])
-        if turn == 0:
-            total = sums.sum()
-            goal = np.array([t * total for t in targets])
-        gap = float(np.abs(sums - goal).max())
-        if total <= 0 or gap <= tolerance * total or turn == steps or (turn and step == 1 and np.abs(sums - before).max() <= tolerance * total):
-            break
-        step = step / 2 if gap >= last else min(1.0, 2 * step)
-        last = gap
         moment = np.zeros((k, k))
-        moment[np.triu_indices(k)] = row[k:]
-        moment += np.triu(moment, 1).T
-        past.append((step * np.linalg.solve(moment + np.eye(k) * total * 1e-6, sums - goal)).tolist())
-        rate = F.aggregate(_matrix(past), F.lit(1.0), descend)
-    return rate, sums.tolist()
+        moment[np.triu_indices(k)] = row[3 + k :]
+        return {"total": row[0], "top": row[1], "square": row[2], "tokens": np.array(row[3 : 3 + k]), "moment": moment + np.triu(moment, 1).T}
+
+    z, weight, least, turn, stopped = np.zeros(k), 1e-2, 0.0, 0, "steps"
+    best, seen = (math.inf, z, np.zeros(k)), look(z)
+    total = seen["total"] or 1.0
+    trial, step, base = z, 1.0, None
+    while True:
+        shares = seen["tokens"] / total
+        gap = float(np.linalg.norm(shares - goal))
+        if gap < best[0]:
+            best = (gap, trial, seen["tokens"])
+        # The least p . z is 1 - the top rate; as p sums to 1, taking it off z makes z . p >= 0.
+        apart = trial - min(1.0 - seen["top"], 0.0)
+        if apart.any():
+            least = max(least, float(-apart @ goal / np.linalg.norm(apart)))
+        met = np.abs(shares - goal).max() <= tolerance
+        if not seen["total"] or met or best[0] - least <= tolerance or turn == steps:
+            if met:
+                best = (gap, trial, seen["tokens"])
+            stopped = "met" if met else "optimal" if best[0] - least <= tolerance else "steps"
+            break
+        value = seen["square"] / total / 2 + trial @ goal + weight / 2 * trial @ trial
+        slope = shares - goal - weight * trial
+        near = base is not None and np.linalg.norm(slope) <= 0.9 * base[1]
+        if base is not None and value > base[0] and not near and step > 1e-6:
+            step /= 2
+        else:
+            z, step = trial, 1.0
+            while np.linalg.norm(slope) <= 0.1 * weight * np.linalg.norm(z) and weight > 1e-15:
+                weight /= 10
+                slope = shares - goal - weight * z
+            base = (seen["square"] / total / 2 + z @ goal + weight / 2 * z @ z, np.linalg.norm(slope))
+            move = np.linalg.solve(seen["moment"] / total + np.eye(k) * weight, slope)
+        trial = z + step * move
+        seen, turn = look(trial), turn + 1
+    gap, z, tokens = best
+    rate = F.greatest(F.lit(0.0), sum((at(j) * F.lit(float(-z[j])) for j in range(k)), F.lit(1.0)))
+    return rate, {"tokens": tokens.tolist(), "gap": gap, "least_gap": least, "steps": turn, "stopped": stopped}
+
+
+def fit_rates(p: DataFrame, targets: list[float], steps: int = 200, tolerance: float = 1e-6) -> tuple[Column, list[float]]:
+    """The rate of ``solve_rates`` as a column over ``p``, and the expected tokens by domain."""
+    rate, report = solve_rates(p, targets, steps, tolerance)
+    return rate, report["tokens"]
 
 
 def mix(
@@ -140,7 +169,7 @@ def mix(
     targets: Mapping[str, float] = TARGETS,
     id_col: str = "doc_id",
     text_col: str = "text",
-    steps: int = 40,
+    steps: int = 200,
 ) -> DataFrame:
     """A nonnegative rate for each document, so that domains reach their target tokens.
 
@@ -148,7 +177,8 @@ def mix(
     their shares of the corpus's tokens (made to sum to 1).  Returns one row per input
     row: ``id_col``, ``n_tokens``, ``domain`` (the likeliest), ``posterior`` (one double
     for each domain, in the order of ``targets``), ``rate`` and ``mixed_tokens``
-    (rate x n_tokens).
+    (rate x n_tokens).  Where no rates meet the targets, they come as close as any can; the
+    metadata of ``rate`` hold the report of ``solve_rates``, which tells how close.
 
     Null or empty text has no tokens and gets the prior as posterior.  With no labels
     the posteriors are flat.  A null id is labelled by nothing but still gets a row;
@@ -158,8 +188,8 @@ def mix(
     names = list(targets)
     share = sum(targets.values())
     p = stored(posteriors(docs, domains, names, id_col, text_col), "posteriors")
-    rate, _ = fit_rates(p, [targets[d] / share for d in names], steps)
+    rate, report = solve_rates(p, [targets[d] / share for d in names], steps)
     best = F.get(F.array(*[F.lit(d) for d in names]), F.array_position("p", F.array_max("p")).cast("int") - 1)
     return p.select(
-        F.col("id").alias(id_col), "n_tokens", best.alias("domain"), F.col("p").alias("posterior"), rate.alias("rate"), (rate * F.col("n_tokens")).alias("mixed_tokens")
+        F.col("id").alias(id_col), "n_tokens", best.alias("domain"), F.col("p").alias("posterior"), rate.alias("rate", metadata=report), (rate * F.col("n_tokens")).alias("mixed_tokens")
     )

@@ -51,6 +51,37 @@ def test_rates_match_plain_solution(spark):
     assert (r >= 0).all() and np.allclose((r * t) @ p, sums) and np.allclose(sums, np.array([0.8, 0.2]) * t.sum(), rtol=2e-3)
 
 
+def rates(spark, t, p, targets):
+    df = spark.createDataFrame([(int(n), [float(x) for x in row]) for n, row in zip(t, p, strict=True)], "n_tokens long, p array<double>")
+    rate, sums = mixing.fit_rates(df, targets)
+    return np.array([x[0] for x in df.select(rate).collect()]), np.array(sums)
+
+
+def test_reachable_targets_are_met_to_the_tolerance(spark):
+    rng = np.random.default_rng(2)
+    t = rng.integers(1, 50, 300)
+    p = 0.9 * np.array([0.75, 0.15, 0.07, 0.03]) + 0.1 * rng.dirichlet([0.4] * 4, 300)
+    r, sums = rates(spark, t, p, goal := [0.7, 0.17, 0.09, 0.04])
+    assert (r >= 0).all() and np.allclose((r * t) @ p, sums) and np.abs(sums / t.sum() - goal).max() <= 1e-6
+
+
+def test_unreachable_targets_end_at_the_least_gap(spark):
+    p, t, goal = np.array([[0.9, 0.1], [0.6, 0.4]] * 20), np.arange(1, 41), np.array([0.2, 0.8])
+    r, sums = rates(spark, t, p, goal.tolist())
+    least = abs(goal[0] * 0.4 - goal[1] * 0.6) / np.hypot(0.6, 0.4)
+    assert np.allclose((r * t) @ p, sums) and np.linalg.norm(sums / t.sum() - goal) <= least + 2e-6
+
+
+def test_mix_reports_its_gap(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    out = mixing.mix(docs(spark, ["fine words", "poor text"] * 4), mixing.label_domains(labels))
+    report = out.schema["rate"].metadata
+    rows = out.collect()
+    s = np.array([sum(r["mixed_tokens"] * r["posterior"][k] for r in rows) for k in range(4)]) / 16
+    assert abs(np.linalg.norm(s - list(mixing.TARGETS.values())) - report["gap"]) < 1e-9
+    assert report["stopped"] == "optimal" and 0 < report["least_gap"] <= report["gap"] <= report["least_gap"] + 1e-6
+
+
 def test_quality_held_out_and_edges(spark, sf):
     d, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.score(d, labels).join(labels, "doc_id").collect()
