@@ -11,8 +11,9 @@ verified on the whole sets:
 
 1. every group of a shingle against the shingle's first group, and the members of a group
    against its first member, which connects most copies at a cost in line with the index;
-2. where the members listed with a first group are still in several components, members of
-   different components against each other.  Long lists are dealt in blocks, a task to two.
+2. where the members listed with a first group, or those of a group that meets no other, are
+   still in several components, members of different components against each other.  Long
+   lists are dealt in blocks, a task to two.
 
 A pair left out is in one component already, so the components are exact.
 
@@ -289,6 +290,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Shingles with the same first group list much the same members: they are one family, in
     # which each member and its signature are sent once.
     family = stored(posted.select("first", "group").distinct(), "families")
+    # A group that shares no shingle of its prefix with another is a family of its own.
+    alone = groups.where("size > 1").select(F.col("head_key").alias("group")).join(family.select("group").distinct(), "group", "left_anti")
+    family = family.union(alone.select(F.col("group").alias("first"), "group"))
     where = stored(family.join(placed, "group").select("first", "set_key", "n", "label"), "listed")
     mixed = where.groupBy("first").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("c")).where(F.col("low") != F.col("high")).select("first", "c")
     mixed = stored(mixed, "mixed")

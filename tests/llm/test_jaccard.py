@@ -40,6 +40,16 @@ def test_components_match_all_pairs(spark, monkeypatch, frequent, block):
     assert got == {i: (n[i], comp[i]) for i in range(len(texts))}
 
 
+def test_lone_groups_match_all_pairs(spark):
+    texts = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(13)]
+        texts += [" ".join(base), " ".join(base[:-1] + [f"c{g}"]), " ".join(base[:-2] + [f"h{g}", f"i{g}"])]
+    n, comp = jaccard_components(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.components(docs(spark, texts)).collect()}
+    assert got == {i: (n[i], comp[i]) for i in range(len(texts))}
+
+
 def test_edges(spark):
     df = docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", "q"], [None, 4, 4, None])
     got = sorted(((r["doc_id"], r["component_id"]) for r in J.components(df).collect()), key=str)
