@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|aria-label|itemprop|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: The label that ``labelled_pages`` gives an element.
+_LABEL = re.compile(r'(?:^|\s)data-y="([01])"')
 _SPACE = re.compile(r"\s+")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "svg", "select", "object", "canvas", "math"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -160,7 +162,8 @@ class Page:
             self.parent.append(stack[-1][1])
             self.static.append(static)
             self.kind.append(kind)
-            self.label.append(None if "data-y" not in m[3] else int(m[3].split('data-y="')[1][0]))
+            label = _LABEL.search(m[3])
+            self.label.append(int(label[1]) if label else None)
             block = len(self.parent) - 1
             stack.append((tag, block))
         flush()

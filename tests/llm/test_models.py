@@ -113,6 +113,17 @@ def test_pages(spark, sf):
     assert got[None] == "" and got[1] == ""
 
 
+def test_attributes_like_the_label_are_no_labels(spark):
+    odd = ['data-year="2020"', "data-yield=3", 'data-youtube-id="q"', 'data-y="x"', 'data-y=""', "data-y", "data-y='1'", 'data-y="10"', 'x-data-y="1"']
+    body = "<p>" + "Some long sentence of an article, with enough words to be read. " * 5 + "</p>"
+    pages = [f"<body><article {a}>{body}</article></body>" for a in odd]
+    assert all(set(H.Page(page).label) == {None} for page in pages)
+    assert H.Page('<div class="a" data-y="1"><p data-y="0">x').label == [None, 1, 0]
+    df = spark.createDataFrame([(i, "u", page) for i, page in enumerate(pages)], "page_id long, url string, html string")
+    texts = {r["text"] for r in H.main_text(df).collect()}
+    assert len(texts) == 1 and "Some long sentence" in texts.pop()
+
+
 def test_page_model_on_unseen_layouts():
     model, wrong, n = H.default_model(), 0, 0
     for page in H.labelled_pages(60, seed=123):
