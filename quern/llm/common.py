@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.stages import release, shared_dir, stored
 
-__all__ = ["BROADCAST_BYTES", "HOT_KEYS", "ascii_lower", "release", "remainder", "shared_dir", "stored", "table"]
+__all__ = ["BROADCAST_BYTES", "HOT_KEYS", "ascii_lower", "release", "remainder", "shared_dir", "stored", "table", "unused"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side of a join is broadcast only if it is measured to be below this many bytes.
@@ -30,3 +30,11 @@ def ascii_lower(text: Column) -> Column:
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % by
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -72,3 +72,37 @@ def test_signature_never_drops_a_link():
         size = min(len(p), len(q))
         differ = np.bitwise_count(J._fold(p, size) ^ J._fold(q, size)).sum()
         assert differ <= len(np.setxor1d(a, b))
+
+
+def test_one_group_families_with_any_head(spark):
+    """Small groups of one prefix, of which any member may be the head, against all pairs."""
+    rng = random.Random(5)
+    texts = []
+    for g in range(200):
+        base = [f"g{g}w{i}" for i in range(rng.randint(11, 16))]
+        for _ in range(rng.randint(3, 6)):
+            cut = rng.randint(0, 4)
+            texts.append(" ".join(base[: len(base) - cut] + [f"g{g}x{rng.randint(0, 3)}y{i}" for i in range(cut)]))
+    n, comp = jaccard_components(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.components(docs(spark, texts)).collect()}
+    assert got == {i: (n[i], comp[i]) for i in range(len(texts))}
+    assert len(set(comp)) < len(texts) - 200
+
+
+def test_links_through_null_ids_and_long_texts(spark):
+    words = [f"v{i}" for i in range(30000)]
+    long = " ".join(words)
+    near = " ".join(words[:29000] + [f"u{i}" for i in range(400)])
+    chain = [f"c{i}" for i in range(40)]
+    texts = [long, near, " ".join(chain), " ".join(chain[2:] + ["d0", "d1"]), " ".join(chain[4:] + ["d0", "d1", "d2", "d3"])]
+    _, comp = jaccard_components(texts)
+    assert comp == [0, 0, 2, 2, 2]
+    rows = J.components(docs(spark, texts, [1, 2, 3, None, 5])).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in rows} == {(1, 1), (2, 1), (3, 3), (None, 3), (5, 3)}
+
+
+def test_clashing_names_and_empty_table(spark):
+    df = docs(spark, ["a b c d e f", "a b c d e f", None, ""]).withColumnsRenamed({"lang": "near_copy", "source": "_near_copy", "n_chars": "set_key"})
+    assert sorted(r["doc_id"] for r in J.one_of_each(df).collect()) == [0, 2, 3]
+    assert J.one_of_each(df).columns == df.columns
+    assert J.one_of_each(df.limit(0)).count() == 0
