@@ -20,8 +20,8 @@ from pyspark.sql import Window as W
 from quern.functions import vectors as V
 
 BROADCAST_BYTES = 256 << 20
-#: Rows of one block when the base is too large to broadcast.
-BLOCK = 8192
+#: Bytes of one block when the base is too large to broadcast.
+BLOCK_BYTES = 4 << 20
 #: Rows of one matrix product.
 STEP = 1024
 
@@ -34,19 +34,38 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
+_EPS = np.finfo(np.float64).eps
+
+
+def _products(x: np.ndarray, b: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by the fast product, and how far those of each row of x may be off."""
+    own, d = (x * x).sum(axis=1), x.shape[1]
+    d2 = norms[None, :] - 2 * (x @ b.T) + own[:, None]
+    return d2, 8 * (d + 8) * _EPS * (own + norms.max()) + 1e-300
+
+
+def _centred(q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Both sides less the mean of b, and how far that moves a coordinate at most."""
+    centre = b.mean(axis=0)
+    return q - centre, b - centre, 4 * _EPS * float(max(np.abs(b).max(initial=0), np.abs(q).max(initial=0)))
+
+
 def _nearest(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (src, dst, dist) of the k nearest of b to each of q; ties by dst, self left out."""
     if not len(q) or not len(b) or k <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     out = []
-    norms = (b * b).sum(axis=1)
+    qc, bc, moved = _centred(q, b)
+    norms = (bc * bc).sum(axis=1)
     for at in range(0, len(q), STEP):
         x, xi = q[at : at + STEP], qi[at : at + STEP]
-        d2 = norms[None, :] - 2 * (x @ b.T) + (x * x).sum(axis=1)[:, None]
+        d2, slack = _products(qc[at : at + STEP], bc, norms)
         d2[xi[:, None] == bi[None, :]] = np.inf
         take = min(k, len(b))
         bound = np.partition(d2, take - 1, axis=1)[:, take - 1]
-        r, c = np.nonzero((d2 <= bound[:, None] + 1e-9) & np.isfinite(d2))
+        far = np.sqrt(np.maximum(np.where(np.isfinite(bound), bound, 0), 0)) + moved
+        slack = 2 * slack + 8 * moved * np.sqrt(q.shape[1]) * far
+        r, c = np.nonzero((d2 <= (bound + slack)[:, None]) & np.isfinite(d2))
         dist = np.sqrt(((x[r] - b[c]) ** 2).sum(axis=1))
         order = np.lexsort((bi[c], dist, r))
         r, c, dist = r[order], c[order], dist[order]
@@ -58,11 +77,15 @@ def _nearest(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, k: in
 
 def _within(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, eps: float, inclusive: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    norms = (b * b).sum(axis=1) if len(b) else np.zeros(0)
-    for at in range(0, len(q) if len(b) else 0, STEP):
+    if not len(q) or not len(b):
+        return out[0]
+    qc, bc, moved = _centred(q, b)
+    norms = (bc * bc).sum(axis=1)
+    for at in range(0, len(q), STEP):
         x, xi = q[at : at + STEP], qi[at : at + STEP]
-        d2 = norms[None, :] - 2 * (x @ b.T) + (x * x).sum(axis=1)[:, None]
-        r, c = np.nonzero((d2 <= eps * eps + 1e-9) & (xi[:, None] != bi[None, :]))
+        d2, slack = _products(qc[at : at + STEP], bc, norms)
+        slack = slack + 8 * moved * np.sqrt(q.shape[1]) * (eps + moved) + 4 * _EPS * eps * eps
+        r, c = np.nonzero((d2 <= (eps * eps + slack)[:, None]) & (xi[:, None] != bi[None, :]))
         dist = np.sqrt(((x[r] - b[c]) ** 2).sum(axis=1))
         keep = dist <= eps if inclusive else dist < eps
         out.append((xi[r[keep]], bi[c[keep]], dist[keep]))
@@ -87,17 +110,17 @@ def _pairs(queries: DataFrame, base: DataFrame, kernel, broadcast_bytes: int) ->
         parts = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
         return queries.repartition(parts, "id").mapInArrow(run, schema)
 
-    blocks = int(-(-size // (BLOCK * 8 * 64)) + 1)
+    blocks = int(-(-size // BLOCK_BYTES) + 1)
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    left = queries.select("id", "v", block.alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
-    right = base.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), block.alias("j"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = queries.select("id", "v", block.alias("i"), every.alias("j"), F.lit(0).alias("side")).unionByName(base.select("id", "v", every.alias("i"), block.alias("j"), F.lit(1).alias("side")))
 
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:  # an empty side comes without columns
-            return pa.Table.from_batches([batch_of((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))])
-        return pa.Table.from_batches([batch_of(kernel(left.column("id").to_numpy(), _matrix(left.column("v")), right.column("id").to_numpy(), _matrix(right.column("v"))))])
+    def cell(rows: pa.Table) -> pa.Table:
+        side = rows.column("side").to_numpy()
+        ids, v = rows.column("id").to_numpy(), _matrix(rows.column("v"))
+        return pa.Table.from_batches([batch_of(kernel(ids[side == 0], v[side == 0], ids[side == 1], v[side == 1]))])
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, schema)
+    return rows.groupBy("i", "j").applyInArrow(cell, schema)
 
 
 def _rows(df: DataFrame, id_col: str, vector: str) -> DataFrame:

@@ -79,7 +79,7 @@ def label_centroid(spark, d):
     return V.centroids(_embeddings(spark, d), ["label"]).select("label", F.transform("centroid", lambda z: F.round(z, 6)).alias("centroid"))
 
 
-@_query(f"WITH {_D} SELECT src, dst, round(dist, 6) AS dist, round(1 - dist * dist / 2, 5) AS cosine FROM d WHERE src % 10 = 0 AND dst = src + 1")
+@_query(f"WITH {_D} SELECT src, dst, round(dist, 6) AS dist, round(list_cosine_similarity(x, y), 5) AS cosine FROM d JOIN (SELECT vec_id AS src, x FROM v) USING (src) JOIN (SELECT vec_id AS dst, x AS y FROM v) USING (dst) WHERE src % 10 = 0 AND dst = src + 1")
 def pair_l2(spark, d):
     df = _embeddings(spark, d)
     a = df.where("vec_id % 10 = 0").select(F.col("vec_id").alias("src"), F.col("embedding").alias("a"))

@@ -42,6 +42,29 @@ def test_eps_is_strict_unless_inclusive(spark, limit):
     assert N.eps_join(frame(spark, x), 1.0, inclusive=True, broadcast_bytes=limit).count() == 2
 
 
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+@pytest.mark.parametrize("d,offset,spread", [(8, 1e4, 1e-3), (200, 0.0, 1.0)])
+def test_far_from_the_origin_and_wide(spark, limit, d, offset, spread, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_BYTES", 20 * d * 8)
+    x = offset + np.random.default_rng(2).normal(0, spread, (50, d))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    got = {(r["src"], r["dst"], r["rank"]) for r in N.knn_join(rows, 3, broadcast_bytes=limit).collect()}
+    assert got == brute(x, 3)
+    eps = float(np.quantile(far[far > 0], 0.1))
+    assert {(r["src"], r["dst"]) for r in N.eps_join(rows, eps, broadcast_bytes=limit).collect()} == {(i, j) for i, j in zip(*np.nonzero(far < eps), strict=True) if i != j}
+
+
+def test_components_by_rounds_and_at_once(spark):
+    rng = np.random.default_rng(4)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(i, i + 1) for i in range(300, 330)], "src long, dst long")
+    once = sorted(map(tuple, G.connected_components(edges).collect()))
+    assert once == sorted(map(tuple, G.connected_components(edges, finish=0).collect()))
+    names = edges.selectExpr("cast(src as string) src", "cast(dst as string) dst")
+    sizes = lambda rows: sorted(sum(1 for r in rows if r[1] == c) for c in {r[1] for r in rows})
+    assert sizes(G.connected_components(names).collect()) == sizes(once)
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     chain = [(i, i + 1) for i in range(100, 140)]
