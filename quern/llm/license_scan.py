@@ -1,10 +1,12 @@
 """License detection by ordered signature rules.
 
 A text becomes its words, lower-cased and joined by single blanks.  Rules are regexes over
-that form; each names a keyword, and only documents that hold a keyword, and in them only
-the words around it, ever meet a regex.  Overlapping detections are resolved by priority
-and containment: a detection is dropped if its interval lies inside one of a stronger
-priority, or inside a longer one of the same priority.
+that form; each names a keyword that all its matches hold, and only documents that hold a
+keyword, and in them only the words around it, ever meet a regex.  At each place of a keyword,
+each of its rules is tried on a match that covers this very place, so every occurrence counts.
+Overlapping detections are resolved by priority and containment: a detection is dropped if
+its interval lies inside one of a stronger priority, or inside a longer one of the same
+priority.
 
 Everything is DataFrame code.  Rules are a small table of fixed size that is broadcast;
 candidate words are found by exploding only the texts that pass the keyword filter.
@@ -12,14 +14,16 @@ candidate words are found by exploding only the texts that pass the keyword filt
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.llm.common import ascii_lower, stored
 
-#: Words of context before and after a keyword.
-BEFORE, AFTER = 10, 30
+#: Put before the place of a keyword that a match has to cover; no word holds it.
+MARK = "\x01"
 #: Priorities: 1 identifiers and full grants, 2 notices, 3 names, 4 mentions.
 CONFIDENCE = {0: 0.9, 1: 0.98, 2: 0.95, 3: 0.85, 4: 0.5}
 #: Phrases that always count, wherever their words stand next to each other.
@@ -28,7 +32,7 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 #: label | keyword | priority | regex over the normalised words, one rule a line.
 RULES = r"""
 apache-2.0|apache|1|spdx license identifier apache 2 0
-apache-2.0|apache|1|licensed under (the )?apache (software )?license,? (version|v) ?2( 0)?
+apache-2.0|apache|1|licensed under (the )?apache (software )?license (version|v) ?2( 0)?
 apache-2.0|apache|2|(released|distributed|available|provided|published) under (the )?(terms of the )?apache (software )?license (version )?2( 0)?
 apache-2.0|apache|2|apache license version 2 0 january 2004
 apache-2.0|apache|2|www apache org licenses license 2 0
@@ -42,8 +46,9 @@ apache-1.0|apache|1|spdx license identifier apache 1 0
 apache-1.0|apache|3|apache (software )?license (version )?1 0
 apache|apache|4|apache (software )?(license|licence)
 apache|apache|4|apache (style|like|compatible) (license|licence)
-mit|mit|1|spdx license identifier mit( |$)
-mit|mit|1|(released|licensed|distributed|available|provided|published) under (the )?(terms of the )?(mit|expat) (license|licence)
+mit|mit|1|spdx license identifier mit
+mit|mit|1|(released|licensed|distributed|available|provided|published) under (the )?(terms of the )?mit (license|licence)
+mit|expat|1|(released|licensed|distributed|available|provided|published) under (the )?(terms of the )?expat (license|licence)
 mit|permission|1|permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 mit|permission|2|the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
 mit|mit|2|(this|the) (software|project|code|work|package|library) is (licensed|released|distributed) under (the )?mit
@@ -60,8 +65,8 @@ gpl-3.0-or-later|gpl|1|spdx license identifier gpl 3 0 or later
 gpl-3.0-only|gpl|1|spdx license identifier gpl 3 0 only
 gpl-2.0-or-later|gpl|1|spdx license identifier gpl 2 0 or later
 gpl-2.0-only|gpl|1|spdx license identifier gpl 2 0 only
-gpl-3.0|gpl|1|spdx license identifier gpl 3 0( |$)
-gpl-2.0|gpl|1|spdx license identifier gpl 2 0( |$)
+gpl-3.0|gpl|1|spdx license identifier gpl 3 0
+gpl-2.0|gpl|1|spdx license identifier gpl 2 0
 gpl-3.0-or-later|general|1|gnu general public license as published by the free software foundation either version 3 of the license or (at your option )?any later version
 gpl-2.0-or-later|general|1|gnu general public license as published by the free software foundation either version 2 of the license or (at your option )?any later version
 gpl-3.0|gnu|1|licensed under (the )?(terms of the )?gnu general public (license|licence) (version|v) ?3
@@ -237,7 +242,7 @@ cc-by-sa-3.0|creativecommons|2|creativecommons org licenses by sa 3 0
 cc-by-3.0|creativecommons|2|creativecommons org licenses by 3 0
 cc0-1.0|creativecommons|2|creativecommons org publicdomain zero 1 0
 odbl-1.0|odbl|1|spdx license identifier odbl 1 0
-odbl-1.0|open|2|open (database|data commons open database) (license|licence)
+odbl-1.0|database|2|open (data commons open )?database (license|licence)
 odc-by-1.0|open|2|open data commons attribution (license|licence)
 pddl-1.0|open|2|open data commons public domain dedication
 ofl-1.1|ofl|1|spdx license identifier ofl 1 1
@@ -261,13 +266,16 @@ tcl|tcl|3|tcl tk (license|licence)
 curl|curl|3|curl (license|licence)
 ecl-2.0|educational|2|educational community (license|licence)( version)? 2( 0)?
 apsl-2.0|apple|2|apple public source (license|licence)
-json|json|2|the software shall be used for good not evil
+json|evil|2|the software shall be used for good not evil
 json|json|3|json (license|licence)
-beerware|beer|3|beer ?ware (license|licence)
+beerware|beer|3|beer ware (license|licence)
+beerware|beerware|3|beerware (license|licence)
 beerware|beerware|4|beerware
-openrail|rail|2|(open ?rail|responsible ai) (m )?(license|licence)
+openrail|rail|2|open rail (m )?(license|licence)
+openrail|openrail|2|openrail (m )?(license|licence)
+openrail|responsible|2|responsible ai (m )?(license|licence)
 openrail|openrail|3|openrail( m)?
-llama|llama|2|llama [0-9 ]*community (license|licence)
+llama|llama|2|llama ([0-9]+ )?([0-9]+ )?community (license|licence)
 public-domain|domain|2|(released|placed|dedicated) (in|into|to) the public domain
 public-domain|domain|4|public domain
 proprietary|rights|3|all rights reserved
@@ -277,15 +285,36 @@ commercial|commercial|4|commercial (license|licence)
 """
 
 
+def _place(keyword: str, regex: str) -> int | None:
+    """Where the regex holds the keyword as a word outside of groups; groups count as blanks."""
+    plain = regex
+    while (inner := re.sub(r"\([^()]*\)\??", lambda m: " " * len(m[0]), plain)) != plain:
+        plain = inner
+    found = re.search(rf"(?<![^ ]){re.escape(keyword)}(?![^ ])", plain)
+    return found and found.start()
+
+
 def rules(text: str = RULES) -> list[tuple[str, str, int, str]]:
-    """(label, keyword, priority, regex) in order; a broken line raises."""
+    """(label, keyword, priority, regex) in order.
+
+    A rule whose regex does not hold its keyword as a word outside of groups, or repeats what
+    may hold a blank, has matches that the scan could not find, and raises.
+    """
     out = []
     for line in text.strip().splitlines():
         label, keyword, priority, regex = line.split("|", 3)
+        if _place(keyword, regex) is None or re.search(r"[*{^$]|[^\]]\+", regex):
+            raise ValueError(f"cannot look for {line!r} by its keyword")
         out.append((label, keyword, int(priority), regex))
     return out
 
 
+def marked(keyword: str, regex: str) -> tuple[str, int, int]:
+    """The regex with its keyword at the mark, and the words it may take before and after."""
+    at = _place(keyword, regex)
+    return rf"(?<![^ ])(?:{regex[:at]}{MARK}{regex[at:]})(?![^ ])", regex.count(" ", 0, at), regex.count(" ", at)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule_text: str = RULES, base: dict[str, str] = BASE) -> tuple[DataFrame, DataFrame]:
     """Scans every text; returns (documents, detections).
 
@@ -302,26 +331,28 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule_t
     """
     spark = docs.sparkSession
     parsed = rules(rule_text)
-    table = [(k, p, x, label, False) for label, k, p, x in parsed] + [(phrase.split()[0], 0, "^" + phrase + "( |$)", label, True) for phrase, label in base.items()]
+    table = [(k, p, *marked(k, x), label, False) for label, k, p, x in parsed] + [(phrase.split()[0], 0, *marked(phrase.split()[0], phrase), label, True) for phrase, label in base.items()]
     keywords = sorted({r[0] for r in table})
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    rule = spark.sql("SELECT * FROM VALUES " + ",".join(f"({quote(k)},{p},{quote(x)},{quote(label)},{str(b).lower()})" for k, p, x, label, b in table) + " AS t(word, priority, regex, label, base)")
+    rule = spark.sql("SELECT * FROM VALUES " + ",".join(f"({quote(k)},{p},{quote(x)},{quote(label)})" for k, p, x, _, _, label, _ in table) + " AS t(word, priority, regex, label)")
+    reach = {k: (max(r[3] for r in table if r[0] == k), max(r[4] for r in table if r[0] == k)) for k in keywords}
+    reach = spark.sql("SELECT * FROM VALUES " + ",".join(f"({quote(k)},{x},{y})" for k, (x, y) in reach.items()) + " AS t(word, before, after)")
 
     words = F.filter(F.split(ascii_lower(F.col(text_col)), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("words"))
-    marked = F.arrays_overlap("words", F.expr("array(" + ",".join(map(quote, keywords)) + ")"))
-    rows = stored(rows.select("row", "id", F.size("words").cast("long").alias("n_words"), F.when(marked, F.col("words")).alias("words")), "words")
+    some = F.arrays_overlap("words", F.expr("array(" + ",".join(map(quote, keywords)) + ")"))
+    rows = stored(rows.select("row", "id", F.size("words").cast("long").alias("n_words"), F.when(some, F.col("words")).alias("words")), "words")
 
-    at = rows.where("words is not null").select("row", "id", "words", F.posexplode("words").alias("at", "word")).where(F.col("word").isin(keywords))
-    begin = F.greatest(F.col("at") - BEFORE, F.lit(0))
-    at = at.select("row", "id", "at", "word", begin.alias("begin"), F.array_join(F.slice("words", begin + 1, BEFORE + AFTER), " ").alias("near"), F.array_join(F.slice("words", F.col("at") + 1, AFTER), " ").alias("from_here"))
-    hit = at.join(F.broadcast(rule), "word")
-    hit = hit.withColumn("seen", F.when(F.col("base"), F.col("from_here")).otherwise(F.col("near")))
-    bounded = F.when(F.col("base"), F.col("regex")).otherwise(F.concat(F.lit(r"(?<![^ ])(?:"), F.col("regex"), F.lit(r")(?![^ ])")))
-    hit = hit.withColumn("found", F.regexp_instr("seen", bounded)).where("found > 0")
-    match = F.trim(F.regexp_substr("seen", bounded))
+    at = rows.where("words is not null").select("row", "id", "words", F.posexplode("words").alias("at", "word")).join(F.broadcast(reach), "word")
+    begin = F.greatest(F.col("at") - F.col("before"), F.lit(0))
+    ahead = F.array_join(F.slice("words", begin + 1, F.col("at") - begin), " ")
+    here = F.concat(F.lit(MARK), F.array_join(F.slice("words", F.col("at") + 1, F.col("after") + 1), " "))
+    near = F.when(F.col("at") > begin, F.concat(ahead, F.lit(" "), here)).otherwise(here)
+    hit = at.select("row", "id", "word", begin.alias("begin"), near.alias("near")).join(F.broadcast(rule), "word")
+    hit = hit.withColumn("found", F.regexp_instr("near", F.col("regex"))).where("found > 0")
+    match = F.regexp_substr("near", F.col("regex"))
     blanks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-    start = F.when(F.col("base"), F.col("at")).otherwise(F.col("begin") + blanks(F.substring(F.col("seen"), F.lit(1), F.col("found") - 1)))
+    start = F.col("begin") + blanks(F.substring(F.col("near"), F.lit(1), F.col("found") - 1))
     hit = hit.select("row", "id", "label", "priority", start.cast("long").alias("start"), (blanks(match) + 1).cast("long").alias("n"))
     hit = hit.distinct()
 

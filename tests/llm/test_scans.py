@@ -1,5 +1,8 @@
+import random
 import re
 
+import pytest
+
 from quern.llm import decontaminate as D
 from quern.llm import license_scan as Li
 from tests.llm.brute import AZ, docs
@@ -28,6 +31,59 @@ def test_rules_compile():
     for _, keyword, priority, regex in Li.rules():
         assert re.compile(regex) and priority in (1, 2, 3, 4) and keyword == keyword.lower()
     assert len(Li.rules()) > 200
+    for bad in ("x|mit|1|(mit|expat) license", "x|json|1|for good not evil", "x|mit|1|mit .* license"):
+        with pytest.raises(ValueError):
+            Li.rules(bad)
+
+
+def example(regex):
+    """A text that a rule matches: first alternatives, options taken."""
+    while (m := re.search(r"\(([^()]*)\)", regex)) is not None:
+        regex = regex[: m.start()] + m[1].split("|")[0] + regex[m.end() :]
+    return regex.replace("?", "").replace("[a-z]+", "heck").replace("[0-9]+", "3")
+
+
+def test_every_rule_fires_in_mid_text_and_twice(spark):
+    parsed = Li.rules()
+    texts = [f"some words {example(x)} and {example(x)} at the end" for _, _, _, x in parsed]
+    rows = Li.scan(docs(spark, texts), rule_text=Li.RULES)[1].where("priority > 0").collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r["doc_id"], []).append((r["start"], r["start"] + r["n_words"]))
+    for i, (_, _, _, x) in enumerate(parsed):
+        n = len(example(x).split())
+        for place in (2, 3 + n):
+            assert any(s <= place and e >= place + n for s, e in found.get(i, [])), parsed[i]
+
+
+def kept_by_brute_force(text):
+    """Labels and detections of a text: every rule at every word, then suppression."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(AZ))
+    hits = set()
+    for label, _, priority, regex in Li.rules():
+        for i in range(len(w)):
+            if m := re.match(f"(?:{regex})(?![^ ])", " ".join(w[i:])):
+                hits.add((label, priority, i, m[0].count(" ") + 1))
+    inside = lambda a, b: b[2] <= a[2] and b[2] + b[3] >= a[2] + a[3] and (b[1] < a[1] or (b[1] == a[1] and b[3] > a[3]))
+    return {a for a in hits if not any(inside(a, b) for b in hits)}
+
+
+def test_detections_match_every_rule_at_every_word(spark):
+    rng = random.Random(3)
+    pieces = [example(x) for _, _, _, x in Li.rules()] + ["zlib license and also zlib license", "gnu lesser general public license", "or", "and also", "the", "cc by", "version 3"]
+    texts = ["gnu lesser general public license version 3 and gnu lesser general public license", "mozilla public license 2 0 or any mozilla public license"]
+    texts += [" ".join(w for _ in range(rng.randint(1, 6)) for w in rng.choice(pieces).split()[: rng.randint(1, 30)]) for _ in range(150)]
+    table, found = Li.scan(docs(spark, texts))
+    got = {i: set() for i in range(len(texts))}
+    for r in found.where("priority > 0").collect():
+        got[r["doc_id"]].add((r["label"], r["priority"], r["start"], r["n_words"]))
+    labels = {r["doc_id"]: r for r in table.collect()}
+    for i, t in enumerate(texts):
+        want = kept_by_brute_force(t)
+        assert got[i] == want, t
+        base = set(filter(None, labels[i]["base_labels"].split(",")))
+        assert labels[i]["labels"] == ",".join(sorted({x[0] for x in want} | base)) and labels[i]["n_rules"] == len(want)
+        assert labels[i]["score"] == max([Li.CONFIDENCE[x[1]] for x in want] + [0.9] * bool(base), default=0.0)
 
 
 def test_overlaps_tolerate_substitutions(spark):
