@@ -18,6 +18,8 @@ import html
 import math
 import random
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,17 +27,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A tag: quotes bind only after "=", and a quote that is never closed is part of a plain value.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)|[^>=]++)*+)>""")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"\b(class|id|role|aria-label|itemprop|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: The label that ``labelled_pages`` gives an element.
 _LABEL = re.compile(r'(?:^|\s)data-y="([01])"')
 _SPACE = re.compile(r"\s+")
-_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "svg", "select", "object", "canvas", "math"}
+#: Elements whose content is no markup; all else is parsed, and left to the model.
+_RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes"}
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+_INLINE = set(
+    "a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label map mark meter nobr object output picture progress q rb rp rt ruby s samp small span strike strong sub sup svg time tt u var"
+    " math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mspace mstyle semantics annotation".split()
+)
 _TAGS = {
     **dict.fromkeys(("nav", "menu"), "nav"),
-    **dict.fromkeys(("form", "fieldset", "button", "dialog", "legend"), "form"),
+    **dict.fromkeys(("form", "fieldset", "button", "dialog", "legend", "select", "option", "optgroup", "datalist", "template"), "form"),
     **dict.fromkeys(("article", "main"), "main"),
     **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "heading"),
     **dict.fromkeys(("ul", "ol", "li", "dl", "dt", "dd"), "list"),
@@ -56,12 +65,28 @@ _WORDS = {
     "share": "share sharing social follow tags meta byline author",
     "main": "article content post entry main story body text prose page-content contentinfo-main articlebody",
 }
+_ASIDE = {"t:nav", "t:header", "t:footer", "t:aside", "t:form"}
 _WORD_OF = {w: k for k, ws in _WORDS.items() for w in ws.split()}
 _WORD_OF.pop("banner-ad", None)
 
 
-@lru_cache(maxsize=20000)
+#: What an element closes when it opens, and up to which elements.
+_CLOSES = {
+    "li": (("li",), ("ul", "ol")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "tr": (("tr", "td", "th"), ("table",)),
+}
+
+
 def _static(tag: str, attrs: str) -> tuple[tuple[str, ...], str]:
+    return _cached_static(tag, attrs) if len(attrs) < 500 else _cached_static.__wrapped__(tag, attrs)
+
+
+@lru_cache(maxsize=20000)
+def _cached_static(tag: str, attrs: str) -> tuple[tuple[str, ...], str]:
     kind = _TAGS.get(tag, "other")
     found = set()
     for m in _ATTR.finditer(attrs):
@@ -81,7 +106,10 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.static, self.kind, self.label = [-1], [("t:root",)], ["root"], [None]
         self.chunks: list[tuple[int, str, int]] = []  # node, text, characters inside links
+        # Open elements, where each name stands among them, and where block elements stand.
         stack: list[tuple[str, int]] = [("#", 0)]
+        places: dict[str, list[int]] = defaultdict(list)
+        blocks = [0]
         text: list[str] = []
         linked, link_depth, at, block = 0, 0, 0, 0
 
@@ -94,34 +122,60 @@ class Page:
                 text.clear()
             linked = 0
 
+        def close_to(k: int) -> None:
+            nonlocal block
+            while len(stack) > k:
+                name, _ = stack.pop()
+                places[name].pop()
+                if blocks[-1] == len(stack):
+                    blocks.pop()
+            block = stack[-1][1]
+
+        strict, ends, missing = True, True, set()
         while True:
-            m = _TOKEN.search(source, at)
-            piece = source[at : m.start() if m else len(source)]
+            to = source.find("<", at)
+            piece = source[at : to if to >= 0 else len(source)]
             if piece:
                 text.append(piece)
                 if link_depth:
                     linked += len(piece.strip())
-            if not m:
+            if to < 0:
                 break
-            at = m.end()
-            tag = (m[2] or "").lower()
-            if not tag:
+            mark = source[to + 1 : to + 2]
+            closing = mark == "/"
+            letter = source[to + 2 : to + 3] if closing else mark
+            if not (letter.isascii() and letter.isalpha()):
+                if closing or mark in ("!", "?"):
+                    note = source.startswith("<!--", to)
+                    end = source.find("-->" if note else ">", to)
+                    at = len(source) if end < 0 else end + (3 if note else 1)
+                else:
+                    text.append("<")
+                    at = to + 1
                 continue
-            if m[1]:
+            m = _TAG.match(source, to) if strict else None
+            if not m:
+                # A tag that has no end by the rules, so from here tags end at the next ">".
+                strict = False
+                ends = ends and source.find(">", to) >= 0
+                m = _PLAIN_TAG.match(source, to) if ends else None
+            if not m:
+                text.append("<")
+                at = to + 1
+                continue
+            at = m.end()
+            tag = m[2].lower()
+            if closing:
                 if tag == "a":
-                    link_depth = max(0, link_depth - 1)
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        if tag not in _INLINE:
-                            flush()
-                        elif any(t not in _INLINE for t, _ in stack[k + 1 :]):
-                            break
-                        del stack[k:]
-                        block = stack[-1][1]
-                        break
-                else:
+                    link_depth = 0
+                if not places[tag]:
                     if tag == "p":
                         flush()
+                elif tag not in _INLINE:
+                    flush()
+                    close_to(places[tag][-1])
+                elif places[tag][-1] > blocks[-1]:
+                    close_to(places[tag][-1])
                 continue
             if tag == "br":
                 text.append(" ")
@@ -131,33 +185,33 @@ class Page:
                     flush()
                 continue
             if tag in _RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(source, at)
-                if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
-                    at = end.end() if end else len(source)
+                end = _END[tag].search(source, at) if tag not in missing else None
+                if end:
+                    to = source.find(">", end.end())
+                    at = to + 1 if to >= 0 else len(source)
+                elif tag in ("script", "style", "textarea", "title"):
+                    at = len(source)
+                else:
+                    missing.add(tag)
                 continue
             if tag == "head":
                 continue
             if tag in _INLINE:
                 if tag == "a":
                     link_depth = 1
+                places[tag].append(len(stack))
                 stack.append((tag, block))
                 continue
             flush()
             link_depth = 0
-            close = {"p"} if tag != "li" else {"p", "li"}
-            if tag in ("dt", "dd"):
-                close = {"p", "dt", "dd"}
-            elif tag in ("tr", "td", "th"):
-                close = {"p", tag, *(("td", "th") if tag != "tr" else ("td", "th"))}
-            stops = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",)}.get(tag, ())
-            for k in range(len(stack) - 1, 0, -1):
-                name = stack[k][0]
-                if name in close:
-                    del stack[k:]
-                    if tag not in ("dt", "dd", "tr", "td", "th", "li"):
-                        break
-                elif name in stops or (name not in _INLINE and name != "p" and not stops):
-                    break
+            if stack[blocks[-1]][0] == "p":
+                close_to(blocks[-1])
+            if tag in _CLOSES:
+                closes, stops = _CLOSES[tag]
+                stop = max((places[x][-1] for x in stops if places[x]), default=0)
+                lowest = [places[x][i] for x in closes if (i := bisect_right(places[x], stop)) < len(places[x])]
+                if lowest:
+                    close_to(min(lowest))
             static, kind = _static(tag, m[3])
             self.parent.append(stack[-1][1])
             self.static.append(static)
@@ -165,6 +219,8 @@ class Page:
             label = _LABEL.search(m[3])
             self.label.append(int(label[1]) if label else None)
             block = len(self.parent) - 1
+            places[tag].append(len(stack))
+            blocks.append(len(stack))
             stack.append((tag, block))
         flush()
 
@@ -177,11 +233,16 @@ class Page:
         for i in range(n - 1, 0, -1):
             size[self.parent[i]] += size[i]
             links[self.parent[i]] += links[i]
+        named = "1" if any("t:main" in x or "w:main" in x for x in self.static) else "0"
+        # Whether a node, or one it is in, is named as something other than the article.
+        aside = [False] * n
+        for i in range(n):
+            aside[i] = (i > 0 and aside[self.parent[i]]) or any(f[:2] == "w:" and f != "w:main" or f in _ASIDE for f in self.static[i])
         out = []
         for i in range(n):
             s = size[i]
             share = links[i] / s if s else 0.0
-            out.append((*self.static[i], "s:" + ("0" if not s else "40" if s < 40 else "200" if s < 200 else "more"), "l:" + ("0" if share < 0.1 else "1" if share < 0.5 else "2")))
+            out.append((*self.static[i], f"m:{named}:{self.kind[i]}", f"x:{named}:{int(aside[i])}:{int(s > 0)}", "s:" + ("0" if not s else "40" if s < 40 else "200" if s < 200 else "more"), "l:" + ("0" if share < 0.1 else "1" if share < 0.5 else "2")))
         return out
 
 
@@ -314,6 +375,13 @@ def labelled_pages(count: int = 240, seed: int = 5) -> list[Page]:
 
     kinds = ["nav", "header", "side", "notice", "ad", "form", "share"]
     pages = []
+    for _ in range(count):  # pages that name nothing: plain blocks, down to one paragraph
+        body = "".join(paragraph() for _ in range(rng.choice((1, 1, 2, 3, 6)))) if rng.random() < 0.8 else say(2, 60)
+        body = rng.choice((f'<h1 data-y="1">{say(2, 9)}</h1>', "")) + body
+        text = rng.choice(('<div data-y="1">{}</div>', "{}", '<div data-y="1"><div data-y="1">{}</div></div>', '<table data-y="1"><tr data-y="1"><td data-y="1">{}</td></tr></table>')).format(body)
+        around = [furniture(k) if rng.random() < 0.35 else "" for k in rng.sample(("nav", "header", "form"), 1) + rng.sample(("footer", "ad", "comment"), 1)]
+        top = int(text == body)
+        pages.append(Page(f'<html data-y="0"><body data-y="{top}">{around[0]}{text}{around[1]}</body></html>'))
     for _ in range(count):
         body = [paragraph() for _ in range(rng.randint(1, 9))]
         if rng.random() < 0.15:  # a long run of short blocks
@@ -343,7 +411,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """Main text of every page: ``id_col``, ``url_col``, ``text``, ``n_chars``.
 
     Blocks of content in page order, joined by two newlines; white space inside a block
-    is one space and character references are decoded.  Null, empty or text-free html
+    is one space and character references are decoded.  Only the contents of script, style,
+    title, textarea and iframe are left out before the model sees them.  Broken markup is
+    read the way browsers do, in time linear in the page: a quote binds only after "=", a tag
+    that never ends by that rule ends at the next ">", and a stray "<" is text.  Null, empty or text-free html
     gives an empty text.  Ids and urls may be null or repeated and are passed on.  Pages
     are independent of each other, so repeated rows get equal results, other columns are
     ignored, and an empty table gives an empty result.  ``n_chars`` counts code points.
