@@ -1,7 +1,10 @@
 """Exact duplicates by two passes over a partitioned Bloom filter.
 
 Pass 1 hashes every text once and counts how many rows set each bit of a Bloom filter;
-the filter keeps the bits that at least two rows set.  Pass 2 tests every row: if one of
+the filter keeps the bits that at least two rows set.  What pass 1 sends on is bit numbers,
+combined in each task, and never a row or a text; since a task's bits lie scattered over a
+filter that grows with the corpus, numbers are smaller than the bitmaps of all slices a task
+touches.  Pass 2 tests every row: if one of
 its bits was set by that row alone, no other row has its text, and it goes straight
 through.  Only the others, the repeated rows and a few false hits, are grouped by digest.
 
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import BROADCAST_BYTES, HOT_KEYS, ascii_lower, stored
+from quern.llm.common import BROADCAST_BYTES, HOT_KEYS, ascii_lower, stored, unused
 
 _SLICE_BITS, _SLICE_BYTES = 32768, 4096
 
@@ -98,18 +101,20 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the same id and text one stays.  All other rows are matched by id alone, against the
     dropped ids; these are broadcast while measured to be few.
     """
-    found = stored(exact_dedup(docs, id_col, text_col, **options).select(F.col(id_col).alias("_q_id"), "kept", F.col("text_sha256").alias("_q_sha")), "copies")
-    odd = stored(found.groupBy("_q_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 and _q_id is not null").select("_q_id"), "odd_ids")
-    gone = stored(found.where("not kept and _q_id is not null").join(odd, "_q_id", "left_anti").select("_q_id"), "gone")
+    key, sha = unused(docs, "copy_id"), unused(docs, "copy_sha")
+    found = stored(exact_dedup(docs, id_col, text_col, **options).select(F.col(id_col).alias(key), "kept", F.col("text_sha256").alias(sha)), "copies")
+    odd = stored(found.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) & F.col(key).isNotNull()).select(key), "odd_ids")
+    gone = stored(found.where(~F.col("kept") & F.col(key).isNotNull()).join(odd, key, "left_anti").select(key), "gone")
     fit = lambda df: F.broadcast(df) if df.count() * 16 <= BROADCAST_BYTES else df
     gone, odd = fit(gone), fit(odd)
-    same = docs[id_col] == F.col("_q_id")
+    same = F.col(id_col) == F.col(key)
     plain = docs.where(F.col(id_col).isNotNull()).join(gone, same, "left_anti").join(odd, same, "left_anti")
     rest = docs.where(F.col(id_col).isNull()).unionByName(docs.join(odd, same, "left_semi"))
-    rest = rest.withColumn("_q_digest", F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256))
-    stays = found.where("kept").select("_q_id", "_q_sha").distinct()
-    rest = rest.join(stays, F.col("_q_digest").eqNullSafe(F.col("_q_sha")) & F.col(id_col).eqNullSafe(F.col("_q_id")), "left_semi").dropDuplicates([id_col, "_q_digest"])
-    return plain.unionByName(rest.drop("_q_digest"))
+    own = unused(docs, "own_sha")
+    rest = rest.withColumn(own, F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256))
+    stays = found.where("kept").select(key, sha).distinct()
+    rest = rest.join(stays, F.col(own).eqNullSafe(F.col(sha)) & F.col(id_col).eqNullSafe(F.col(key)), "left_semi").dropDuplicates([id_col, own])
+    return plain.unionByName(rest.drop(own))
 
 
 SQL = """

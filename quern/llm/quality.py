@@ -6,7 +6,7 @@ then pooled by grouped aggregation: a site (host) has a beta posterior whose pri
 corpus mean, a path under it has one whose prior is its site, and the strength of each
 prior is estimated from the spread between groups by the method of moments, so sparse
 sites and paths shrink toward what lies above them.  A document's final log odds are its
-own evidence plus what its path says beyond the corpus.
+own evidence plus what the other documents of its path and site say beyond the corpus.
 
 Toxicity is a matter of the document itself, so its score takes the classifier alone.
 """
@@ -177,11 +177,13 @@ def strength(groups: DataFrame) -> float:
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, keep_at: float = 0.15, toxic_at: float = 0.5, classifier: Classifier | None = None) -> DataFrame:
     """Scores every document: ``id_col``, ``host``, ``path``, ``evidence`` (the classifier's
     probability of good quality), ``site_quality``, ``path_quality`` (posterior means),
-    ``quality``, ``toxic_score``, ``toxic``, ``kept``.
+    ``quality`` (own evidence and the posterior of the path without this document),
+    ``toxic_score``, ``toxic``, ``kept``.
 
     ``host`` defaults to the column source, ``path`` to source/lang.  ``kept`` are the
     documents that are not toxic and whose ``quality`` is at least ``keep_at``.
-    Null host or path are a group of their own, named "".  Null or empty text is scored
+    Null host or path are a group of their own, named "".  A document alone in its path or
+    site has what lies above as its prior.  Equal scores are told apart by nothing.  Null or empty text is scored
     as an empty text.  Null ids get rows like any other; repeated rows get equal results
     and count as often as they occur.  Extra columns are ignored; an empty table gives an
     empty result.
@@ -207,16 +209,20 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = whole["n"] or 0.0
     mean = min(max((whole["s"] or 0.0) / total, 1e-6), 1 - 1e-6) if total else 0.5
     site_strength, path_strength = strength(sites), strength(paths)
-    sites = sites.select("host", ((F.col("sum_q") + site_strength * mean) / (F.col("n") + site_strength)).alias("site_quality"))
-    paths = paths.join(sites, "host").select(F.col("host"), F.col("path"), "n", "site_quality", ((F.col("sum_q") + path_strength * F.col("site_quality")) / (F.col("n") + path_strength)).alias("path_quality"))
+    shrunk = lambda sum_q, n, prior, by: (sum_q + by * prior) / (n + by)
+    sites = sites.select("host", F.col("n").alias("site_n"), F.col("sum_q").alias("site_sum"), shrunk(F.col("sum_q"), F.col("n"), F.lit(mean), site_strength).alias("site_quality"))
+    paths = paths.join(sites, "host").withColumn("path_quality", shrunk(F.col("sum_q"), F.col("n"), F.col("site_quality"), path_strength))
     paths = stored(paths, "path_posteriors")
     # Paths with over 1/1024 of the rows, at most 1024 of them, join by broadcast.
-    hot = F.broadcast(paths.where(F.col("n") > total / HOT_KEYS).drop("n"))
-    cold = paths.where(F.col("n") <= total / HOT_KEYS).drop("n")
+    hot = F.broadcast(paths.where(F.col("n") > total / HOT_KEYS))
+    cold = paths.where(F.col("n") <= total / HOT_KEYS)
     joined = seen.join(hot, ["host", "path"]).unionByName(seen.join(hot.select("host", "path"), ["host", "path"], "left_anti").join(cold, ["host", "path"]))
     logit = lambda p: F.log(p / (1 - p))
     bounded = lambda p: F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
-    odds = logit(bounded(F.col("q"))) + logit(bounded(F.col("path_quality"))) - F.lit(float(np.log(mean / (1 - mean))))
+    # The prior of a document: the posterior of its path without the document itself.
+    others = shrunk(F.col("site_sum") - F.col("q"), F.col("site_n") - 1, F.lit(mean), site_strength)
+    others = shrunk(F.col("sum_q") - F.col("q"), F.col("n") - 1, others, path_strength)
+    odds = logit(bounded(F.col("q"))) + logit(bounded(others)) - F.lit(float(np.log(mean / (1 - mean))))
     quality = 1 / (1 + F.exp(-odds))
     return joined.select(
         F.col("id").alias(id_col), "host", "path", F.col("q").alias("evidence"), "site_quality", "path_quality", quality.alias("quality"), F.col("t").alias("toxic_score"), (F.col("t") >= toxic_at).alias("toxic"),

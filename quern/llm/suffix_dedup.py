@@ -11,7 +11,7 @@ In a shard, a suffix array (by prefix doubling) over its contexts gives the orde
 strings; longest common prefixes of neighbours, and the previous and next smaller
 positions in suffix order, give each string its longest previous factor.  With
 ``keep="first"`` strings with an earlier match are removed; with ``keep="none"`` those
-with any other match.
+with an earlier or, by the same factors over mirrored positions, a later one.
 
 An anchor with more than MAX_CONTEXTS different contexts is not gathered in one task: its
 strings are hashed one by one and counted by grouped aggregation, which is as exact.
@@ -138,6 +138,13 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     return order, np.concatenate(([0], same)) if len(starts) else same
 
 
+def _factor(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For suffixes in suffix order, the longest match that has a smaller position: with the
+    previous or the next suffix of smaller position, whichever shares more."""
+    after = np.append(common[1:], 0)
+    return np.maximum(_smaller(position, common), _smaller(position[::-1], after[::-1])[::-1])
+
+
 def _smaller(position: np.ndarray, common: np.ndarray) -> np.ndarray:
     """Common prefix of each suffix with the nearest one before it in suffix order that has
     a smaller position; 0 if there is none.  Pointers jump along earlier answers."""
@@ -157,18 +164,18 @@ def _smaller(position: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def longest_previous_factor(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each start, up to ``length``: longest match that starts earlier, and anywhere else."""
+    """For each start, up to ``length``: longest previous factor, and longest next factor.
+
+    The next factor is the previous one of the mirrored positions: a match that starts later.
+    """
     order, common = suffix_order(data, starts, length)
     if not len(order):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     position = starts[order]
-    after = np.append(common[1:], 0)
-    previous = _smaller(position, common)
-    following = _smaller(position[::-1], after[::-1])[::-1]
-    lpf, other = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
-    lpf[order] = np.maximum(previous, following)
-    other[order] = np.maximum(common, after)
-    return lpf, other
+    lpf, lnf = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+    lpf[order] = _factor(position, common)
+    lnf[order] = _factor(-position, common)
+    return lpf, lnf
 
 
 def _ranges(marked: np.ndarray) -> list[int]:
@@ -248,8 +255,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             owner = np.repeat(np.arange(len(held)), windows)
             bound = np.cumsum(windows)
             starts = np.arange(len(owner)) - (bound - windows)[owner] + begin[owner]
-            lpf, other = longest_previous_factor(data, starts, length)
-            marks = (lpf if keep == "first" else other) >= length
+            lpf, lnf = longest_previous_factor(data, starts, length)
+            marks = (lpf if keep == "first" else np.maximum(lpf, lnf)) >= length
             out = [_ranges(marks[e - w : e]) for e, w in zip(bound.tolist(), windows.tolist(), strict=True)]
             return pa.record_batch([pa.array([x[0] for x in held]), pa.array([x[1] for x in held]), pa.array(out, pa.list_(pa.int32()))], names=["anchor", "ctx", "runs"])
 
