@@ -1,18 +1,22 @@
 """Scoring texts by a Brown class-based bigram model.
 
-Every token belongs to one class: the most frequent words to classes found by exchange
-clustering (each word moves to the class that raises the bigram likelihood most), other
-frequent words to one class for each power of two of their count, and all that remain,
-unseen words included, to the tail class.  A token's probability is that of its class
-after the class before it, times its share of the class:
+Every token belongs to one class, and its probability is that of its class after the class
+before it, times its share of the class:
 
     P(w | v) = P(class(w) | class(v)) * P(w | class(w))
 
+Classes are found in two steps.  The ``top_words`` most frequent words are clustered by
+exchange: each word moves to the class that raises the bigram likelihood most, and contexts
+are counted anew between passes.  Each other word of the ``vocabulary`` is then put in the
+class that makes its own tokens likeliest among their neighbours.  Words outside the
+vocabulary, unseen ones included, are the tail class; the end of a text is a class of its own.
+``top_words`` and ``vocabulary`` are parameters of the model, the same at every size of the
+corpus, so what a text scores depends on them and on counts alone.
+
 Counts are taken over the whole training part.  Words are known by 64-bit hashes, counted
-in the executors and summed by key.  The ``broadcast_words`` most frequent words (a fixed
-bound) are broadcast; rarer words of each text are sent to the count table by a join on
-the word, so the vocabulary may outgrow any machine.  Since class membership never needs
-that join, class transitions are scored in the same scan.
+in the executors and summed by key.  The vocabulary is broadcast; the tail's words of each
+text are sent to the count table by a join on the word, so their number may outgrow any
+machine.  Their class is known without that join, so transitions are scored in the same scan.
 """
 
 from __future__ import annotations
@@ -64,34 +68,59 @@ class Classes:
         return before, here, owner
 
 
-def word_counts(rows: DataFrame, flush: int = 1 << 18) -> DataFrame:
-    """(h, c): occurrences of every word of ``rows.text``, by its hash as a long."""
+def _summed(batches: Iterator[tuple[np.ndarray, np.ndarray]], flush: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts with equal keys added up, as far as ``flush`` keys in memory allow."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        keys, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        return keys, np.bincount(inverse, weights=np.concatenate([x for _, x in held]), minlength=len(keys)).astype(np.int64)
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            h = np.concatenate([x for x, _ in held])
-            c = np.concatenate([x for _, x in held])
-            keys, inverse = np.unique(h, return_inverse=True)
-            return keys, np.bincount(inverse, weights=c, minlength=len(keys)).astype(np.int64)
+    for keys, counts in batches:
+        held.append((keys, counts))
+        if sum(len(x) for x, _ in held) > flush:
+            held[:] = [merged()]
+            if len(held[0][0]) > flush // 2:
+                yield held.pop()
+    if held:
+        yield merged()
 
-        def out() -> pa.RecordBatch:
-            keys, counts = merged()
-            return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "c"])
 
-        for batch in slices(batches, "text"):
-            h, _, _ = words(*text_buffers(batch.column(0)))
-            held.append(np.unique(h, return_counts=True))
-            if sum(len(x) for x, _ in held) > flush:
-                held[:] = [merged()]
-                if len(held[0][0]) > flush // 2:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
+def _counted(rows: DataFrame, keys_of, flush: int = 1 << 18) -> DataFrame:
+    """(key, n): how often ``keys_of`` (batch of texts -> keys) gives each key over ``rows.text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (np.unique(keys_of(batch), return_counts=True) for batch in slices(batches, "text"))
+        for keys, counts in _summed(found, flush):
+            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
-    return rows.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return rows.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def word_counts(rows: DataFrame, flush: int = 1 << 18) -> DataFrame:
+    """(h, c): occurrences of every word of ``rows.text``, by its hash as a long."""
+    counts = _counted(rows, lambda batch: words(*text_buffers(batch.column(0)))[0], flush)
+    return counts.select(F.col("key").alias("h"), F.col("n").alias("c"))
+
+
+def count_floor(vocab: DataFrame, most: int) -> int:
+    """The least count that ``most`` words or fewer reach: words of one count go in or out together."""
+    low, high = 1, int(vocab.agg(F.max("c")).first()[0] or 0) + 1  # high: a floor that surely will do
+    above = 0  # words at or over high
+    while low < high:
+        width = -(-(high - low) // 256)
+        bins = vocab.where((F.col("c") >= low) & (F.col("c") < high)).groupBy(F.floor((F.col("c") - low) / width).alias("bin")).agg(F.count(F.lit(1)).alias("v")).collect()
+        found, start = {r["bin"]: r["v"] for r in bins}, low
+        for k in range((high - low - 1) // width, -1, -1):
+            if above + found.get(k, 0) > most:
+                low, high = start + k * width, min(high, start + (k + 1) * width)
+                break
+            above += found.get(k, 0)
+        else:
+            return low
+        if width == 1:
+            return high
+    return high
 
 
 def bigram_counts(rows: DataFrame, classes: Classes) -> np.ndarray:
@@ -99,70 +128,199 @@ def bigram_counts(rows: DataFrame, classes: Classes) -> np.ndarray:
     k = classes.tail + 2
     shared = rows.sparkSession.sparkContext.broadcast(classes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, total = shared.value, np.zeros(k * k, np.int64)
-        for batch in slices(batches, "text"):
-            h, _, bounds = words(*text_buffers(batch.column(0)))
-            before, here, _ = classes.chain(classes.of(h)[0], bounds)
-            total += np.bincount(before * k + here, minlength=k * k)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+    def keys_of(batch: pa.RecordBatch) -> np.ndarray:
+        h, _, bounds = words(*text_buffers(batch.column(0)))
+        before, here, _ = shared.value.chain(shared.value.of(h)[0], bounds)
+        return before * k + here
 
-    found = rows.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = _counted(rows, keys_of).toArrow()
     out = np.zeros(k * k, np.int64)
-    out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    out[found.column("key").to_numpy()] = found.column("n").to_numpy()
     return out.reshape(k, k)
 
 
-def exchange(bigrams: np.ndarray, n_words: int, n_classes: int, passes: int = 4) -> np.ndarray:
-    """Assigns words 0..n_words-1 to classes by exchange; the rest keep classes of their own.
+def contexts(pairs: DataFrame, of: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit, how often each class stands after it and before it; a fixed size.
 
-    ``bigrams`` counts pairs of units: the words, then the fixed units.  Words start in
-    classes round robin by rank; each in turn moves to the class with the greatest
-    sum of N log N over class pairs, less that over class margins.  Ties go to the
-    lowest class; ends when no word moves.
+    ``pairs``: a, b, n over units; ``of``: the class of each unit.
     """
-    units = len(bigrams)
-    fixed = units - n_words
-    total = n_classes + fixed
-    of = np.concatenate([np.arange(n_words) % n_classes, n_classes + np.arange(fixed)])
-    member = np.zeros((units, total))
-    member[np.arange(units), of] = 1
-    big = bigrams.astype(float)
-    table = member.T @ big @ member
-    xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
+    units = len(of)
+    shared = pairs.sparkSession.sparkContext.broadcast(of)
 
-    for _ in range(passes):
-        moved = 0
-        for w in range(n_words):
-            old = of[w]
-            out_row, in_col, own = big[w] @ member, big[:, w] @ member, big[w, w]
-            out_row[old] -= own
-            in_col[old] -= own
-            rest = table.copy()
-            rest[old, :] -= out_row
-            rest[:, old] -= in_col
-            rest[old, old] -= own
-            c = np.arange(n_classes)
-            right, left = rest.sum(axis=1), rest.sum(axis=0)
-            add_r, add_l = out_row.sum() + own, in_col.sum() + own
-            rows_gain = xlogx(rest[:n_classes] + out_row) - xlogx(rest[:n_classes])
-            cols_gain = xlogx(rest[:, :n_classes] + in_col[:, None]) - xlogx(rest[:, :n_classes])
-            gain = rows_gain.sum(axis=1) + cols_gain.sum(axis=0) - rows_gain[c, c] - cols_gain[c, c]
-            gain += xlogx(rest[c, c] + out_row[c] + in_col[c] + own) - xlogx(rest[c, c])
-            gain -= xlogx(right[:n_classes] + add_r) - xlogx(right[:n_classes]) + xlogx(left[:n_classes] + add_l) - xlogx(left[:n_classes])
-            new = int(gain.argmax())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, out = shared.value, np.zeros(2 * units * total, np.int64)
+        for batch in batches:
+            a, b, n = (batch.column(i).to_numpy() for i in range(3))
+            np.add.at(out, a * total + of[b], n)
+            np.add.at(out, (units + b) * total + of[a], n)
+        at = np.flatnonzero(out)
+        yield pa.record_batch([pa.array(at), pa.array(out[at])], names=["key", "n"])
+
+    found = pairs.select("a", "b", "n").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 * units * total, np.int64)
+    out[found.column("key").to_numpy()] = found.column("n").to_numpy()
+    after, before = out.reshape(2, units, total)
+    return after, before
+
+
+def exchange_pass(of: np.ndarray, after: np.ndarray, before: np.ndarray, n_words: int, n_classes: int) -> int:
+    """Moves words 0..n_words-1 between classes 0..n_classes-1 in turn, by contexts counted
+    under the classes as they were; returns how many moved.
+
+    A word goes to the class with the greatest sum of N log N over class pairs, less that over
+    class margins.  Ties go to the lowest class.
+    """
+    total = after.shape[1]
+    table = np.zeros((total, total))
+    np.add.at(table, of, after.astype(float))
+    xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
+    c, moved = np.arange(n_classes), 0
+    for w in range(n_words):
+        old, out_row, in_col = of[w], after[w].astype(float), before[w].astype(float)
+        rest = table.copy()
+        rest[old, :] -= out_row
+        rest[:, old] -= in_col
+        np.maximum(rest, 0, out=rest)  # contexts counted under older classes may take too much
+        right, left = rest.sum(axis=1)[:n_classes], rest.sum(axis=0)[:n_classes]
+        gain = (xlogx(rest[:n_classes] + out_row) - xlogx(rest[:n_classes])).sum(axis=1)
+        gain += (xlogx(rest[:, :n_classes] + in_col[:, None]) - xlogx(rest[:, :n_classes])).sum(axis=0)
+        gain -= xlogx(right + out_row.sum()) - xlogx(right) + xlogx(left + in_col.sum()) - xlogx(left)
+        new = int(gain.argmax())
+        if new != old and gain[new] > gain[old] + 1e-9 * abs(gain[old]):
             rest[new, :] += out_row
             rest[:, new] += in_col
-            rest[new, new] += own
-            table = rest
-            if new != old:
-                of[w] = new
-                member[w, old], member[w, new] = 0, 1
-                moved += 1
-        if not moved:
+            table, of[w], moved = rest, new, moved + 1
+    return moved
+
+
+def exchange(pairs: DataFrame, n_words: int, fixed: int, n_classes: int, passes: int = 4) -> np.ndarray:
+    """Class of each word 0..n_words-1; ``fixed`` units after them keep classes of their own.
+
+    Words start round robin by rank; contexts are counted anew for each pass, and passes end
+    when no word moves or the likelihood no longer rises.
+    """
+    of = np.concatenate([np.arange(n_words) % n_classes, n_classes + np.arange(fixed)])
+    total, best, kept = n_classes + fixed, -np.inf, of.copy()
+    for turn in range(passes + 1):
+        after, before = contexts(pairs, of, total)
+        table = np.zeros((total, total))
+        np.add.at(table, of, after.astype(float))
+        value = sum(float((x * np.log(np.maximum(x, 1))).sum()) * sign for x, sign in ((table, 1), (table.sum(axis=0), -1), (table.sum(axis=1), -1)))
+        if value <= best:
             break
-    return of[:n_words]
+        best, kept = value, of.copy()
+        if turn == passes or not exchange_pass(of, after, before, n_words, n_classes):
+            break
+    return kept[:n_words]
+
+
+def placed(rows: DataFrame, units: Classes, m: int, of: np.ndarray, gains: np.ndarray, default: int) -> np.ndarray:
+    """Class of each vocabulary word from rank m on, by the classes around its tokens.
+
+    ``units`` has a word's rank as its class.  ``gains`` (2 x classes, word classes) is what a
+    neighbour of a class, before or after, adds to each word class.  Words of which no
+    neighbour has a class yet go to ``default``; ties go to the lowest class.
+    """
+    rest, total = units.tail, len(gains) // 2
+    # Classes of the neighbours: those of the top words, and of the end.
+    known = np.full(rest + 2, -1)
+    known[:m], known[rest + 1] = of, total - 1
+    shared = rows.sparkSession.sparkContext.broadcast((units, known, gains))
+
+    def keys_of(batch: pa.RecordBatch) -> np.ndarray:
+        units, known, _ = shared.value
+        h, _, bounds = words(*text_buffers(batch.column(0)))
+        before, here, _ = units.chain(units.of(h)[0], bounds)
+        ours = lambda u: (u >= m) & (u < rest)
+        x = ours(here) & (known[before] >= 0)
+        y = ours(before) & (known[here] >= 0)
+        return np.concatenate((here[x] * 2 * total + known[before[x]], before[y] * 2 * total + total + known[here[y]]))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains, unit, held = shared.value[2], -1, np.zeros(len(shared.value[2][0]))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u, ctx, n = (batch.column(i).to_numpy() for i in range(3))
+            start = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+            sums = np.add.reduceat(n[:, None] * gains[ctx], start, axis=0)
+            names = u[start]
+            if names[0] == unit:
+                sums[0] += held
+            elif unit >= 0:
+                names, sums = np.concatenate(([unit], names)), np.concatenate((held[None], sums))
+            unit, held = names[-1], sums[-1]
+            yield pa.record_batch([pa.array(names[:-1]), pa.array(sums[:-1].argmax(axis=1))], names=["unit", "cls"])
+        if unit >= 0:
+            yield pa.record_batch([pa.array([unit], pa.int64()), pa.array([held.argmax()], pa.int64())], names=["unit", "cls"])
+
+    seen = _counted(rows, keys_of).select(F.floor(F.col("key") / (2 * total)).alias("unit"), (F.col("key") % (2 * total)).alias("ctx"), "n")
+    found = seen.repartition("unit").sortWithinPartitions("unit", "ctx").mapInArrow(best, "unit long, cls long").toArrow()
+    out = np.full(rest - m, default, np.int64)
+    out[found.column("unit").to_numpy() - m] = found.column("cls").to_numpy()
+    return out
+
+
+@dataclass(frozen=True)
+class Model:
+    classes: Classes
+    follow: np.ndarray  # log10 P(class | class before)
+    emit: np.ndarray  # log10 P(word | class) of the vocabulary, in the order of its hashes
+    n_tokens: int
+    n_words: int  # distinct tokens, the end included
+    ends: int
+    tail_space: int  # a word of count c has (c + 1) / tail_space of the tail class
+    floor: int  # words of this count or more are the vocabulary
+
+
+def fit(learnt: DataFrame, vocab: DataFrame, top_words: int, n_classes: int, vocabulary: int, smoothing: float) -> Model:
+    """The model of ``learnt.text``; ``vocab`` has its word counts."""
+    ends = learnt.count()
+    sums = vocab.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    n_all, v_all = int(sums["n"] or 0) + ends, int(sums["v"]) + bool(ends)
+    floor = count_floor(vocab, vocabulary)
+    top = vocab.where(F.col("c") >= floor).toArrow()
+    h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
+    order = np.lexsort((h, -c))
+    h, c = h[order], c[order]
+    by_hash = np.argsort(h)
+    m = min(top_words, len(h))
+    k = min(n_classes, max(m, 1))
+
+    # Units of the exchange: each top word, then the rest of the vocabulary with the tail, and the end.
+    ranks = np.arange(len(h))
+    units = Classes(h[by_hash], np.minimum(ranks, m)[by_hash], c[by_hash], m)
+    shared = learnt.sparkSession.sparkContext.broadcast(units)
+
+    def pairs_of(batch: pa.RecordBatch) -> np.ndarray:
+        x, _, bounds = words(*text_buffers(batch.column(0)))
+        before, here, _ = shared.value.chain(shared.value.of(x)[0], bounds)
+        return before * (m + 2) + here
+
+    pairs = _counted(learnt, pairs_of).select(F.floor(F.col("key") / (m + 2)).alias("a"), (F.col("key") % (m + 2)).alias("b"), "n")
+    pairs = stored(pairs, "pairs")
+    of = exchange(pairs, m, 2, k)
+
+    # The rest of the vocabulary, by what its neighbours tell under the classes found.
+    every = np.concatenate([of, [k, k + 1]])
+    after, _ = contexts(pairs, every, k + 2)
+    table = np.zeros((k + 2, k + 2))
+    np.add.at(table, every, after.astype(float))
+    chance = (table + smoothing) / (table + smoothing).sum(axis=1, keepdims=True)
+    share = (table.sum(axis=0) + smoothing) / (table.sum(axis=0) + smoothing).sum()
+    gains = np.concatenate([np.log(chance[:, :k] / share[:k]), np.log(chance[:k].T)])
+    cls = of
+    if len(h) > m:
+        ranked = Classes(h[by_hash], ranks[by_hash], c[by_hash], len(h))
+        cls = np.concatenate([of, placed(learnt, ranked, m, of, gains, int(table[:, :k].sum(axis=0).argmax()))])
+    classes = Classes(h[by_hash], cls[by_hash].astype(np.int64), c[by_hash], k)
+    size = classes.tail + 2
+    table = bigram_counts(learnt, classes)
+    follow = np.log10((table + smoothing) / (table.sum(axis=1, keepdims=True) + smoothing * size))
+    in_class = np.bincount(classes.cls, weights=classes.counts, minlength=size) if len(h) else np.zeros(size)
+    emit = np.log10(classes.counts / in_class[classes.cls]) if len(h) else np.zeros(0)
+    tail_space = max(n_all - ends - int(c.sum()), 0) + (v_all - bool(ends) - len(h)) + 1
+    return Model(classes, follow, emit, n_all, v_all, ends, tail_space, floor)
 
 
 def score(
@@ -170,9 +328,9 @@ def score(
     train: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    top_words: int = 500,
+    top_words: int = 8192,
     n_classes: int = 32,
-    broadcast_words: int = 1 << 19,
+    vocabulary: int = 1 << 19,
     smoothing: float = 0.5,
 ) -> DataFrame:
     """Scores every row by a model of the rows where ``train`` holds.
@@ -185,7 +343,8 @@ def score(
 
     Null text counts as empty: one token, the end.  A null ``train`` counts as false.
     Null and repeated ids get rows like any other, and repeated rows count as often as
-    they occur.  Equal counts are ordered by hash.  Without training rows every word is
+    they occur.  Equal counts are ordered by hash; at the end of the vocabulary words of one
+    count are in it together or not at all.  Without training rows every word is
     unknown and classes are equally likely.  An empty table gives an empty result; other
     columns are ignored.
     """
@@ -194,50 +353,12 @@ def score(
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     learnt = rows.where("train")
     vocab = stored(word_counts(learnt), "vocabulary")
-    ends = learnt.count()
-    sums = vocab.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_all, v_all = int(sums["n"] or 0) + ends, int(sums["v"]) + bool(ends)
-
-    # The lowest count such that at most broadcast_words words have more.
-    spread = sorted(((r["c"], r["v"]) for r in vocab.groupBy(F.least("c", F.lit(1 << 14)).alias("c")).agg(F.count(F.lit(1)).alias("v")).collect()), reverse=True)
-    floor, held = 1 << 62, 0
-    for c, v in spread:
-        held += v
-        if held > broadcast_words:
-            break
-        floor = c
-    top = vocab.where(F.col("c") >= floor).toArrow()
-    h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
-    order = np.lexsort((h, -c))
-    h, c = h[order], c[order]
-    m = min(top_words, len(h))
-    by_hash = np.argsort(h)
-
-    # Units for exchange: each of the top words, then bands by count, then tail and end.
-    bands = np.floor(np.log2(np.maximum(c[m:], 1))).astype(np.int64)
-    bands -= bands.min() if len(bands) else 0
-    n_bands = int(bands.max()) + 1 if len(bands) else 0
-    unit = np.concatenate([np.arange(m), m + bands])
-    units = Classes(h[by_hash], unit[by_hash], c[by_hash], m + n_bands)
-    pairs = bigram_counts(learnt, units)
-    k = min(n_classes, max(m, 1))
-    of = exchange(pairs, m, k) if m else np.zeros(0, np.int64)
-    merge = np.concatenate([of, k + np.arange(n_bands + 2)]) if m else np.arange(n_bands + 2)
-    shift = k if m else 0
-    classes = Classes(units.hashes, merge[units.cls], units.counts, shift + n_bands)
-    size = classes.tail + 2
-    table = np.zeros((size, size))
-    np.add.at(table, (merge[:, None], merge[None, :]), pairs)
-    follow = np.log10((table + smoothing) / (table.sum(axis=1, keepdims=True) + smoothing * size))
-    in_class = np.bincount(classes.cls, weights=classes.counts, minlength=size) if len(classes.hashes) else np.zeros(size)
-    tail_words = v_all - bool(ends) - len(h)
-    tail_space = max(n_all - ends - int(c.sum()), 0) + tail_words + 1
-    base_space = n_all + (v_all + 1)
-    emit = np.log10(classes.counts / np.maximum(in_class[classes.cls], 1)) if len(classes.hashes) else np.zeros(0)
-    shared = spark.sparkContext.broadcast((classes, follow, emit, base_space, ends))
+    model = fit(learnt, vocab, top_words, n_classes, vocabulary, smoothing)
+    base_space, floor, tail_space, n_all = model.n_tokens + model.n_words + 1, model.floor, model.tail_space, model.n_tokens
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, follow, emit, base_space, ends = shared.value
+        classes, follow, emit, ends = shared.value.classes, shared.value.follow, shared.value.emit, shared.value.ends
         first = TaskContext.get().partitionId() << 40
         names = ["row", "id", "train", "n_tokens", "n_known", "base", "model", "h", "n"]
         for batch in slices(batches, "text"):
