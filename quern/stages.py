@@ -11,8 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir), or a local one if unset."""
+    """The folder that all executors share (spark.checkpoint.dir).
+
+    Where it is unset, a session in one process may use the temporary folder of its machine; a
+    cluster has no folder that surely is shared, and raises.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return base or os.path.join(tempfile.gettempdir(), "quern-checkpoints")
 
 
