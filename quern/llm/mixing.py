@@ -54,7 +54,7 @@ def word_weights(bags: DataFrame, domains: DataFrame, names: list[str], pooled:
     """
     known = domains.where(F.col("domain").isin(names)).select(F.col("doc_id").alias("id"), "domain")
     rows = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if sum(rows.values()) * 40 <= BROADCAST_BYTES:
+    if sum(rows.values()) * 120 <= BROADCAST_BYTES:
         known = F.broadcast(known)
     seen = bags.select("id", "buckets").join(known, "id").select("domain", F.explode("buckets").alias("bucket"))
     counts = {(r["domain"], r["bucket"]): r["n"] for r in seen.groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -173,8 +173,8 @@ def mix(
 ) -> DataFrame:
     """A nonnegative rate for each document, so that domains reach their target tokens.
 
-    ``domains`` (doc_id, domain) labels some documents; ``targets`` names the domains and
-    their shares of the corpus's tokens (made to sum to 1).  Returns one row per input
+    ``domains`` (doc_id, domain) labels some documents (labels of a domain that ``targets`` does
+    not name are left out); ``targets`` names the domains and their shares of the corpus's tokens (made to sum to 1).  Returns one row per input
     row: ``id_col``, ``n_tokens``, ``domain`` (the likeliest), ``posterior`` (one double
     for each domain, in the order of ``targets``), ``rate`` and ``mixed_tokens``
     (rate x n_tokens).  Where no rates meet the targets, they come as close as any can; the

@@ -23,6 +23,20 @@ def test_language_held_out(spark, sf):
     assert {r["lang_pred"] for r in langid.predict(odd, None).collect()} == {"und"}
 
 
+def test_strange_texts_are_rejected(spark, sf):
+    d = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = langid.fit(d, sample=~held)
+    rng = np.random.default_rng(0)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 300)) for _ in range(30)]
+    code = ["def main(argv):\n    for i in range(len(argv)):\n        if argv[i] == 'x': print(i)\n    return foo.bar(baz)", "SELECT a.id, count(*) FROM t JOIN b USING (k) WHERE x IS NOT NULL GROUP BY 1"]
+    other = ["Широкая электрификация южных губерний даст мощный толчок подъёму сельского хозяйства", "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan"]
+    rows = langid.predict(docs(spark, noise + code + other), model).collect()
+    assert np.mean([r["rejected"] for r in rows]) >= 0.95
+    kept = langid.predict(d.where(held), model).agg(F.avg(F.when(F.col("rejected"), 0).otherwise(1))).first()[0]
+    assert kept > 0.97
+
+
 def test_mixing_meets_targets(spark, sf):
     d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     targets = {"good": 0.85, "poor": 0.09, "good-toxic": 0.04, "poor-toxic": 0.02}
@@ -82,15 +96,39 @@ def test_mix_reports_its_gap(spark):
     assert report["stopped"] == "optimal" and 0 < report["least_gap"] <= report["gap"] <= report["least_gap"] + 1e-6
 
 
-def test_quality_held_out_and_edges(spark, sf):
-    d, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
-    rows = quality.score(d, labels).join(labels, "doc_id").collect()
-    insults = [r for r in rows if r["toxic_score"] >= 0.5]
-    assert insults and np.mean([r[10 + 1] == 1 or r["toxic"] for r in insults]) > 0.9
-    odd = docs(spark, [None, "", "a b"], [None, 1, 1]).withColumn("source", F.lit(None).cast("string"))
-    got = quality.score(odd, labels.limit(0)).collect()
-    assert len(got) == 3 and all(0 < r["quality"] < 1 for r in got)
-    assert quality.score(odd.limit(0), labels.limit(0)).count() == 0
+def auc(score, y):
+    rank = np.argsort(np.argsort(score, kind="stable"), kind="stable") + 1
+    y = np.array(y, bool)
+    return (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+
+
+def test_quality_on_labels_kept_from_the_fit(spark, sf):
+    d, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    kept = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = quality.fit(d, labels.where(~kept))
+    rows = quality.score(d, labels, classifier=model).join(labels.where(kept).withColumnRenamed("toxic", "is_toxic").withColumnRenamed("quality", "is_good"), "doc_id")
+    rows = rows.where("is_good is not null and is_toxic is not null").select("quality", "toxic_score", "is_good", "is_toxic").collect()
+    assert len(rows) > 500
+    assert auc([r["quality"] for r in rows], [r["is_good"] for r in rows]) > 0.9
+    assert auc([r["toxic_score"] for r in rows], [r["is_toxic"] for r in rows]) > 0.8
+
+
+def test_quality_edges(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    odd = docs(spark, [None, "", "a b", "a b"], [None, 1, 1, 1]).withColumn("source", F.lit(None).cast("string")).withColumnRenamed("n_chars", "q")
+    got = quality.score(odd, labels).collect()
+    assert len(got) == 4 and all(0 < r["quality"] < 1 for r in got) and quality.score(odd.limit(0), labels).count() == 0
+
+
+def test_a_document_is_no_evidence_for_itself(spark):
+    """A lone document's prior is the corpus mean, whatever its own evidence."""
+    df = docs(spark, ["good words", "bad words"] * 20).withColumn("source", F.when(F.col("doc_id") == 0, "lone").otherwise("many"))
+    odds = quality.Classifier(np.zeros((1 << 20, 2), np.float32), np.zeros((quality.SHAPES, 2)), np.zeros(2))
+    for w, x in (("good", 3.0), ("bad", -3.0)):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        odds.weights[quality.word_buckets(raw, np.array([0, len(raw)]), 1 << 20)[0], 0] = x
+    lone = next(r for r in quality.score(df, df.limit(0), classifier=odds).collect() if r["host"] == "lone")
+    assert abs(lone["quality"] - lone["evidence"]) < 1e-9
 
 
 def test_sparse_sites_shrink_to_the_mean(spark):
