@@ -209,8 +209,10 @@ def kmeans(df: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
     rows = _vectors(df).select("vec_id", array_to_vector("embedding").alias("features")).cache()
     k = k or kmeans_size(rows.count())
     if k < 2:
+        rows.unpersist()
         return df.select("vec_id", F.lit(1).cast("long").alias("cluster_id"))
     model = KMeans(k=k, maxIter=25, seed=seed, featuresCol="features", predictionCol="label").fit(rows)
+    rows.unpersist()
     return numbered(model.transform(rows).select("vec_id", F.col("label").cast("long").alias("label")), df)
 
 
@@ -225,6 +227,7 @@ def pca_whiten(df: DataFrame, components: int = 256) -> DataFrame:
     centred = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="centred").fit(rows).transform(rows)
     flat = PCA(k=k, inputCol="centred", outputCol="flat").fit(centred).transform(centred)
     scaled = StandardScaler(withMean=False, withStd=True, inputCol="flat", outputCol="out").fit(flat).transform(flat)
+    rows.unpersist()
     return scaled.select("vec_id", vector_to_array("out").alias("embedding"))
 
 
