@@ -111,8 +111,12 @@ def matches(
     before = lambda c, at: F.coalesce(*[F.when(F.col("k") == k, _seed(F.col(c), F.col(at) - 1, m, k)) for k, m in enumerate(MASKS)])
     follows = (F.col("at") > 0) & (F.col("item_at") > 0) & (F.col("k") < len(MASKS)) & (before("words", "at") == before("item_words", "item_at"))
     laid = laid.where(~F.coalesce(follows, F.lit(False)))
-    under = lambda j: (F.col("start") + j >= 0) & (F.get(F.col("words"), F.greatest(F.col("start") + j, F.lit(0))) == F.get(F.col("item_words"), j))
     n_item = F.size("item_words")
+    # Only the tokens under the item go on: a row that holds a long text is never copied for a hit.
+    part = F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, n_item).alias("part")
+    laid = laid.select("id", "item", "start", "item_words", part)
+    place = lambda j: j + F.least(F.col("start"), F.lit(0))
+    under = lambda j: (place(j) >= 0) & (place(j) < F.size("part")) & (F.get(F.col("part"), F.greatest(place(j), F.lit(0))) == F.get(F.col("item_words"), j))
     laid = laid.select("id", "item", "start", n_item.alias("n_item"), F.transform(F.sequence(F.lit(0), n_item - 1), lambda j: F.when(under(j), 1).otherwise(0)).alias("equal"))
     add = lambda a, x: a + x
     wide = F.least(F.lit(window), F.col("n_item"))
