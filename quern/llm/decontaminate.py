@@ -8,10 +8,11 @@ diagonal, and the pair is kept where enough tokens of one window agree.  So a lo
 an item is found whether or not the rest of the item is there, and an insertion or deletion
 costs no more than the window it falls in.
 
-All of it is DataFrame code: positions are exploded and hashed in generated code, and
-only hits (a document position that shares a seed with an item) go further.  Seeds of the
-benchmark are broadcast while their measured size allows it; otherwise the join shuffles
-positions and seeds, and texts are joined to the hits alone.
+All of it is DataFrame code: texts are cut into overlapping pieces, their positions are
+exploded and hashed in generated code, and only hits (a document position that shares a seed
+with an item) go further.  Seeds of the benchmark are broadcast while their measured size
+allows it; otherwise the join shuffles positions and seeds, and pieces are joined to the hits
+alone.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SPAN = 10
 WINDOW, MIN_SHARE = 13, 0.8
 #: Items shorter than SPAN, but not than this, are looked for word by word.
 SHORT = 5
+#: Fewest tokens in the core of a piece of text; work on one row is bounded by pieces, not texts.
+CORE = 256
 
 
 def tokens(text: Column) -> Column:
@@ -50,6 +53,22 @@ def _positions(words: Column) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
+def _pieces(words: Column, reach: int) -> Column:
+    """Cuts an array of tokens into pieces of bounded length, each token in the core of one.
+
+    A piece has ``reach`` tokens of its neighbours on either side, so that an item laid over a
+    hit in the core lies within the piece.  ``first`` is the token that the piece begins with and
+    ``skip`` the number of tokens before its core.
+    """
+    core = max(CORE, 2 * reach)
+
+    def piece(s: Column) -> Column:
+        first = F.greatest(s - reach, F.lit(0))
+        return F.struct(first.alias("first"), (s - first).alias("skip"), F.lit(core).alias("core"), F.slice(words, first + 1, s - first + core + reach).alias("words"))
+
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(core)), piece)
+
+
 def matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -85,39 +104,44 @@ def matches(
     lengths = sorted(r[0] for r in items.where(F.size("item_words") < SPAN).select(F.size("item_words")).distinct().collect())
     seeds = stored(seeds.unionByName(brief).groupBy("seed").agg(F.collect_set(F.struct("item", "item_at", "k")).alias("places")), "seeds")
     size = seeds.agg(F.sum(F.size("places") * 24 + 16)).first()[0] or 0
-    words_size = items.agg(F.sum(F.size("item_words") * 24)).first()[0] or 0
-    small = max(size, words_size) <= broadcast_bytes
+    words_size, longest = items.agg(F.sum(F.size("item_words") * 24), F.max(F.size("item_words"))).first()
+    small = max(size, words_size or 0) <= broadcast_bytes
     keep = F.broadcast if small else (lambda df: df)
 
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words")).where("id is not null")
-    words = words.withColumn("row", F.monotonically_increasing_id())
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("text_words")).where("id is not null")
+    words = words.select("id", F.explode(_pieces(F.col("text_words"), max(SPAN, longest or 0))).alias("p"))
+    words = words.select("id", "p.first", "p.skip", "p.core", "p.words").withColumn("row", F.monotonically_increasing_id())
     if not small:
         words = stored(words, "words")
-    # Nothing but generated code up to the join, so no row that holds the words is copied.
-    last = F.size("words") - min([SPAN, *lengths])
-    spots = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    at = words.select("row", "id", "words", F.explode(spots).alias("at"))
+    # Positions count from the start of the piece; only those of its core are looked up.
+    last = F.least(F.col("skip") + F.col("core") - 1, F.size("words") - min([SPAN, *lengths]))
+    spots = F.when(last >= F.col("skip"), F.sequence(F.col("skip"), last)).otherwise(F.array().cast("array<int>"))
+    at = words.select("row", "id", "first", "words", F.explode(spots).alias("at"))
     room = F.size("words") - F.col("at")
     masked = [F.when(room >= SPAN, _seed(F.col("words"), F.col("at"), m, k)) for k, m in enumerate(MASKS)]
     exact = [F.when(room >= n, F.xxhash64(F.slice("words", F.col("at") + 1, n))) for n in lengths]
-    hits = at.select("row", "id", "words", "at", F.explode(F.array(*masked, *exact)).alias("seed")).where("seed is not null")
+    hits = at.select("row", "id", "first", "words", "at", F.explode(F.array(*masked, *exact)).alias("seed")).where("seed is not null")
     if small:
         hits = hits.join(F.broadcast(seeds), "seed")
     else:
         hits = hits.select("row", "at", "seed").join(seeds, "seed").select("row", "at", "places").join(words, "row")
-    laid = hits.select("id", "words", "at", F.explode("places").alias("place")).select("id", "words", "at", "place.item", "place.item_at", "place.k", (F.col("at") - F.col("place.item_at")).alias("start"))
+    laid = hits.select("id", "first", "words", "at", F.explode("places").alias("place"))
+    laid = laid.select("id", "first", "words", "at", "place.item", "place.item_at", "place.k", (F.col("at") - F.col("place.item_at")).alias("start"))
     laid = laid.join(keep(items), "item")
     # Of hits in a row under one mask the first is enough: they lie on the same diagonal.
     before = lambda c, at: F.coalesce(*[F.when(F.col("k") == k, _seed(F.col(c), F.col(at) - 1, m, k)) for k, m in enumerate(MASKS)])
     follows = (F.col("at") > 0) & (F.col("item_at") > 0) & (F.col("k") < len(MASKS)) & (before("words", "at") == before("item_words", "item_at"))
     laid = laid.where(~F.coalesce(follows, F.lit(False)))
     n_item = F.size("item_words")
-    # Only the tokens under the item go on: a row that holds a long text is never copied for a hit.
+    # Only the tokens under the item go on.
     part = F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, n_item).alias("part")
-    laid = laid.select("id", "item", "start", "item_words", part)
+    laid = laid.select("id", "item", (F.col("first") + F.col("start")).alias("start"), "item_words", part)
     place = lambda j: j + F.least(F.col("start"), F.lit(0))
     under = lambda j: (place(j) >= 0) & (place(j) < F.size("part")) & (F.get(F.col("part"), F.greatest(place(j), F.lit(0))) == F.get(F.col("item_words"), j))
-    laid = laid.select("id", "item", "start", n_item.alias("n_item"), F.transform(F.sequence(F.lit(0), n_item - 1), lambda j: F.when(under(j), 1).otherwise(0)).alias("equal"))
+    equal = F.transform(F.sequence(F.lit(0), n_item - 1), lambda j: F.when(under(j), 1).otherwise(0))
+    # Through explode, as the condition on windows would otherwise be moved into the join, with
+    # ``equal`` written out, and so computed anew, in every window.
+    laid = laid.select("id", "item", "start", n_item.alias("n_item"), F.explode(F.array(equal)).alias("equal"))
     add = lambda a, x: a + x
     wide = F.least(F.lit(window), F.col("n_item"))
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("n_item") - wide), lambda s: F.aggregate(F.slice("equal", s + 1, wide), F.lit(0), add)))

@@ -141,3 +141,34 @@ def test_clean_edges(spark):
     kept = D.clean(df, bench)
     assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "3", "4", "None"]
     assert D.matches(df.limit(0), bench).count() == 0 and D.matches(df, bench.limit(0)).count() == 0
+
+
+def overlaps(doc, item):
+    """Best (n_equal, start, n_window) of an item laid at every place of a text, without seeds."""
+    best = None
+    for start in range(1 - len(item), len(doc)):
+        equal = [0 <= start + j < len(doc) and doc[start + j] == w for j, w in enumerate(item)]
+        wide = min(D.WINDOW, len(item))
+        n_window = max(sum(equal[s : s + wide]) for s in range(len(item) - wide + 1))
+        if n_window >= -(-D.MIN_SHARE * wide // 1) and (best is None or sum(equal) > best[0]):
+            best = sum(equal), start, n_window
+    return best
+
+
+@pytest.mark.parametrize("broadcast_bytes", [D.BROADCAST_BYTES, 0])
+def test_items_across_the_pieces_of_a_long_text(spark, broadcast_bytes):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    items = [[word() for _ in range(n)] for n in (12, 30, 90)]
+    texts = []
+    for item in items:
+        for at in (0, D.CORE - 1, D.CORE - 7, D.CORE, 2 * D.CORE - len(item), 3 * D.CORE - len(item)):
+            text = [word() for _ in range(3 * D.CORE)]
+            text[at : at + len(item)] = item
+            text[at + 5] = "other"
+            texts.append(text)
+    texts += [items[2] * 40, items[0], [word() for _ in range(2000)], []]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_equal"], r["start"], r["n_window"]) for r in D.matches(docs(spark, [" ".join(t) for t in texts]), bench, broadcast_bytes=broadcast_bytes).collect()}
+    want = {(i, j): b for i, t in enumerate(texts) for j, item in enumerate(items) if (b := overlaps(t, item))}
+    assert len(want) >= 20 and got == want
