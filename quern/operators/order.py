@@ -20,6 +20,8 @@ from quern.stages import stored
 
 #: Most cells whose ends are chained on the driver.
 MAX_CELLS = 20_000
+#: Ranks in a block when parts of an order are put in a row.
+RANK_BLOCK = 65_536
 
 
 def neighbor_graph(df: DataFrame, k: int, mutual: bool = True) -> DataFrame:
@@ -56,11 +58,16 @@ def component_sizes(edges: DataFrame, nodes: DataFrame, src: str = "u", dst: str
     return every.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
-def _concatenate(parts: DataFrame, order: DataFrame) -> DataFrame:
-    """(pos, vec_id) from (part, place, vec_id) and the rank of each part with its size."""
+def _concatenate(parts: DataFrame, order: DataFrame, block: int = RANK_BLOCK) -> DataFrame:
+    """(pos, vec_id) from (part, place, vec_id) and the rank of each part with its size.
+
+    Sizes are summed up inside blocks of ranks; only one row a block meets in one task."""
     from pyspark.sql import Window as W
 
-    shift = order.select("part", (F.sum("size").over(W.orderBy("rank")) - F.col("size")).alias("shift"))
+    order = order.select("part", "size", "rank", F.floor(F.col("rank") / block).alias("block"))
+    blocks = order.groupBy("block").agg(F.sum("size").alias("total")).select("block", (F.sum("total").over(W.orderBy("block")) - F.col("total")).alias("before"))
+    inside = F.sum("size").over(W.partitionBy("block").orderBy("rank")) - F.col("size")
+    shift = order.withColumn("inside", inside).join(blocks, "block").select("part", (F.col("inside") + F.col("before")).alias("shift"))
     return parts.join(shift, "part").select((F.col("shift") + F.col("place")).cast("long").alias("pos"), "vec_id")
 
 

@@ -100,3 +100,13 @@ def test_metrics_on_a_perfect_order(spark):
 def test_average_rank(spark):
     df = spark.createDataFrame([(3.0,), (1.0,), (3.0,), (2.0,)], "a double")
     assert sorted((r["a"], r["r"]) for r in M.average_rank(df, "a", "r").collect()) == [(1.0, 1.0), (2.0, 2.0), (3.0, 3.5), (3.0, 3.5)]
+
+
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_parts_are_put_in_a_row(spark, block):
+    sizes = [3, 1, 4, 1, 5, 2, 6]
+    parts = [(p, k, 100 * p + k) for p, n in enumerate(sizes) for k in range(n)]
+    order = [(p, n, len(sizes) - p) for p, n in enumerate(sizes)]
+    got = O._concatenate(spark.createDataFrame(parts, "part long, place long, vec_id long"), spark.createDataFrame(order, "part long, size long, rank long"), block)
+    want = [100 * p + k for p in reversed(range(len(sizes))) for k in range(sizes[p])]
+    assert [(r["pos"], r["vec_id"]) for r in got.orderBy("pos").collect()] == list(enumerate(want))
