@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.stages import release, shared_dir, stored
 
-__all__ = ["BROADCAST_BYTES", "HOT_KEYS", "ascii_lower", "release", "remainder", "shared_dir", "stored", "table", "unused"]
+__all__ = ["BROADCAST_BYTES", "HOT_KEYS", "ascii_lower", "crc_sql", "release", "remainder", "shared_dir", "stored", "table", "unused"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side of a join is broadcast only if it is measured to be below this many bytes.
@@ -38,3 +38,11 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def crc_sql(keys: str) -> str:
+    """DuckDB CTEs that end in crc (key, crc): the crc32 of each string in the query ``keys``."""
+    return f"""WITH RECURSIVE
+crc_bits(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS lut FROM crc_bits WHERE k = 8),
+crc AS (SELECT key, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(hex(key)) // 2), lambda i: ('0x' || substr(hex(key), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(lut[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc FROM ({keys}), crc_table)"""

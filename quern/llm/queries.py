@@ -16,6 +16,7 @@ from quern.llm import langid as _langid
 from quern.llm import license_scan as _license
 from quern.llm import mixing as _mixing
 from quern.llm import quality as _quality
+from quern.llm import resample as _resample
 from quern.llm import suffix_dedup as _suffix
 from quern.llm.common import remainder, table
 
@@ -69,9 +70,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20, buckets=10_000, run=1, seed=2024)
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": _bench.SQL, "op10_exact_dedup": _exact.SQL}
+    return {"op1_decontaminate": _bench.SQL, "op10_exact_dedup": _exact.SQL, "op11_importance_resampling": _resample.SQL}
