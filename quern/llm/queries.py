@@ -14,6 +14,7 @@ from quern.llm import html_text as _html
 from quern.llm import jaccard_join as _jaccard
 from quern.llm import langid as _langid
 from quern.llm import license_scan as _license
+from quern.llm import manifest as _manifest
 from quern.llm import mixing as _mixing
 from quern.llm import quality as _quality
 from quern.llm import resample as _resample
@@ -74,9 +75,14 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20, buckets=10_000, run=1, seed=2024)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _manifest.manifest(docs, *_manifest.lower_thirds(docs))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": _bench.SQL, "op10_exact_dedup": _exact.SQL, "op11_importance_resampling": _resample.SQL}
+    return {"op1_decontaminate": _bench.SQL, "op10_exact_dedup": _exact.SQL, "op11_importance_resampling": _resample.SQL, "op12_merkle_manifest": _manifest.SQL}
