@@ -66,7 +66,7 @@ def _query(block: pa.Table, sql: str, values: list | None = None) -> pa.Table:
     con = _engine()
     con.register("block", block)
     try:
-        return con.execute(sql, values or []).to_arrow_table()
+        return con.sql(sql, params=values or []).to_arrow_table()
     finally:
         con.unregister("block")
 
