@@ -2,14 +2,15 @@
 
 Distances are Euclidean, in double precision.  Joins over all pairs run as Arrow kernels:
 a base that is measured to fit ``BROADCAST_BYTES`` is broadcast as one matrix and every
-task compares its own rows with it; a larger base is cut in blocks, and every pair of
-blocks is one task's matrix product, so neither side ever has to fit one machine.
-Candidates found by the fast product are measured again by direct differences.
+task compares its own rows with it; a larger base is cut in the blocks of a pivot index, and
+only pairs of blocks that the triangle inequality leaves possible are compared, each in one
+task, so neither side ever has to fit one machine.  Candidates found by the fast product are
+measured again by direct differences.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,20 +19,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.functions import vectors as V
+from quern.operators import pivots as P
+from quern.operators.pivots import matrix
 
 BROADCAST_BYTES = 256 << 20
-#: Bytes of one block when the base is too large to broadcast.
-BLOCK_BYTES = 4 << 20
-#: Rows of one matrix product.
-STEP = 1024
+#: Numbers in the matrix product of one step.
+STEP_CELLS = 1 << 23
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(n, -1) if n else np.zeros((0, 0))
+def _step(n: int) -> int:
+    return max(16, STEP_CELLS // max(n, 1))
 
 
 _EPS = np.finfo(np.float64).eps
@@ -57,9 +54,10 @@ def _nearest(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, k: in
     out = []
     qc, bc, moved = _centred(q, b)
     norms = (bc * bc).sum(axis=1)
-    for at in range(0, len(q), STEP):
-        x, xi = q[at : at + STEP], qi[at : at + STEP]
-        d2, slack = _products(qc[at : at + STEP], bc, norms)
+    step = _step(len(b))
+    for at in range(0, len(q), step):
+        x, xi = q[at : at + step], qi[at : at + step]
+        d2, slack = _products(qc[at : at + step], bc, norms)
         d2[xi[:, None] == bi[None, :]] = np.inf
         take = min(k, len(b))
         bound = np.partition(d2, take - 1, axis=1)[:, take - 1]
@@ -81,9 +79,10 @@ def _within(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, eps: f
         return out[0]
     qc, bc, moved = _centred(q, b)
     norms = (bc * bc).sum(axis=1)
-    for at in range(0, len(q), STEP):
-        x, xi = q[at : at + STEP], qi[at : at + STEP]
-        d2, slack = _products(qc[at : at + STEP], bc, norms)
+    step = _step(len(b))
+    for at in range(0, len(q), step):
+        x, xi = q[at : at + step], qi[at : at + step]
+        d2, slack = _products(qc[at : at + step], bc, norms)
         slack = slack + 8 * moved * np.sqrt(q.shape[1]) * (eps + moved) + 4 * _EPS * eps * eps
         r, c = np.nonzero((d2 <= (eps * eps + slack)[:, None]) & (xi[:, None] != bi[None, :]))
         dist = np.sqrt(((x[r] - b[c]) ** 2).sum(axis=1))
@@ -92,35 +91,26 @@ def _within(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, eps: f
     return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
 
-def _pairs(queries: DataFrame, base: DataFrame, kernel, broadcast_bytes: int) -> DataFrame:
-    """Runs kernel(qi, q, bi, b) over all of queries x base; (src, dst, dist)."""
-    schema = "src long, dst long, dist double"
-    batch_of = lambda z: pa.record_batch([pa.array(z[0], pa.int64()), pa.array(z[1], pa.int64()), pa.array(z[2], pa.float64())], names=["src", "dst", "dist"])
-    size = base.agg(F.sum(F.size("v") * 8 + 8)).first()[0] or 0
-    if size <= broadcast_bytes:
-        whole = base.toArrow()
-        shared = queries.sparkSession.sparkContext.broadcast((whole.column("id").to_numpy(), _matrix(whole.column("v"))))
+def _broadcast(queries: DataFrame, base: DataFrame, kernel: Callable[..., P.Found]) -> DataFrame:
+    """Runs kernel(qi, q, bi, b) over all of queries x a small base; (src, dst, dist)."""
+    whole = base.toArrow()
+    shared = queries.sparkSession.sparkContext.broadcast((whole.column("id").to_numpy(), matrix(whole.column("v"))))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bi, b = shared.value
-            for batch in batches:
-                if batch.num_rows:
-                    yield batch_of(kernel(batch.column(0).to_numpy(), _matrix(batch.column(1)), bi, b))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bi, b = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                src, dst, dist = kernel(batch.column(0).to_numpy(), matrix(batch.column(1)), bi, b)
+                yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(dist, pa.float64())], names=["src", "dst", "dist"])
 
-        parts = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-        return queries.repartition(parts, "id").mapInArrow(run, schema)
+    parts = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return queries.repartition(parts, "id").mapInArrow(run, "src long, dst long, dist double")
 
-    blocks = int(-(-size // BLOCK_BYTES) + 1)
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = queries.select("id", "v", block.alias("i"), every.alias("j"), F.lit(0).alias("side")).unionByName(base.select("id", "v", every.alias("i"), block.alias("j"), F.lit(1).alias("side")))
 
-    def cell(rows: pa.Table) -> pa.Table:
-        side = rows.column("side").to_numpy()
-        ids, v = rows.column("id").to_numpy(), _matrix(rows.column("v"))
-        return pa.Table.from_batches([batch_of(kernel(ids[side == 0], v[side == 0], ids[side == 1], v[side == 1]))])
-
-    return rows.groupBy("i", "j").applyInArrow(cell, schema)
+def _measure(base: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of ids and vectors."""
+    n, size = base.agg(F.count(F.lit(1)), F.sum(F.size("v") * 8 + 8)).first()
+    return n, size or 0
 
 
 def _rows(df: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -134,17 +124,43 @@ def knn_join(df: DataFrame, k: int, queries: DataFrame | None = None, id_col: st
     where there are no more rows.
     """
     base = _rows(df, id_col, vector)
-    found = _pairs(base if queries is None else _rows(queries, id_col, vector), base, lambda qi, q, bi, b: _nearest(qi, q, bi, b, k), broadcast_bytes)
+    asked = base if queries is None else _rows(queries, id_col, vector)
+    if _measure(base)[1] <= broadcast_bytes:
+        found = _broadcast(asked, base, lambda qi, q, bi, b: _nearest(qi, q, bi, b, k))
+    else:
+        found = knn_pruned(asked, base, k)[0]
     rank = F.row_number().over(W.partitionBy("src").orderBy("dist", "dst"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", "rank", "dist")
 
 
+def knn_pruned(queries: DataFrame, base: DataFrame, k: int) -> tuple[DataFrame, dict[str, int]]:
+    """(src, dst, dist) by the pivot index, from rows (id, v); and its pairs of blocks and how
+    many of them were visited."""
+
+    def kernel(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, worst: np.ndarray) -> P.Found:
+        src, dst, dist = _nearest(qi, q, bi, b, k)
+        order = np.argsort(qi, kind="stable")
+        keep = dist <= worst[order][np.searchsorted(qi[order], src)]
+        return src[keep], dst[keep], dist[keep]
+
+    found, report = P.search(queries.withColumn("own", F.lit(0.0)), base, k, kernel)
+    return found.withColumnRenamed("key", "dist"), report
+
+
 def eps_join(df: DataFrame, eps: float, inclusive: bool = False, id_col: str = "vec_id", vector: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(src, dst, dist) of all ordered pairs closer than ``eps`` (or at it, if inclusive)."""
     base = _rows(df, id_col, vector)
     if eps <= 0:
         return base.sparkSession.createDataFrame([], "src long, dst long, dist double")
-    return _pairs(base, base, lambda qi, q, bi, b: _within(qi, q, bi, b, eps, inclusive), broadcast_bytes)
+    if _measure(base)[1] <= broadcast_bytes:
+        return _broadcast(base, base, lambda qi, q, bi, b: _within(qi, q, bi, b, eps, inclusive))
+    return eps_pruned(base, eps, inclusive)[0]
+
+
+def eps_pruned(base: DataFrame, eps: float, inclusive: bool = False) -> tuple[DataFrame, dict[str, int]]:
+    """(src, dst, dist) by the pivot index, from rows (id, v); and its pairs of blocks and how
+    many of them were visited."""
+    return P.eps_pairs(base, *_measure(base), eps, lambda qi, q, bi, b: _within(qi, q, bi, b, eps, inclusive))
 
 
 def knn_query(df: DataFrame, query: Column, k: int, exclude: Column | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.neighbors import BROADCAST_BYTES, _matrix, _nearest, knn_join
+from quern.operators.neighbors import BROADCAST_BYTES, _nearest, knn_join
+from quern.operators.pivots import matrix
 
 
 def stream_knn(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -26,13 +27,13 @@ def stream_knn(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_i
     if size > BROADCAST_BYTES:
         raise ValueError("the base is too large to broadcast; use answer_batches")
     whole = rows.toArrow()
-    shared = queries.sparkSession.sparkContext.broadcast((whole.column("id").to_numpy(), _matrix(whole.column("v"))))
+    shared = queries.sparkSession.sparkContext.broadcast((whole.column("id").to_numpy(), matrix(whole.column("v"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = shared.value
         for batch in batches:
             if batch.num_rows:
-                src, dst, dist = _nearest(batch.column(0).to_numpy(), _matrix(batch.column(1)), ids, x, k)
+                src, dst, dist = _nearest(batch.column(0).to_numpy(), matrix(batch.column(1)), ids, x, k)
                 yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(dist)], names=["src", "dst", "dist"])
 
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))

@@ -3,6 +3,7 @@ import pytest
 
 from quern.operators import graph as G
 from quern.operators import neighbors as N
+from quern.operators import pivots as P
 from tests.fixtures import frame, planted
 
 
@@ -45,7 +46,7 @@ def test_eps_is_strict_unless_inclusive(spark, limit):
 @pytest.mark.parametrize("limit", [1 << 30, 0])
 @pytest.mark.parametrize("d,offset,spread", [(8, 1e4, 1e-3), (200, 0.0, 1.0)])
 def test_far_from_the_origin_and_wide(spark, limit, d, offset, spread, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK_BYTES", 20 * d * 8)
+    monkeypatch.setattr(P, "BLOCK_BYTES", 20 * d * 8)
     x = offset + np.random.default_rng(2).normal(0, spread, (50, d))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
@@ -91,3 +92,41 @@ def test_partitions_do_not_matter(spark):
     df = frame(spark, x)
     a = sorted(map(tuple, N.knn_join(df.repartition(7), 4).collect()))
     assert a == sorted(map(tuple, N.knn_join(df.coalesce(1), 4).collect()))
+
+
+def clustered(n=600, d=6, centres=12, seed=3):
+    rng = np.random.default_rng(seed)
+    at = rng.normal(0, 10, (centres, d))
+    return (at[rng.integers(0, centres, n)] + rng.normal(0, 0.3, (n, d))).astype(np.float32)
+
+
+@pytest.mark.parametrize("block", [20, 64, 5000])
+def test_pivots_skip_blocks_and_lose_nothing(spark, monkeypatch, block):
+    monkeypatch.setattr(P, "BLOCK_BYTES", block * 56)
+    x = clustered()
+    df = frame(spark, x)
+    base = N._rows(df, "vec_id", "embedding")
+    found, report = N.knn_pruned(base, base, 4)
+    rank = {(r["src"], r["dst"]) for r in found.collect()}
+    assert rank == {(i, j) for i, j, _ in brute(x.astype(float), 4)}
+    d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(-1))
+    near, pairs = N.eps_pruned(base, 0.6)
+    assert {(r["src"], r["dst"]) for r in near.collect()} == {(i, j) for i, j in zip(*np.nonzero(d < 0.6), strict=True) if i != j}
+    assert pairs["visited"] < 0.5 * pairs["pairs"] and report["visited"] < 0.6 * report["pairs"]
+
+
+def test_pivot_search_for_other_queries_repeats_and_hot_pivot(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK_BYTES", 16 * 56)
+    x = np.vstack((np.zeros((150, 6)), clustered(200)))
+    queries = clustered(40, seed=9) + 0.01
+    got = {(r["src"], r["dst"], r["rank"]) for r in N.knn_join(frame(spark, x), 3, frame(spark, queries, ids=range(1000, 1040)), broadcast_bytes=0).collect()}
+    d = np.sqrt(((queries.astype(np.float32).astype(float)[:, None] - x[None].astype(np.float32).astype(float)) ** 2).sum(-1))
+    assert got == {(1000 + i, j, r + 1) for i in range(40) for r, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:3].tolist())}
+    same = N.knn_join(frame(spark, x), 2, broadcast_bytes=0).where("src < 150")
+    assert {(r["src"], r["dst"]) for r in same.collect()} == {(i, j) for i in range(150) for j in [j for j in range(3) if j != i][:2]}
+
+
+def test_fewer_rows_than_asked(spark):
+    x = clustered(7)
+    assert N.knn_join(frame(spark, x), 20, broadcast_bytes=0).count() == 42
+    assert N.knn_join(frame(spark, x[:0]), 20, broadcast_bytes=0).count() == 0
