@@ -19,6 +19,7 @@ from quern.llm import mixing as _mixing
 from quern.llm import quality as _quality
 from quern.llm import resample as _resample
 from quern.llm import suffix_dedup as _suffix
+from quern.llm import topk_search as _topk
 from quern.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,9 +81,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _manifest.manifest(docs, *_manifest.lower_thirds(docs))
 
 
+def op13_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)[0]
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": _bench.SQL, "op10_exact_dedup": _exact.SQL, "op11_importance_resampling": _resample.SQL, "op12_merkle_manifest": _manifest.SQL}
+    return {"op1_decontaminate": _bench.SQL, "op10_exact_dedup": _exact.SQL, "op11_importance_resampling": _resample.SQL, "op12_merkle_manifest": _manifest.SQL, "op13_pivot_topk": _topk.SQL}
