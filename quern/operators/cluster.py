@@ -19,6 +19,8 @@ from pyspark.sql import Window as W
 
 from quern.functions import vectors as V
 from quern.operators import kernels
+from quern.operators.agglomerate import agglomerate
+from quern.operators.density import leaves, mutual_tree
 from quern.operators.graph import connected_components, reciprocal
 from quern.operators.neighbors import eps_join, knn_join, shared_neighbors
 from quern.stages import stored
@@ -163,9 +165,9 @@ def greedy_distance(df: DataFrame, eps: float, percent: float = 50, min_size: in
     return numbered(_per_component(df, eps, kernel, max_rows), df, min_size)
 
 
-def complete_linkage(df: DataFrame, eps: float, min_size: int = 2, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Complete linkage cut at eps; exact per component, as all merges stay inside one."""
-    return numbered(_per_component(df, eps, lambda ids, x: kernels.linkage_cut(x, eps, ward=False), max_rows), df, min_size)
+def complete_linkage(df: DataFrame, eps: float, min_size: int = 2) -> DataFrame:
+    """Complete linkage cut at eps."""
+    return numbered(agglomerate(df, eps), df, min_size)
 
 
 def _one_group(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], max_rows: int) -> DataFrame:
@@ -180,9 +182,9 @@ def _one_group(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], max_ro
     return _vectors(df).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "vec_id long, label long")
 
 
-def ward(df: DataFrame, eps: float, min_size: int = 2, max_rows: int = MAX_ROWS) -> DataFrame:
+def ward(df: DataFrame, eps: float, min_size: int = 2) -> DataFrame:
     """Ward's agglomerative clustering cut at eps."""
-    return numbered(_one_group(df, lambda x: kernels.linkage_cut(x, eps, ward=True), max_rows), df, min_size)
+    return numbered(agglomerate(df, eps, ward=True), df, min_size)
 
 
 def optics(df: DataFrame, eps: float = 0.0, min_size: int = 2, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -191,9 +193,11 @@ def optics(df: DataFrame, eps: float = 0.0, min_size: int = 2, max_rows: int = M
     return numbered(_one_group(df, lambda x: kernels.optics(x, max(2, min_size), reach), max_rows), df, min_size)
 
 
-def hdbscan(df: DataFrame, min_size: int = 2, max_rows: int = MAX_ROWS) -> DataFrame:
-    """HDBSCAN with leaf selection; takes no range."""
-    return numbered(_one_group(df, lambda x: kernels.hdbscan(x, max(2, min_size)), max_rows), df)
+def hdbscan(df: DataFrame, min_size: int = 2) -> DataFrame:
+    """HDBSCAN with leaf selection; takes no range.  The core distance is that to the
+    min_size-th other row, and one cluster of all rows is no cluster."""
+    size = max(2, min_size)
+    return numbered(leaves(mutual_tree(df, size), size), df)
 
 
 def kmeans_size(n: int) -> int:

@@ -109,68 +109,6 @@ def spanning_tree(d: np.ndarray) -> list[tuple[float, int, int]]:
     return out
 
 
-def hdbscan(x: np.ndarray, min_size: int) -> np.ndarray:
-    """HDBSCAN with leaf selection; -1 is noise.  The core distance is that to the
-    min_size-th other row."""
-    n = len(x)
-    if n < max(2, min_size):
-        return np.full(n, -1)
-    d = distances(x)
-    k = min(min_size, n - 1)
-    core = np.sort(d, axis=1)[:, k]
-    reach = np.maximum(np.maximum(d, core[:, None]), core[None, :])
-    np.fill_diagonal(reach, np.inf)
-    edges = sorted(spanning_tree(reach))
-    top, kids, count, height = np.arange(n), {}, {i: 1 for i in range(n)}, {}
-    root = list(range(n))
-
-    def find(a: int) -> int:
-        while root[a] != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        return a
-
-    new = n
-    for w, u, v in edges:
-        a, b = find(u), find(v)
-        root.append(new)
-        root[a] = root[b] = new
-        kids[new], count[new], height[new] = (a, b), count[a] + count[b], w
-        new += 1
-    del top
-
-    def rows(node: int) -> list[int]:
-        stack, out = [node], []
-        while stack:
-            a = stack.pop()
-            if a < n:
-                out.append(a)
-            else:
-                stack.extend(kids[a])
-        return out
-
-    label, stack, leaves = np.full(n, -1), [new - 1], []
-    while stack:  # (node) is the top of a condensed cluster
-        top_node = node = stack.pop()
-        while node >= n:
-            a, b = kids[node]
-            big = [c for c in (a, b) if count[c] >= min_size]
-            if len(big) == 2:
-                stack += big
-                break
-            if not big:
-                leaves.append(top_node)
-                break
-            node = big[0]
-        else:
-            leaves.append(top_node)
-    if len(leaves) == 1 and leaves[0] == new - 1:
-        return label  # one cluster is no cluster
-    for leaf in leaves:
-        label[rows(leaf)] = leaf
-    return label
-
-
 def optics(x: np.ndarray, min_samples: int, max_eps: float, xi: float = 0.05) -> np.ndarray:
     """OPTICS ordering with xi extraction of the smallest clusters; -1 is noise."""
     n = len(x)

@@ -98,7 +98,7 @@ def test_refine_only_removes(blobs):
 def test_refuses_large_groups(blobs):
     df, _ = blobs
     with pytest.raises(ValueError):
-        C.ward(df, 0.5, max_rows=10)
+        C.optics(df, 0.5, max_rows=10)
 
 
 def test_pca_whitening(spark):
