@@ -16,6 +16,7 @@ from quern.operators import kernels
 from quern.operators.cluster import MAX_ROWS, _refuse, _vectors, kmeans, ranked
 from quern.operators.graph import connected_components
 from quern.operators.neighbors import knn_join
+from quern.operators.tours import preorder
 from quern.stages import stored
 
 #: Most cells whose ends are chained on the driver.
@@ -71,15 +72,18 @@ def _concatenate(parts: DataFrame, order: DataFrame, block: int = RANK_BLOCK) ->
     return parts.join(shift, "part").select((F.col("shift") + F.col("place")).cast("long").alias("pos"), "vec_id")
 
 
-def dfs_order(df: DataFrame, k: int = 10, max_rows: int = MAX_ROWS) -> DataFrame:
+def dfs_order(df: DataFrame, k: int = 10, in_task: int = MAX_ROWS) -> DataFrame:
     """Depth-first order of the spanning forest of the neighbour graph: the largest
-    component first, the others by smallest id."""
+    component first, the others by smallest id.
+
+    Trees of up to ``in_task`` rows are walked each in one task, larger ones by an Euler tour,
+    with the same order."""
     tree = stored(minimum_spanning_forest(neighbor_graph(df, k)), "forest")
     comp = connected_components(tree, "u", "v").select(F.col("node").alias("vec_id"), F.col("component").alias("part"))
     nodes = stored(df.select(F.col("vec_id").cast("long").alias("vec_id")).join(comp, "vec_id", "left").select("vec_id", F.coalesce("part", "vec_id").alias("part")), "nodes")
     sizes = stored(nodes.groupBy("part").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    _refuse(sizes.agg(F.max("size")).first()[0], max_rows)
     placed = tree.join(nodes.withColumnRenamed("vec_id", "u"), "u").select("part", "u", "v", "w")
+    large = stored(sizes.where(F.col("size") > max(in_task, 1)).select("part"), "large")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate((pdf["u"], pdf["v"])))
@@ -87,7 +91,9 @@ def dfs_order(df: DataFrame, k: int = 10, max_rows: int = MAX_ROWS) -> DataFrame
         path = kernels.tree_order(len(ids), sorted(zip(pdf["w"].tolist(), u.tolist(), v.tolist(), strict=True)))
         return pd.DataFrame({"part": pdf["part"].iloc[0], "place": np.arange(len(ids)), "vec_id": ids[path]})
 
-    walked = placed.groupBy("part").applyInPandas(walk, "part long, place long, vec_id long")
+    walked = placed.join(large, "part", "left_anti").groupBy("part").applyInPandas(walk, "part long, place long, vec_id long")
+    if not large.isEmpty():
+        walked = walked.unionByName(preorder(stored(placed.join(large, "part", "left_semi"), "trees")))
     alone = nodes.join(sizes.where("size = 1").select("part"), "part", "left_semi").select("part", F.lit(0).cast("long").alias("place"), "vec_id")
     largest = sizes.orderBy(F.desc("size"), "part").limit(1).select(F.col("part").alias("main"))
     keyed = sizes.join(F.broadcast(largest), sizes["part"] == F.col("main"), "left").select("part", "size", F.when(F.col("main").isNotNull(), F.lit(-(1 << 62)).cast("long")).otherwise(F.col("part")).alias("key"))
