@@ -74,11 +74,25 @@ def nearest_elsewhere(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarr
     return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
 
+def _vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+
+
 def mutual_tree(df: DataFrame, min_size: int, id_col: str = "vec_id", vector: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(u, v, w), u < v: the minimum spanning tree of mutual reachability, ties by (w, u, v)."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    rows = _vectors(df, id_col, vector)
     n, size = _measure(rows)
-    rows = stored(rows.join(core_distances(rows, n, min_size), "id"), "cores")
+    return _boruvka(rows.join(core_distances(rows, n, min_size), "id"), n, size, broadcast_bytes)
+
+
+def spanning_tree(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(u, v, w), u < v: the minimum spanning tree of all distances, ties by (w, u, v)."""
+    rows = _vectors(df, id_col, vector)
+    return _boruvka(rows.withColumn("core", F.lit(0.0)), *_measure(rows), broadcast_bytes)
+
+
+def _boruvka(rows: DataFrame, n: int, size: int, broadcast_bytes: int) -> DataFrame:
+    rows = stored(rows, "cores")
     comp, chosen = rows.select(F.col("id").alias("node"), F.col("id").alias("component")), None
     parts = n
     while parts > 1:

@@ -2,25 +2,30 @@
 
 Neighbour graphs and spanning forests are distributed; the path heuristics themselves are
 sequential and run per k-means cell, per component or per block of positions, never over
-all rows.  Only one row a cell (its two ends) meets on the driver to chain the cells.
+all rows.  Cells are put in a row by the spanning tree of their centroids and chained block by
+block; nothing of a cell meets on the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import vectors as V
 from quern.operators import kernels
 from quern.operators.cluster import MAX_ROWS, _refuse, _vectors, kmeans, ranked
+from quern.operators.density import spanning_tree
 from quern.operators.graph import connected_components
 from quern.operators.neighbors import knn_join
+from quern.operators.pivots import matrix
 from quern.operators.tours import preorder
 from quern.stages import stored
 
-#: Most cells whose ends are chained on the driver.
-MAX_CELLS = 20_000
+#: Cells that one task chains.
+CHAIN_BLOCK = 1024
 #: Ranks in a block when parts of an order are put in a row.
 RANK_BLOCK = 65_536
 
@@ -100,11 +105,134 @@ def dfs_order(df: DataFrame, k: int = 10, in_task: int = MAX_ROWS) -> DataFrame:
     return _concatenate(walked.unionByName(alone), ranked(keyed, "key", "rank"))
 
 
-def insertion_order(df: DataFrame, cells: int | None = None, refine: bool = True, max_rows: int = MAX_ROWS, seed: int = 42) -> DataFrame:
-    """Clustered farthest insertion: a path in each k-means cell, then a chain of cells.
+def cell_order(cells: DataFrame) -> DataFrame:
+    """(part, rank) of cells (part, size, centroid): depth first over the spanning tree of the
+    centroids, from the largest cell, nearer cells first."""
+    largest = cells.orderBy(F.desc("size"), "part").limit(1).select(F.lit(0).cast("long").alias("part"), F.col("part").alias("root"))
+    tree = stored(spanning_tree(cells, "part", "centroid"), "tree")
+    if tree.isEmpty():
+        return largest.select(F.col("root").alias("part"), F.lit(0).cast("long").alias("rank"))
+    walk = preorder(tree.withColumn("part", F.lit(0).cast("long")), 0.0, 0.0, stored(largest, "root"))
+    return walk.select(F.col("vec_id").alias("part"), F.col("place").alias("rank"))
 
-    Cells are chained from the largest by the nearest end of those left, turned around
-    where that is nearer.
+
+def _variants(paths: DataFrame, most: int) -> DataFrame:
+    """(part, n, cut, turned, extra, head, tail): ways to run through each path (part, place,
+    embedding): as it is or closed to a ring and cut where that costs least, both ways around."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        x, part = matrix(rows.column("embedding")), rows.column("part")[0].as_py()
+        extra = np.concatenate(([0.0], np.linalg.norm(x[-1] - x[0]) - np.linalg.norm(np.diff(x, axis=0), axis=1)))
+        cuts = [0, *(1 + np.argsort(extra[1:], kind="stable")[: max(most // 2 - 1, 0)]).tolist()]
+        out = [(part, i * 2 + turned, cut, bool(turned), float(extra[cut]), x[cut - turned].tolist(), x[cut - 1 + turned].tolist()) for i, cut in enumerate(cuts) for turned in (0, 1)]
+        return pa.Table.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["part", "n", "cut", "turned", "extra", "head", "tail"])
+
+    return paths.groupBy("part").applyInArrow(run, "part long, n long, cut long, turned boolean, extra double, head array<double>, tail array<double>")
+
+
+def _costs(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """For variants of cells sorted by rank: the ranks, the extra of each cell's variants, and
+    the steps from those to the next cell's."""
+    rank = rows.column("rank").to_numpy()
+    ranks, starts = np.unique(rank, return_index=True)
+    head, tail = (np.split(matrix(rows.column(c)), starts[1:]) for c in ("head", "tail"))
+    extra = np.split(rows.column("extra").to_numpy(), starts[1:])
+    return ranks, extra, [np.linalg.norm(t[:, None] - h[None], axis=2) for t, h in zip(tail, head[1:], strict=False)]
+
+
+def chain(variants: DataFrame, block: int = CHAIN_BLOCK) -> DataFrame:
+    """(part, n): the variants (part, rank, n, extra, head, tail) of all cells that together make
+    the shortest chain in the order of ranks.
+
+    The best way through a block of cells, from each variant of its first cell to each of the
+    next block's first, is found in one task a block; one task links the blocks by these costs
+    alone, and each block then takes the way it was given.
+    """
+    at = F.floor(F.col("rank") / block)
+    first = (F.col("rank") % block == 0) & (F.col("rank") > 0)
+    rows = variants.withColumn("block", F.explode(F.when(first, F.array(at, at - 1)).otherwise(F.array(at))))
+    rows = stored(rows.select("block", "part", "rank", "n", "extra", "head", "tail"), "variants")
+
+    def ways(key: tuple, rows: pa.Table) -> pa.Table:
+        ranks, extra, steps = _costs(rows.sort_by([("rank", "ascending"), ("n", "ascending")]))
+        best = np.where(np.eye(len(extra[0])) > 0, extra[0][:, None], np.inf)
+        for own, step in zip(extra[1:], steps, strict=True):
+            best = (best[:, :, None] + step[None]).min(axis=1) + own
+        if ranks[-1] // block > key[0].as_py():
+            best = best - extra[-1]  # that cell is the next block's
+        x, y = np.indices(best.shape)
+        return pa.table({"block": pa.array(np.full(best.size, key[0].as_py())), "x": x.ravel(), "y": y.ravel(), "cost": best.ravel()})
+
+    costs = stored(rows.groupBy("block").applyInArrow(ways, "block long, x long, y long, cost double"), "ways")
+
+    def link(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("block", "ascending"), ("x", "ascending"), ("y", "ascending")])
+        of, width = rows.column("block").to_numpy(), rows.column("x").to_numpy()
+        blocks, starts = np.unique(of, return_index=True)
+        mats = [c.reshape(w.max() + 1, -1) for c, w in zip(np.split(rows.column("cost").to_numpy(), starts[1:]), np.split(width, starts[1:]), strict=True)]
+        cost, back = np.zeros(mats[0].shape[0]), []
+        for m in mats:
+            whole = cost[:, None] + m
+            back.append(whole.argmin(axis=0))
+            cost = whole.min(axis=0)
+        y, out = int(cost.argmin()), []
+        for b, prev in zip(blocks[::-1].tolist(), back[::-1], strict=True):
+            x = int(prev[y])
+            out.append((b, x, y))
+            y = x
+        return pa.Table.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "enter", "leave"])
+
+    linked = costs.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(link, "block long, enter long, leave long")
+
+    def take(key: tuple, rows: pa.Table, way: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("rank", "ascending"), ("n", "ascending")])
+        ranks, extra, steps = _costs(rows)
+        enter, leave = way.column("enter")[0].as_py(), way.column("leave")[0].as_py()
+        cost, back = np.full(len(extra[0]), np.inf), []
+        cost[enter] = 0.0
+        for own, step in zip(extra, steps, strict=False):
+            whole = (cost + own)[:, None] + step
+            back.append(whole.argmin(axis=0))
+            cost = whole.min(axis=0)
+        chosen = [leave]
+        for prev in reversed(back):
+            chosen.append(int(prev[chosen[-1]]))
+        chosen = dict(zip(ranks.tolist(), reversed(chosen), strict=True))
+        own = {r: p for r, p in zip(rows.column("rank").to_pylist(), rows.column("part").to_pylist(), strict=True) if r // block == key[0].as_py()}
+        return pa.table({"part": pa.array(list(own.values()), pa.int64()), "n": pa.array([chosen[r] for r in own], pa.int64())})
+
+    return rows.groupBy("block").cogroup(linked.groupBy("block")).applyInArrow(take, "part long, n long")
+
+
+def refine_joints(df: DataFrame, order: DataFrame, starts: DataFrame, reach: int = 12) -> DataFrame:
+    """2-opt with fixed ends around the joints between cells, all at once.
+
+    ``starts`` (start, size, before): first position and size of each cell but the first, and
+    size of the cell before it.  A window takes up to ``reach`` positions, and no more than half
+    the cell, on either side, so windows never overlap and the path never gets longer.
+    """
+    half = lambda c: F.least(F.lit(reach), F.floor(F.col(c) / 2)).cast("long")
+    spread = starts.select("start", F.explode(F.sequence(F.col("start") - half("before"), F.col("start") + F.greatest(half("size"), F.lit(1)) - 1)).alias("pos"))
+    placed = order.join(spread, "pos", "left")
+
+    def improve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        best = kernels.two_opt(np.stack(rows["embedding"].to_list()), np.arange(len(rows)))
+        return pd.DataFrame({"pos": rows["pos"].to_numpy(), "vec_id": rows["vec_id"].to_numpy()[best]})
+
+    placed = stored(placed, "joints")
+    better = placed.where("start is not null").join(_vectors(df), "vec_id").groupBy("start").applyInPandas(improve, "pos long, vec_id long")
+    return better.unionByName(placed.where("start is null").select("pos", "vec_id"))
+
+
+def insertion_order(df: DataFrame, cells: int | None = None, refine: bool = True, max_rows: int = MAX_ROWS, variants: int = 8, joint: int = 12, seed: int = 42) -> DataFrame:
+    """Clustered farthest insertion: a path in each k-means cell, and a chain of cells.
+
+    Cells follow each other depth first over the spanning tree of their centroids.  Each is run
+    through in one of ``variants`` ways (turned around, or cut open elsewhere), chosen together
+    for the shortest chain, and ``joint`` positions on either side of a joint are improved by
+    2-opt.
     """
     rows = _vectors(df)
     cell = kmeans(df, cells, seed).select("vec_id", F.col("cluster_id").alias("part"))
@@ -117,35 +245,25 @@ def insertion_order(df: DataFrame, cells: int | None = None, refine: bool = True
         p = kernels.insertion_path(x, int(min(max(0.06 * len(x), 48), 128)))
         if refine and 4 <= len(p) <= 1200:
             p = kernels.two_opt(x, p)
-        return pd.DataFrame({"part": pdf["part"].iloc[0], "place": np.arange(len(p)), "vec_id": ids[p]})
-
-    paths = stored(rows.groupBy("part").applyInPandas(path, "part long, place long, vec_id long"), "paths")
-    sizes = paths.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    n_cells = sizes.count()
-    if n_cells > MAX_CELLS:
-        raise ValueError(f"{n_cells} cells to chain; {MAX_CELLS} are allowed")
-    ends = paths.join(sizes, "part").where("place = 0 or place = size - 1").join(rows.select("vec_id", "embedding"), "vec_id").select("part", "place", "size", "embedding").collect()
-    first, last, size = {}, {}, {}
-    for r in ends:
-        size[r["part"]] = r["size"]
-        if r["place"] == 0:
-            first[r["part"]] = np.array(r["embedding"])
-        if r["place"] == r["size"] - 1:
-            last[r["part"]] = np.array(r["embedding"])
-    chain: list[tuple[int, bool]] = []
-    left = sorted(size, key=lambda c: (-size[c], c))
-    if left:
-        chain.append((left.pop(0), False))
-        tail = last[chain[0][0]]
-        while left:
-            best = min(((float(np.linalg.norm(e[c] - tail)), i, turned) for i, c in enumerate(left) for turned, e in ((False, first), (True, last))))
-            c = left.pop(best[1])
-            chain.append((c, best[2]))
-            tail = first[c] if best[2] else last[c]
-    spark = df.sparkSession
-    order = spark.createDataFrame([(int(c), i, int(size[c]), bool(t)) for i, (c, t) in enumerate(chain)], "part long, rank long, size long, turned boolean")
-    turned = paths.join(F.broadcast(order), "part").select("part", F.when(F.col("turned"), F.col("size") - 1 - F.col("place")).otherwise(F.col("place")).alias("place"), "vec_id")
-    return _concatenate(turned, order)
+        return pd.DataFrame({"part": pdf["part"].iloc[0], "place": np.arange(len(p)), "vec_id": ids[p], "embedding": list(x[p])})
+
+    paths = stored(rows.groupBy("part").applyInPandas(path, "part long, place long, vec_id long, embedding array<double>"), "paths")
+    sizes = stored(V.centroids(rows, ["part"]).join(rows.groupBy("part").agg(F.count(F.lit(1)).alias("size")), "part"), "sizes")
+    if sizes.isEmpty():
+        return paths.select(F.col("place").alias("pos"), "vec_id")
+    ranked_cells = stored(sizes.select("part", "size").join(cell_order(sizes.select("part", "size", "centroid")), "part"), "ranks")
+    ways = stored(_variants(paths.select("part", "place", "embedding"), variants), "ways")
+    picked = chain(ways.join(ranked_cells.select("part", "rank"), "part"))
+    picked = stored(ranked_cells.join(picked.join(ways.select("part", "n", "cut", "turned"), ["part", "n"]), "part"), "picked")
+    place = F.pmod(F.col("place") - F.col("cut"), F.col("size"))
+    turned = paths.join(picked, "part").select("part", F.when(F.col("turned"), F.col("size") - 1 - place).otherwise(place).alias("place"), "vec_id", "rank")
+    turned = stored(turned, "turned")
+    order = stored(_concatenate(turned.select("part", "place", "vec_id"), ranked_cells), "order")
+    if not joint:
+        return order
+    first = turned.where("place = 0").select("vec_id", "part", "rank").join(order, "vec_id").join(ranked_cells.select("part", "size"), "part")
+    before = ranked_cells.select((F.col("rank") + 1).alias("rank"), F.col("size").alias("before"))
+    return refine_joints(df, order, first.join(before, "rank").select(F.col("pos").alias("start"), "size", "before"), joint)
 
 
 def block_two_opt(df: DataFrame, order: DataFrame, block: int = 100, shift: int = 90) -> DataFrame:

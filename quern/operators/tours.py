@@ -100,15 +100,16 @@ def centres(tour: DataFrame) -> DataFrame:
     return stored(above.groupBy("part").agg(F.min(F.struct("depth", "node")).alias("best")).select("part", F.col("best.node").alias("root")), "centres")
 
 
-def preorder(edges: DataFrame, beta: float = 0.3, gamma: float = 1e-4) -> DataFrame:
-    """(part, place, vec_id): depth-first order of every tree (part, u, v, w) from its centre.
+def preorder(edges: DataFrame, beta: float = 0.3, gamma: float = 1e-4, roots: DataFrame | None = None) -> DataFrame:
+    """(part, place, vec_id): depth-first order of every tree (part, u, v, w) from its centre, or
+    from its row of ``roots`` (part, root).
 
     Children come in order of the weight of their edge, plus ``beta`` times the lightest edge
     onward, less ``gamma`` for each row below; ties to the smaller id.  A node's place is that of
     its parent and one, plus the rows below the children before it.
     """
     tour = euler_tour(edges)
-    roots = centres(tour)
+    roots = centres(tour) if roots is None else roots
     nodes = stored(rooted(tour, roots).withColumn("size", ((F.col("up") - F.col("down") + 1) / 2).cast("long")), "rooted")
     onward = nodes.groupBy("part", F.col("parent").alias("node")).agg(F.min("w").alias("onward"))
     keyed = nodes.join(onward, ["part", "node"], "left").withColumn("key", F.col("w") + beta * F.coalesce("onward", F.lit(0.0)) - gamma * F.col("size"))
