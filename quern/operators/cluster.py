@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,9 +24,13 @@ from quern.operators.agglomerate import agglomerate
 from quern.operators.density import leaves, mutual_tree
 from quern.operators.graph import connected_components, reciprocal
 from quern.operators.neighbors import eps_join, knn_join, shared_neighbors
+from quern.operators.pivots import matrix
+from quern.operators.ranks import positions
 from quern.stages import stored
 
 MAX_ROWS = 20_000
+#: Rows of a cluster that one task compares with as many.
+MEMBER_BLOCK = 2048
 
 
 def numbered(labels: DataFrame, nodes: DataFrame, min_size: int = 1) -> DataFrame:
@@ -261,14 +266,38 @@ def prune_outliers(df: DataFrame, assign: DataFrame, sigma: float = 2.0) -> Data
     return far.join(stats, "cluster_id").select("vec_id", "cluster_id", "dist", keep.alias("kept"))
 
 
-def item_distances(df: DataFrame, assign: DataFrame) -> DataFrame:
-    """(cluster_id, vec_id, average_distance): each row's mean distance to the others of its
-    cluster; 0 in a cluster of one."""
+def _member_cells(df: DataFrame, assign: DataFrame, block: int) -> DataFrame:
+    """Rows (cluster_id, i, j, side, n, vec_id, embedding) of cells: block i of a cluster against
+    block j, i <= j; a row is on side 0 as one of block i, on side 1 as one of block j.
+
+    A cluster of n rows has (n / block)^2 / 2 cells of up to two blocks each, however large."""
     rows = _vectors(df).join(assign.where("cluster_id is not null"), "vec_id").select("cluster_id", "vec_id", "embedding")
-    other = rows.select("cluster_id", F.col("vec_id").alias("other_id"), F.col("embedding").alias("other"))
-    pairs = rows.join(other, "cluster_id").where("vec_id <> other_id").select("cluster_id", "vec_id", V.l2("embedding", "other").alias("d"))
-    mean = pairs.groupBy("cluster_id", "vec_id").agg(F.avg("d").alias("average_distance"))
-    return rows.select("cluster_id", "vec_id").join(mean, ["cluster_id", "vec_id"], "left").select("cluster_id", "vec_id", F.coalesce("average_distance", F.lit(0.0)).alias("average_distance"))
+    rows = positions(rows, ["cluster_id"], ["vec_id"], "at", "n")
+    own, last = F.floor(F.col("at") / block).cast("int"), F.floor((F.col("n") - 1) / block).cast("int")
+    rows = rows.withColumns({"own": own, "last": last})
+    left = rows.select("cluster_id", F.col("own").alias("i"), F.explode(F.sequence("own", "last")).alias("j"), F.lit(0).alias("side"), "n", "vec_id", "embedding")
+    right = rows.select("cluster_id", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "n", "vec_id", "embedding")
+    return left.unionByName(right.where("i < j"))
+
+
+def item_distances(df: DataFrame, assign: DataFrame, block: int = MEMBER_BLOCK) -> DataFrame:
+    """(cluster_id, vec_id, average_distance): each row's mean distance to the others of its
+    cluster; 0 in a cluster of one.  Distances are taken block by block, as matrices."""
+
+    def sums(rows: pa.Table) -> pa.Table:
+        side, ids = rows.column("side").to_numpy(), rows.column("vec_id").to_numpy()
+        x, cluster, n = matrix(rows.column("embedding")), rows.column("cluster_id")[0].as_py(), rows.column("n")[0].as_py()
+        if (side == 0).all():
+            out, total = ids, kernels.between(x, x).sum(axis=1)
+        else:
+            d = kernels.between(x[side == 0], x[side == 1])
+            out, total = np.concatenate((ids[side == 0], ids[side == 1])), np.concatenate((d.sum(axis=1), d.sum(axis=0)))
+        return pa.table({"cluster_id": pa.array([cluster] * len(out), rows.column("cluster_id").type), "vec_id": out, "n": np.full(len(out), n), "total": total})
+
+    kind = assign.schema["cluster_id"].dataType.simpleString()
+    found = _member_cells(df, assign, block).groupBy("cluster_id", "i", "j").applyInArrow(sums, f"cluster_id {kind}, vec_id long, n long, total double")
+    mean = F.when(F.max("n") > 1, F.sum("total") / (F.max("n") - 1)).otherwise(0.0)
+    return found.groupBy("cluster_id", "vec_id").agg(mean.alias("average_distance"))
 
 
 def cluster_distances(items: DataFrame) -> DataFrame:
@@ -281,10 +310,16 @@ def pairwise_map(df: DataFrame, assign: DataFrame, limit: int = 1200) -> DataFra
     clusters of up to ``limit`` rows."""
     rows = _vectors(df).join(assign.where("cluster_id is not null"), "vec_id")
     small = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit)
-    place = (F.row_number().over(W.partitionBy("cluster_id").orderBy("vec_id")) - 1).cast("string")
-    rows = rows.join(small, "cluster_id").select("cluster_id", "embedding", place.alias("i"))
-    other = rows.select("cluster_id", F.col("embedding").alias("other"), F.col("i").alias("j"))
-    pairs = rows.join(other, "cluster_id").where("i <> j").select("cluster_id", "i", "j", F.round(V.l2("embedding", "other"), 6).alias("d"))
-    entry = lambda k, v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), F.col(v).alias("v"))), lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)))
-    inner = pairs.groupBy("cluster_id", "i").agg(entry("j", "d").alias("row"))
-    return inner.groupBy("cluster_id").agg(F.to_json(entry("i", "row")).alias("pairwise"))
+    kind = assign.schema["cluster_id"].dataType.simpleString()
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("vec_id")
+        x = matrix(rows.column("embedding"))
+        d, names = kernels.between(x, x), [str(i) for i in range(len(x))]
+        order = sorted(range(len(x)), key=names.__getitem__)
+        maps = [(names[i], [(names[j], float(d[i, j])) for j in order if j != i]) for i in order] if len(x) > 1 else []
+        return pa.table({"cluster_id": rows.column("cluster_id")[:1], "pairwise": pa.array([maps], pa.map_(pa.string(), pa.map_(pa.string(), pa.float64())))})
+
+    found = rows.join(small.select("cluster_id"), "cluster_id", "left_semi").groupBy("cluster_id").applyInArrow(run, f"cluster_id {kind}, pairwise map<string,map<string,double>>")
+    places = F.transform_values("pairwise", lambda i, row: F.transform_values(row, lambda j, d: F.round(d, 6)))
+    return found.where(F.size("pairwise") > 0).select("cluster_id", F.to_json(places).alias("pairwise"))

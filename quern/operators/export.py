@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.functions import vectors as V
+from quern.operators.ranks import quantiles
+from quern.stages import stored
 
 
 def basename(path: Column) -> Column:
@@ -105,7 +107,9 @@ def csv_lines(files: DataFrame, items: DataFrame) -> DataFrame:
 def size_stats(assign: DataFrame) -> DataFrame:
     """Number of clusters, smallest, median and largest size, and number discarded."""
     sizes = assign.where("cluster_id is not null").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("n_clusters"), F.min("size").alias("min_size"), F.percentile("size", 0.5).alias("median_size"), F.max("size").alias("max_size"))
+    sizes = stored(sizes, "sizes")
+    stats = sizes.agg(F.count(F.lit(1)).alias("n_clusters"), F.min("size").alias("min_size"), F.max("size").alias("max_size"))
+    stats = stats.join(F.broadcast(quantiles(sizes, "size", {"median_size": 0.5}))).select("n_clusters", "min_size", "median_size", "max_size")
     return stats.join(F.broadcast(assign.agg(F.count(F.when(F.col("cluster_id").isNull(), 1)).alias("n_discarded"))))
 
 

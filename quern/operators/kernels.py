@@ -22,6 +22,17 @@ def distances(x: np.ndarray) -> np.ndarray:
     return np.sqrt(d2)
 
 
+def between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x to all of y; small ones are taken by direct difference."""
+    centre = y.mean(axis=0) if len(y) else 0.0
+    a, b = x - centre, y - centre
+    na, nb = (a * a).sum(axis=1)[:, None], (b * b).sum(axis=1)
+    d2 = np.maximum(na + nb - 2 * (a @ b.T), 0)
+    r, c = np.nonzero(d2 < 1e-6 * (na + nb))
+    d2[r, c] = ((x[r] - y[c]) ** 2).sum(axis=1)
+    return np.sqrt(d2)
+
+
 def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Label of each of n nodes: the smallest node of its component."""
     label = np.arange(n)

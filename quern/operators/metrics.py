@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.functions import vectors as V
 from quern.operators.neighbors import knn_join
+from quern.operators.ranks import quantiles
+from quern.stages import stored
 
 
 def placed(df: DataFrame, order: DataFrame) -> DataFrame:
@@ -29,20 +31,17 @@ def steps(rows: DataFrame) -> DataFrame:
     return rows.join(_next(rows, "embedding", 1), "pos").select("pos", V.l2("embedding", "embedding_1").alias("dist"))
 
 
+def path_length(rows: DataFrame) -> DataFrame:
+    """Length of the path, and the mean of its steps, as one row."""
+    return steps(rows).agg(F.sum("dist").alias("path_length"), F.avg("dist").alias("path_length_normalized"))
+
+
 def edge_stats(rows: DataFrame) -> DataFrame:
     """Path length and the spread of its steps, as one row."""
-    d = F.col("dist")
-    return steps(rows).agg(
-        F.sum(d).alias("path_length"),
-        F.avg(d).alias("path_length_normalized"),
-        F.avg(d).alias("mean_edge"),
-        F.percentile(d, 0.5).alias("median_edge"),
-        F.stddev_pop(d).alias("std_edge"),
-        F.max(d).alias("max_edge"),
-        F.percentile(d, 0.9).alias("p90_edge"),
-        F.percentile(d, 0.99).alias("p99_edge"),
-        F.min(d).alias("min_edge"),
-    )
+    d, found = F.col("dist"), stored(steps(rows), "steps")
+    stats = found.agg(F.sum(d).alias("path_length"), F.avg(d).alias("path_length_normalized"), F.avg(d).alias("mean_edge"), F.stddev_pop(d).alias("std_edge"), F.max(d).alias("max_edge"), F.min(d).alias("min_edge"))
+    spread = quantiles(found, "dist", {"median_edge": 0.5, "p90_edge": 0.9, "p99_edge": 0.99})
+    return stats.join(F.broadcast(spread)).select("path_length", "path_length_normalized", "mean_edge", "median_edge", "std_edge", "max_edge", "p90_edge", "p99_edge", "min_edge")
 
 
 def _gaps(df: DataFrame, order: DataFrame, k: int) -> DataFrame:
@@ -98,13 +97,27 @@ def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return average_rank(average_rank(pairs, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("spearman"))
 
 
-def order_spearman(rows: DataFrame, share: float = 1.0) -> DataFrame:
-    """Rank correlation of positions apart and distance, over all pairs or a hashed share."""
-    a = rows.select(F.col("vec_id").alias("a"), F.col("pos").alias("p"), F.col("embedding").alias("x"))
-    b = rows.select(F.col("vec_id").alias("b"), F.col("pos").alias("q"), F.col("embedding").alias("y"))
-    picked = F.lit(True) if share >= 1 else F.pmod(F.xxhash64("a", "b"), F.lit(1 << 20)) < int(share * (1 << 20))
-    pairs = a.join(b, (F.col("a") < F.col("b")) & picked)
-    return spearman(pairs.select(F.abs(F.col("p") - F.col("q")).alias("gap"), F.round(V.l2("x", "y"), 9).alias("dist")), "gap", "dist")
+def position_pairs(spark: SparkSession, n: int, pairs: int | None = None) -> DataFrame:
+    """(p, q): all pairs of n positions, or ``pairs`` different ones, by arithmetic alone.
+
+    Pairs are numbered by how far q is ahead of p around the circle of positions, then by p.  A
+    draw takes one number from each of as many equal stretches of numbers.
+    """
+    total = n * (n - 1) // 2
+    m = total if pairs is None else min(pairs, total)
+    stride = max(total // max(m, 1), 1)
+    number = F.col("id") * stride + F.pmod(F.col("id") * 2654435761 + 40503, F.lit(stride))
+    drawn = spark.range(m).select(number.alias("number")).select((F.col("number") % n).alias("p"), (F.floor(F.col("number") / F.lit(n)) + 1).alias("ahead"))
+    return drawn.select("p", ((F.col("p") + F.col("ahead")) % n).alias("q"))
+
+
+def order_spearman(rows: DataFrame, pairs: int | None = None) -> DataFrame:
+    """Rank correlation of positions apart and distance, over all pairs of positions or
+    ``pairs`` of them; the work is in proportion to the pairs."""
+    drawn = position_pairs(rows.sparkSession, rows.count(), pairs)
+    side = lambda at, x: rows.select(F.col("pos").alias(at), F.col("embedding").alias(x))
+    both = drawn.join(side("p", "x"), "p").join(side("q", "y"), "q")
+    return spearman(both.select(F.abs(F.col("p") - F.col("q")).alias("gap"), F.round(V.l2("x", "y"), 9).alias("dist")), "gap", "dist")
 
 
 def label_runs(rows: DataFrame, min_count: int = 5) -> DataFrame:
@@ -126,7 +139,9 @@ def run_length(rows: DataFrame, min_count: int = 5) -> DataFrame:
     pairs that are in one run."""
     runs = label_runs(rows, min_count)
     pairs = lambda n: n * (n - 1) / 2
-    stats = runs.agg(F.avg("length").alias("mean_run"), F.percentile("length", 0.5).alias("median_run"), F.count(F.lit(1)).alias("n_runs"), (F.count(F.lit(1)) - 1).alias("n_transitions"), F.sum(pairs(F.col("length"))).alias("inside"))
+    runs = stored(runs, "runs")
+    stats = runs.agg(F.avg("length").alias("mean_run"), F.count(F.lit(1)).alias("n_runs"), (F.count(F.lit(1)) - 1).alias("n_transitions"), F.sum(pairs(F.col("length"))).alias("inside"))
+    stats = stats.join(F.broadcast(quantiles(runs, "length", {"median_run": 0.5})))
     whole = runs.groupBy("label").agg(F.sum("length").alias("n")).agg(F.sum(pairs(F.col("n"))).alias("all"))
     return stats.join(F.broadcast(whole)).select("mean_run", "median_run", "n_runs", "n_transitions", (F.col("inside") / F.col("all")).alias("label_homogeneity"))
 
@@ -182,10 +197,10 @@ def boundary_consistency(rows: DataFrame, window: int = 50) -> DataFrame:
     return stats.select("num_boundaries", F.coalesce("boundary_sharpness", F.lit(1.0)).alias("boundary_sharpness"), F.coalesce("avg_boundary_width", F.lit(0.0)).alias("avg_boundary_width"), consistency.alias("boundary_consistency"))
 
 
-def evaluate(df: DataFrame, order: DataFrame, k: int = 20, labels: bool = True) -> DataFrame:
-    """All metrics as one wide row."""
+def evaluate(df: DataFrame, order: DataFrame, k: int = 20, labels: bool = True, pairs: int = 50_000) -> DataFrame:
+    """All metrics as one wide row; the rank correlation is over ``pairs`` pairs."""
     rows = placed(df, order)
-    parts = [edge_stats(rows), knn_recall(df, order, k), smoothness(rows), curvature(rows)]
+    parts = [edge_stats(rows), knn_recall(df, order, k), smoothness(rows), curvature(rows), order_spearman(rows, pairs)]
     if labels:
         parts += [run_length(rows), sequential_map(rows), boundary_consistency(rows)]
     return reduce(lambda a, b: a.join(F.broadcast(b)), parts)

@@ -36,3 +36,18 @@ def positions(df: DataFrame, group: list[str], order: list[str], name: str = "po
     if size:
         found = found.withColumn(size, F.col("_all"))
     return found.select(*df.columns, name, *([size] if size else []))
+
+
+def quantiles(df: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:
+    """One row with exact quantiles, interpolated between the two nearest values; null where
+    there is no value.  Values are placed by ranges, and no task holds all of them."""
+    values = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    placed = positions(values, [], ["x"], "at", "n")
+    found = []
+    for name, q in wanted.items():
+        place = (F.col("n") - 1) * q
+        low, high = F.floor(place), F.ceil(place)
+        at = lambda edge: F.max(F.when(F.col("at") == edge, F.col("x")))
+        found += [at(low).alias(f"{name}_low"), at(high).alias(f"{name}_high"), F.max(place - low).alias(f"{name}_part")]
+    between = lambda name: F.when(F.col(f"{name}_part") == 0, F.col(f"{name}_low")).otherwise((1 - F.col(f"{name}_part")) * F.col(f"{name}_low") + F.col(f"{name}_part") * F.col(f"{name}_high"))
+    return placed.agg(*found).select(*[between(name).alias(name) for name in wanted])

@@ -234,7 +234,7 @@ def outlier_prune(spark, d):
 @_query(f"WITH {_O}, {_STEP} SELECT round(sum(dist), 6) AS path_length, round(sum(dist) / count(*), 6) AS path_length_normalized FROM s")
 def path_length(spark, d):
     df = _embeddings(spark, d)
-    return M.edge_stats(M.placed(df, _by_label(df))).select(_r("path_length"), _r("path_length_normalized"))
+    return M.path_length(M.placed(df, _by_label(df))).select(_r("path_length"), _r("path_length_normalized"))
 
 
 @_query(f"WITH {_O}, {_STEP} SELECT round(avg(dist), 6) AS mean_edge, round(quantile_cont(dist, 0.5), 6) AS median_edge, round(stddev_pop(dist), 6) AS std_edge, round(max(dist), 6) AS max_edge, round(quantile_cont(dist, 0.9), 6) AS p90_edge, round(quantile_cont(dist, 0.99), 6) AS p99_edge, round(min(dist), 6) AS min_edge FROM s")
@@ -279,6 +279,15 @@ def spearman_order(spark, d):
     return M.order_spearman(M.placed(df, _by_label(df))).select(_r("spearman"))
 
 
+_DRAW = "n AS (SELECT count(*) AS n, 20000 AS m FROM o), z AS (SELECT n, greatest((n * (n - 1) // 2) // least(m, n * (n - 1) // 2), 1) AS stride, unnest(range(least(m, n * (n - 1) // 2))) AS k FROM n), y AS (SELECT n, k * stride + (k * 2654435761 + 40503) % stride AS number FROM z)"
+
+
+@_query(f"WITH {_O}, {_DRAW}, p AS (SELECT abs(a.pos - b.pos) AS g, round(list_distance(a.x, b.x), 9) AS dist FROM y JOIN o a ON a.pos = number % n JOIN o b ON b.pos = (number % n + number // n + 1) % n), r AS (SELECT rank() OVER (ORDER BY g) + (count(*) OVER (PARTITION BY g) - 1) / 2 AS rg, rank() OVER (ORDER BY dist) + (count(*) OVER (PARTITION BY dist) - 1) / 2 AS rd FROM p) SELECT round(corr(rg, rd), 6) AS spearman FROM r")
+def spearman_sampled(spark, d):
+    df = _embeddings(spark, d)
+    return M.order_spearman(M.placed(df, _by_label(df)), 20_000).select(_r("spearman"))
+
+
 _OI = "o AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings)"
 _RUNS = f"{_OI}, c AS (SELECT pos, label, (label IS DISTINCT FROM lag(label) OVER (ORDER BY pos))::INT AS new FROM o), r AS (SELECT label, sum(new) OVER (ORDER BY pos) AS run FROM c), n AS (SELECT label, run, count(*) AS length FROM r GROUP BY label, run)"
 
