@@ -1,9 +1,10 @@
 """Clusterings of vectors: (vec_id, cluster_id), cluster_id null for what is discarded.
 
 cluster_id counts clusters from 1 by their smallest vec_id.  Graph clusterings are joins,
-grouped aggregation and distributed components.  Greedy and complete-linkage clustering
-run per connected component of the range graph, which no cluster can leave; methods that
-do not decompose run in one group and refuse inputs over ``max_rows``.
+grouped aggregation and distributed components.  Greedy clustering goes through components of
+the range graph block by block, linkage merges all mutually nearest clusters at once, and
+HDBSCAN contracts a spanning tree; OPTICS runs in one group and refuses inputs over
+``max_rows``.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from quern.operators.ranks import positions
 from quern.stages import stored
 
 MAX_ROWS = 20_000
+#: Rows of a component that one task decides in greedy clustering.
+GREEDY_BLOCK = 8192
 #: Rows of a cluster that one task compares with as many.
 MEMBER_BLOCK = 2048
 
@@ -128,33 +131,19 @@ def adaptive_graph(df: DataFrame, eps: float, min_size: int = 2) -> DataFrame:
     return numbered(small.unionByName(again), df, min_size)
 
 
-def _per_component(df: DataFrame, eps: float, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], max_rows: int) -> DataFrame:
-    """Runs kernel(ids, x) in each component of the range graph; (vec_id, label)."""
-    comp = connected_components(stored(eps_join(df, eps), "eps")).select(F.col("node").alias("vec_id"), F.col("component").alias("part"))
-    rows = _vectors(df).join(comp, "vec_id", "left").select("vec_id", "embedding", F.coalesce("part", "vec_id").alias("part"))
-    _refuse(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0], max_rows)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        ids = pdf["vec_id"].to_numpy()
-        label = np.asarray(kernel(ids, np.stack(pdf["embedding"].to_list())))
-        least = {c: int(ids[label == c].min()) for c in np.unique(label).tolist()}
-        return pd.DataFrame({"vec_id": ids, "label": [least[c] for c in label.tolist()]})
-
-    return rows.groupBy("part").applyInPandas(run, "vec_id long, label long")
-
-
 def _refuse(n: int | None, max_rows: int) -> None:
     if n and n > max_rows:
         raise ValueError(f"{n} rows would meet in one task; this method allows {max_rows} (max_rows)")
 
 
-def greedy_distance(df: DataFrame, eps: float, percent: float = 50, min_size: int = 2, max_rows: int = MAX_ROWS) -> DataFrame:
+def greedy_distance(df: DataFrame, eps: float, percent: float = 50, min_size: int = 2, block: int = GREEDY_BLOCK) -> DataFrame:
     """Greedy clustering in id order: a row joins the cluster that holds most of its range
     neighbours, if they are ``percent`` of it.
 
     Any positive share needs a neighbour, so a cluster never leaves its component of the
-    range graph and components run apart, with the same result.  At 0 percent all rows are
+    range graph.  Components run side by side, each in blocks of ``block`` rows in id order: a
+    task decides one block, given how many neighbours each row has in the clusters of the
+    blocks before, so no task holds more of a component than that.  At 0 percent all rows are
     one cluster.  eps <= 0 discards all.
     """
     ratio = min(max(percent / 100, 0.0), 1.0)
@@ -162,12 +151,45 @@ def greedy_distance(df: DataFrame, eps: float, percent: float = 50, min_size: in
         return df.select("vec_id", F.lit(None).cast("long").alias("cluster_id"))
     if ratio == 0:
         return numbered(df.select("vec_id", F.lit(0).cast("long").alias("label")), df, min_size)
-
-    def kernel(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
-        d = kernels.distances(x)
-        return kernels.greedy(len(ids), [np.flatnonzero((d[i] < eps) & (np.arange(len(ids)) != i)) for i in range(len(ids))], ratio)
-
-    return numbered(_per_component(df, eps, kernel, max_rows), df, min_size)
+    return numbered(_greedy(df.select(F.col("vec_id").cast("long").alias("vec_id")), stored(eps_join(df, eps).select("src", "dst"), "eps"), ratio, block), df, min_size)
+
+
+def _greedy(nodes: DataFrame, edges: DataFrame, ratio: float, block: int) -> DataFrame:
+    """(vec_id, label): clusters of greedy assignment, named by their first row."""
+    comp = connected_components(edges).select(F.col("node").alias("vec_id"), F.col("component").alias("part"))
+    placed = positions(comp, ["part"], ["vec_id"], "at").select("vec_id", "part", F.floor(F.col("at") / block).alias("block"))
+    placed = stored(placed, "placed")
+    side = lambda end, part, at: placed.select(F.col("vec_id").alias(end), F.col("part").alias(part), F.col("block").alias(at))
+    back = edges.where("dst < src").join(side("src", "part", "block"), "src").join(side("dst", "_part", "before"), "dst")
+    back = stored(back.select("part", "src", "dst", "block", "before"), "back")
+    done = None
+    for at in range((placed.agg(F.max("block")).first()[0] or 0) + 1):
+        here = placed.where(F.col("block") == at).select("part", F.lit("row").alias("kind"), F.col("vec_id").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("n"))
+        inside = back.where((F.col("block") == at) & (F.col("before") == at)).select("part", F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0).cast("long").alias("n"))
+        known = here.unionByName(inside)
+        if done is not None:
+            earlier = back.where((F.col("block") == at) & (F.col("before") < at)).join(done.select(F.col("vec_id").alias("dst"), "label"), "dst")
+            hits = stored(earlier.groupBy("part", "src", "label").agg(F.count(F.lit(1)).alias("n")), "hits")
+            sizes = done.join(hits.select("label").distinct(), "label", "left_semi").groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"))
+            known = known.unionByName(hits.select("part", F.lit("hit").alias("kind"), F.col("src").alias("a"), F.col("label").alias("b"), "n"))
+            known = known.unionByName(sizes.select("part", F.lit("size").alias("kind"), F.col("label").alias("a"), F.lit(0).cast("long").alias("b"), "n"))
+
+        def decide(rows: pa.Table) -> pa.Table:
+            kinds: dict[str, list[tuple[int, int, int]]] = {"row": [], "edge": [], "hit": [], "size": []}
+            for kind, a, b, n in zip(*(rows.column(c).to_pylist() for c in ("kind", "a", "b", "n")), strict=True):
+                kinds[kind].append((a, b, n))
+            near: dict[int, list[int]] = {}
+            for a, b, _ in kinds["edge"]:
+                near.setdefault(a, []).append(b)
+            hit: dict[int, list[tuple[int, int]]] = {}
+            for a, b, n in kinds["hit"]:
+                hit.setdefault(a, []).append((b, n))
+            label = kernels.greedy_block(sorted(a for a, _, _ in kinds["row"]), near, hit, {a: n for a, _, n in kinds["size"]}, ratio)
+            return pa.table({"part": pa.array([rows.column("part")[0].as_py()] * len(label), pa.int64()), "vec_id": pa.array(list(label), pa.int64()), "label": pa.array(list(label.values()), pa.int64())})
+
+        now = stored(known.groupBy("part").applyInArrow(decide, "part long, vec_id long, label long"), "greedy")
+        done = now if done is None else done.unionByName(now)
+    return nodes.join(done.select("vec_id", "label"), "vec_id", "left").select("vec_id", F.coalesce("label", "vec_id").alias("label"))
 
 
 def complete_linkage(df: DataFrame, eps: float, min_size: int = 2) -> DataFrame:

@@ -50,27 +50,22 @@ def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return label
 
 
-def greedy(n: int, near: list[np.ndarray], ratio: float) -> np.ndarray:
-    """Greedy assignment in row order: a row joins the cluster that holds most of its
-    neighbours, if those are at least ``ratio`` of the cluster; else it opens one."""
-    if ratio <= 0:
-        return np.zeros(n, np.int64)
-    of, size = np.full(n, -1), []
-    for i in range(n):
-        known = of[near[i]]
-        known = known[known >= 0]
-        best = -1
-        if len(known):
-            ids, hits = np.unique(known, return_counts=True)
-            fit = [h >= math.ceil(size[c] * ratio) for c, h in zip(ids.tolist(), hits.tolist(), strict=True)]
-            if any(fit):
-                hits = np.where(fit, hits, -1)
-                best = int(ids[hits.argmax()])
-        if best < 0:
-            best = len(size)
-            size.append(0)
-        of[i] = best
-        size[best] += 1
+def greedy_block(rows: list[int], near: dict[int, list[int]], hit: dict[int, list[tuple[int, int]]], size: dict[int, int], ratio: float) -> dict[int, int]:
+    """Greedy assignment of some rows in order: a row joins the cluster that holds most of its
+    neighbours, if those are at least ``ratio`` of the cluster; else it opens one.
+
+    ``near`` gives neighbours among these rows, ``hit`` (cluster, neighbours in it) of clusters
+    opened before, ``size`` the sizes of those.  Clusters are named by their first row, and ties
+    go to the one opened first.
+    """
+    of, size = {}, dict(size)
+    for i in rows:
+        hits = dict(hit.get(i, ()))
+        for j in near.get(i, ()):
+            hits[of[j]] = hits.get(of[j], 0) + 1
+        fit = [(-n, c) for c, n in hits.items() if n >= math.ceil(size[c] * ratio)]
+        of[i] = min(fit)[1] if fit else i
+        size[of[i]] = size.get(of[i], 0) + 1
     return of
 
 

@@ -29,7 +29,10 @@ def split_by_range(x: np.ndarray, size: int, eps: float, ratio: float) -> list[n
     for _ in range(8 if eps > 0 else 0):
         mid = (low + high) / 2
         near = [np.flatnonzero((d[i] < mid) & (np.arange(len(x)) != i)) for i in range(len(x))]
-        of = kernels.greedy(len(x), near, ratio)
+        of = np.zeros(len(x), int)
+        if ratio > 0:
+            smaller = {i: n[n < i].tolist() for i, n in enumerate(near)}
+            of = np.unique(list(kernels.greedy_block(list(range(len(x))), smaller, {}, {}, ratio).values()), return_inverse=True)[1]
         if np.bincount(of).max() <= size:
             best, low = of, mid
         else:

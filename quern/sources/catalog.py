@@ -12,14 +12,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quern.sources import versions
+
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp", "jfif")
 
 
 def scan_images(spark: SparkSession, folder: str) -> DataFrame:
     """(filename, length, modified) of the images right under a folder, content unread."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    name = F.regexp_replace("path", r"^file:/+", "/")
-    return files.where(F.lower("path").rlike(r"\.(" + "|".join(IMAGE_SUFFIXES) + r")$")).select(name.alias("filename"), "length", F.col("modificationTime").alias("modified"))
+    return files.where(is_image("path")).select(plain_path("path").alias("filename"), "length", F.col("modificationTime").alias("modified"))
+
+
+def is_image(path: str) -> Column:
+    return F.lower(path).rlike(r"\.(" + "|".join(IMAGE_SUFFIXES) + r")$")
+
+
+def plain_path(path: str) -> Column:
+    """A path without the scheme of local files."""
+    return F.regexp_replace(path, r"^file:/+", "/")
 
 
 def normalized_path(path: Column) -> Column:
@@ -93,14 +103,18 @@ def lookup(known: DataFrame, queries: DataFrame, key: str = "filename", query: s
     return both.select(query, F.coalesce("_path", "_only").alias("match"), kind.alias("kind"))
 
 
-def save_index(order: DataFrame, df: DataFrame, path: str) -> None:
-    """Writes (pos, vec_id, path, embedding), which a search needs, as one table."""
-    columns = ["vec_id", "embedding", *(["path"] if "path" in df.columns else [])]
-    order.join(df.select(*columns), "vec_id").write.mode("overwrite").parquet(path)
+def save_index(order: DataFrame, df: DataFrame, path: str) -> int:
+    """Writes (pos, vec_id, path, embedding), which a search needs, as a new version of the
+    index; readers see it once it is whole.  Returns the version's number."""
+    spark, columns = df.sparkSession, ["vec_id", "embedding", *(["path"] if "path" in df.columns else [])]
+    folder, after = versions.new_folder(path), versions.last(spark, path)
+    order.join(df.select(*columns), "vec_id").write.parquet(folder)
+    return versions.commit(spark, path, {"index": folder}, after)
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The last whole version of the index."""
+    return spark.read.parquet(versions.current(spark, path)["index"])
 
 
 def parse_queries(lines: DataFrame, column: str = "value", fused: bool = False) -> DataFrame:
