@@ -121,3 +121,21 @@ def register(spark: SparkSession) -> None:
     """Makes vec_dot, l2_distance and l2_norm callable from SQL, as inlined expressions."""
     for name, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
+
+
+def register_knn(index: DataFrame, name: str = "knn", id_col: str = "vec_id", vector: str = "embedding") -> None:
+    """Makes ``SELECT * FROM knn(query, k)`` callable from SQL: (vec_id, rank, dist) of the k rows
+    of ``index`` nearest to an array of numbers, ties to the smaller id.
+
+    The function is inlined as a plan over a view of the index; each task passes on k rows.  Rows
+    without an id or vector are no neighbours.
+    """
+    spark = index.sparkSession
+    register(spark)
+    rows = index.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
+    rows.createOrReplaceTempView(f"{name}_index")
+    near = f"SELECT vec_id, l2_distance(v, query) AS dist FROM {name}_index"
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(query ARRAY<DOUBLE>, k INT) RETURNS TABLE (vec_id BIGINT, rank INT, dist DOUBLE) "
+        f"RETURN SELECT vec_id, rank, dist FROM (SELECT vec_id, dist, row_number() OVER (ORDER BY dist, vec_id) AS rank FROM ({near})) WHERE rank <= k"
+    )

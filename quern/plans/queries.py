@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from quern.operators import neighbors as N
 from quern.operators import order as O
 from quern.operators import packing as P
 from quern.sources import catalog as S
+from quern.sources import ingest as I
+from quern.stages import shared_dir
 
 EPS, K = 1.15, 10
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +133,27 @@ def eps_edges(spark, d):
     return N.eps_join(_embeddings(spark, d), EPS).select("src", "dst", _r("dist"))
 
 
+@_query(f"WITH {_D}, {_KNN.format(k=K)} SELECT src, dst, rank, round(dist, 6) AS dist FROM knn")
+def knn_join_pruned(spark, d):
+    """The k-NN join as a large base takes it, over the pivot index."""
+    return N.knn_join(_embeddings(spark, d), K, broadcast_bytes=0).select("src", "dst", F.col("rank").cast("long").alias("rank"), _r("dist"))
+
+
+@_query(f"WITH {_E} SELECT src, dst, round(dist, 6) AS dist FROM e")
+def eps_edges_pruned(spark, d):
+    """The range join as a large base takes it, over the pivot index."""
+    return N.eps_join(_embeddings(spark, d), EPS, broadcast_bytes=0).select("src", "dst", _r("dist"))
+
+
+@_query(f"WITH {_D} SELECT dst AS vec_id, (row_number() OVER (ORDER BY dist, dst))::INT AS rank, round(dist, 6) AS dist FROM d WHERE src = 7 QUALIFY row_number() OVER (ORDER BY dist, dst) <= 8")
+def knn_table_function(spark, d):
+    """The neighbours of one row by the SQL table function."""
+    df = _embeddings(spark, d)
+    V.register_knn(df.where("vec_id <> 7"), "quern_knn")
+    df.createOrReplaceTempView("quern_vectors")
+    return spark.sql("SELECT n.vec_id, n.rank, round(n.dist, 6) AS dist FROM quern_vectors q, LATERAL quern_knn(q.embedding, 8) n WHERE q.vec_id = 7")
+
+
 @_query(f"WITH {_E} SELECT v.vec_id, count(e.src) AS degree FROM v LEFT JOIN e ON e.src = v.vec_id GROUP BY v.vec_id")
 def eps_degree(spark, d):
     df = _embeddings(spark, d)
@@ -362,6 +386,24 @@ def upsert_latest(spark, d):
     return S.upsert(one(2, 1, 0), one(3, 2, 100000), "url").select("url", "version", "id")
 
 
+@_query("WITH a AS (SELECT url, page_id, 1 AS batch FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, page_id, 2 FROM pages WHERE page_id % 3 = 0) SELECT url, max(page_id) AS page_id FROM a GROUP BY url")
+def upsert_versions(spark, d):
+    """Two batches committed to a catalog in buckets, and its last version."""
+    pages, path = spark.read.parquet(f"{d}/pages.parquet").select("url", "page_id"), f"{shared_dir(spark)}/quern/catalog-{uuid.uuid4().hex}"
+    for m in (2, 3):
+        I.upsert_version(pages.where(f"page_id % {m} = 0"), path, "url", "page_id", 16)
+    return I.read_version(spark, path, pages.schema)
+
+
+@_query("SELECT url, max(page_id) AS page_id FROM pages GROUP BY url")
+def stream_ingest(spark, d):
+    """The table of pages as a file stream, committed to a catalog batch by batch."""
+    base, schema = f"{shared_dir(spark)}/quern/catalog-{uuid.uuid4().hex}", "page_id long, url string, html string"
+    pages = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d).select("url", "page_id")
+    I.ingest_stream(pages, f"{base}/table", f"{base}/state", "url", "page_id", 16).awaitTermination()
+    return I.read_version(spark, f"{base}/table", pages.schema)
+
+
 @_query("WITH p AS (SELECT DISTINCT url FROM pages), m AS (SELECT url, CASE WHEN starts_with(url, 'https://') THEN 'archive/' || substr(url, 9) END AS new_path FROM p) SELECT url, new_path, CASE WHEN new_path IS NULL THEN 'skipped' ELSE 'moved' END AS status FROM m")
 def rebase_paths(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet").select("url").distinct()
@@ -425,9 +467,16 @@ def kmeans(spark, d):
     return C.kmeans(_embeddings(spark, d))
 
 
-@_query()
+_MUTUAL = "g AS (SELECT row_number() OVER (ORDER BY w, u, v) AS id, u, v, w FROM (SELECT a.src AS u, a.dst AS v, a.dist * a.dist AS w FROM knn a JOIN knn b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst AND a.dist > 0))"
+
+
+@_query(
+    f"WITH RECURSIVE {_D}, {_KNN.format(k=K)}, {_MUTUAL}, arcs AS (SELECT id, u AS a, v AS b FROM g UNION ALL SELECT id, v, u FROM g), "
+    "lighter(id, node) AS (SELECT id, u FROM g UNION SELECT r.id, x.b FROM lighter r JOIN arcs x ON x.a = r.node AND x.id < r.id) "
+    "SELECT u, v, round(w, 6) AS w FROM g WHERE NOT EXISTS (SELECT 1 FROM lighter r WHERE r.id = g.id AND r.node = g.v)"
+)
 def mst(spark, d):
-    return O.minimum_spanning_forest(O.neighbor_graph(_embeddings(spark, d), K))
+    return O.minimum_spanning_forest(O.neighbor_graph(_embeddings(spark, d), K)).select("u", "v", _r("w"))
 
 
 @_query()
@@ -452,7 +501,11 @@ def polish_longest(spark, d):
     return O.polish_longest(df, _by_label(df))
 
 
-@_query()
+@_query(
+    f"WITH RECURSIVE {_D}, {_KNN.format(k=5)}, {_MUTUAL}, arcs AS (SELECT u AS a, v AS b FROM g UNION ALL SELECT v, u FROM g), "
+    "reach(node, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.node, x.b FROM reach r JOIN arcs x ON x.a = r.other), "
+    "c AS (SELECT node, min(other) AS component FROM reach GROUP BY node) SELECT component, count(*) AS size FROM c GROUP BY component"
+)
 def graph_components(spark, d):
     """Sizes of the components of the mutual neighbour graph."""
     df = _embeddings(spark, d)

@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
@@ -35,3 +37,18 @@ def test_sql_functions(spark):
 
 def test_unlike_lengths_are_null(spark):
     assert spark.sql("select array(1D) a, array(1D, 2D) b").select(V.l2("a", "b").alias("d")).first()["d"] is None
+
+
+def test_knn_as_a_table_function(spark):
+    from quern.functions.vectors import register_knn
+
+    x = np.random.default_rng(6).normal(size=(30, 3))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(99, None)], "vec_id long, embedding array<double>")
+    register_knn(df, "near")
+    q = [0.1, -0.2, 0.3]
+    want = np.argsort(np.linalg.norm(x - q, axis=1), kind="stable")[:5].tolist()
+    found = spark.sql(f"SELECT * FROM near(array({', '.join(f'{z}D' for z in q)}), 5) ORDER BY rank")
+    assert [(r["rank"], r["vec_id"]) for r in found.collect()] == list(enumerate(want, 1))
+    assert "TakeOrderedAndProject" in found._jdf.queryExecution().executedPlan().toString()
+    both = spark.sql("SELECT q.vec_id AS src, n.vec_id AS dst FROM near_index q, LATERAL near(q.v, 2) n WHERE q.vec_id = 3")
+    assert sorted(r["dst"] for r in both.collect())[:1] and len(both.collect()) == 2
