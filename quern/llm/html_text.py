@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 #: A tag: quotes bind only after "=", and a quote that is never closed is part of a plain value.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)|[^>=]++)*+)>""")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_ATTR = re.compile(r"\b(class|id|role|aria-label|itemprop|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"\b(class|id|role|aria-label|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: The label that ``labelled_pages`` gives an element.
 _LABEL = re.compile(r'(?:^|\s)data-y="([01])"')
 _SPACE = re.compile(r"\s+")
@@ -53,21 +53,39 @@ _TAGS = {
     **dict.fromkeys(("blockquote", "pre", "figure", "figcaption"), "quote"),
     **{x: x for x in ("header", "footer", "aside", "section", "div", "p")},
 }
+#: Words that tell wherever they stand in a name.
 _WORDS = {
-    "nav": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs skip",
-    "header": "header masthead banner topbar top logo branding",
-    "footer": "footer foot copyright colophon legal bottom",
-    "side": "side sidebar aside related recommended recommend widget trending popular more rail complementary",
-    "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe paywall toast warning",
-    "ad": "ad ads advert advertisement advertising adsense sponsor sponsored promo promoted promotion banner-ad dfp",
-    "comment": "comment comments reply replies discussion disqus respond commentlist thread",
-    "form": "form login signup search searchbox signin register",
-    "share": "share sharing social follow tags meta byline author",
-    "main": "article content post entry main story body text prose page-content contentinfo-main articlebody",
+    "nav": "nav navbar navigation breadcrumb breadcrumbs pagination pager toc",
+    "header": "masthead",
+    "footer": "footer colophon copyright contentinfo",
+    "side": "sidebar aside related recommended recommend widget trending rail complementary",
+    "notice": "cookie cookies consent gdpr popup modal overlay newsletter paywall toast",
+    "ad": "ad ads advert advertisement advertising adsense sponsor sponsored promo promoted promotion dfp",
+    "comment": "comment comments replies disqus commentlist",
+    "form": "login signup searchbox signin",
+    "share": "share sharing social byline",
 }
+#: Words that tell only as the last word of a name that has no word for an article.
+_WEAK = {
+    "nav": "menu tabs skip",
+    "header": "header banner topbar top logo branding",
+    "footer": "foot legal bottom",
+    "side": "side popular more",
+    "notice": "notice alert subscribe warning",
+    "comment": "reply discussion respond thread",
+    "form": "form search register",
+    "share": "follow tags meta author",
+}
+_MAIN = "article content post entry main story body text prose articlebody"
+#: Names with such a word describe a state, or something that is elsewhere or not there.
+_STATES = set("no not without with has is js hide show closed open opened fixed sticky collapsed expanded active inactive enabled disabled visible off on".split())
 _ASIDE = {"t:nav", "t:header", "t:footer", "t:aside", "t:form"}
 _WORD_OF = {w: k for k, ws in _WORDS.items() for w in ws.split()}
-_WORD_OF.pop("banner-ad", None)
+_WEAK_OF = {w: k for k, ws in _WEAK.items() for w in ws.split()}
+_MAIN_WORDS = set(_MAIN.split())
+#: Furniture that is none where it holds most of the page's text, the article included.
+_WRAPS = {"t:header", "t:form", "t:nav", "t:aside", *(f"{x}:{k}" for x in "wv" for k in ("nav", "header", "side", "notice", "form", "share")), "v:footer", "v:comment"}
+_HIDDEN = re.compile(r"(?:^|[\s\"';])hidden(?=[\s=/]|$)(?!\s*=\s*[\"']?false)|style\s*=\s*[\"']?[^\"'>]*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
 #: What an element closes when it opens, and up to which elements.
@@ -85,19 +103,36 @@ def _static(tag: str, attrs: str) -> tuple[tuple[str, ...], str]:
     return _cached_static(tag, attrs) if len(attrs) < 500 else _cached_static.__wrapped__(tag, attrs)
 
 
+def _told(name: str) -> set[str]:
+    """What one name (of several, in a class) tells of an element."""
+    words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)]
+    if _STATES.intersection(words):
+        return set()
+    found = {"w:" + _WORD_OF[w] for w in words if w in _WORD_OF}
+    if _MAIN_WORDS.intersection(words):
+        return found or {"w:main"}
+    if words and not found and words[-1] in _WEAK_OF:
+        found.add("v:" + _WEAK_OF[words[-1]])
+    return found
+
+
 @lru_cache(maxsize=20000)
 def _cached_static(tag: str, attrs: str) -> tuple[tuple[str, ...], str]:
-    kind = _TAGS.get(tag, "other")
-    found = set()
-    for m in _ATTR.finditer(attrs):
-        if m[1].lower() == "hidden":
-            found.add("w:notice")
-        for w in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()):
-            if w in _WORD_OF:
-                found.add("w:" + _WORD_OF[w])
+    kind = _TAGS.get(tag, "inline" if tag in _INLINE else "other")
+    found: set[str] = set()
+    if attrs and kind != "root":
+        if _HIDDEN.search(attrs):
+            found.add("w:hidden")
+        for m in _ATTR.finditer(attrs):
+            for name in (m[2] or m[3] or m[4] or "").split():
+                found |= _told(name)
     return ("t:" + kind, *sorted(found)), kind
 
 
+#: What makes an inline element a node of its own.
+_CUT = {"w:hidden", "w:ad", "w:notice", "w:comment", "w:share"}
+
+
 class Page:
     """Block nodes in page order, parents first, and the text chunks in page order."""
 
@@ -115,6 +150,8 @@ class Page:
 
         def flush() -> None:
             nonlocal linked
+            while aside:
+                resume()
             if text:
                 joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
                 if joined:
@@ -131,6 +168,28 @@ class Page:
                     blocks.pop()
             block = stack[-1][1]
 
+        aside: list[tuple[int, list[str], int]] = []  # depth, text around, linked text there
+
+        def resume() -> None:
+            """Back to the text around an inline element with a label of its own."""
+            nonlocal text, linked, block
+            own = block
+            block = len(self.parent)
+            joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
+            if joined:
+                self.parent.append(own)
+                self.static.append(self_static.pop())
+                self.kind.append("inline")
+                self.label.append(self_label.pop())
+                self.chunks.append((block, joined, linked))
+            else:
+                self_static.pop(), self_label.pop()
+            block = own
+            _, text, linked = aside.pop()
+            text.append(" ")
+
+        self_static: list[tuple[str, ...]] = []
+        self_label: list[int | None] = []
         strict, ends, missing = True, True, set()
         while True:
             to = source.find("<", at)
@@ -175,6 +234,8 @@ class Page:
                     flush()
                     close_to(places[tag][-1])
                 elif places[tag][-1] > blocks[-1]:
+                    while aside and places[tag][-1] <= aside[-1][0]:
+                        resume()
                     close_to(places[tag][-1])
                 continue
             if tag == "br":
@@ -199,6 +260,14 @@ class Page:
             if tag in _INLINE:
                 if tag == "a":
                     link_depth = 1
+                if m[3]:
+                    own = _static(tag, m[3])[0]
+                    if any(f in _CUT for f in own):
+                        label = _LABEL.search(m[3])
+                        self_static.append(own)
+                        self_label.append(int(label[1]) if label else None)
+                        aside.append((len(stack), text, linked))
+                        text, linked = [], 0
                 places[tag].append(len(stack))
                 stack.append((tag, block))
                 continue
@@ -230,19 +299,42 @@ class Page:
         for node, text, linked in self.chunks:
             size[node] += len(text)
             links[node] += min(linked, len(text))
+        direct = [s - x for s, x in zip(size, links, strict=True)]
         for i in range(n - 1, 0, -1):
             size[self.parent[i]] += size[i]
             links[self.parent[i]] += links[i]
-        named = "1" if any("t:main" in x or "w:main" in x for x in self.static) else "0"
+        mains = [i for i in range(n) if "t:main" in self.static[i] or "w:main" in self.static[i]]
+        named = "1" if mains else "0"
+        main = max(mains, key=lambda i: (size[i] - links[i], -i), default=-1)
+        own, kinds = [set(x) for x in self.static], list(self.kind)
+        inside = [False] * n  # the article's own elements
+        end = list(range(1, n + 1))
+        for i in range(n - 1, 0, -1):
+            end[self.parent[i]] = max(end[self.parent[i]], end[i])
+        plain = size[0] - links[0]
+        for i in range(1, n):
+            inside[i] = inside[self.parent[i]] or "t:main" in self.static[i] or "w:main" in self.static[i]
+            if kinds[i] == "header" and inside[i]:  # the head of an article, not of a page
+                kinds[i] = "head"
+                own[i].discard("t:header")
+                own[i].add("t:head")
+            wraps = own[i] & _WRAPS
+            if wraps and size[i] - links[i] >= max(100, plain // 2) and (main < 0 or i <= main < end[i]):
+                own[i] -= wraps
+                own[i].add("t:wrap")
+                kinds[i] = "wrap" if kinds[i] in ("form", "header", "nav", "aside") else kinds[i]
+        self.kind = kinds
         # Whether a node, or one it is in, is named as something other than the article.
         aside = [False] * n
         for i in range(n):
-            aside[i] = (i > 0 and aside[self.parent[i]]) or any(f[:2] == "w:" and f != "w:main" or f in _ASIDE for f in self.static[i])
+            aside[i] = (i > 0 and aside[self.parent[i]]) or any(f[:2] in ("w:", "v:") and f != "w:main" or f in _ASIDE for f in own[i])
         out = []
         for i in range(n):
             s = size[i]
             share = links[i] / s if s else 0.0
-            out.append((*self.static[i], f"m:{named}:{self.kind[i]}", f"x:{named}:{int(aside[i])}:{int(s > 0)}", "s:" + ("0" if not s else "40" if s < 40 else "200" if s < 200 else "more"), "l:" + ("0" if share < 0.1 else "1" if share < 0.5 else "2")))
+            if kinds[i] == "root":  # text in no element of its own
+                own[i].add("r:" + ("0" if not direct[i] else "40" if direct[i] < 40 else "more"))
+            out.append((*sorted(own[i]), f"m:{named}:{kinds[i]}", f"x:{named}:{int(aside[i])}:{int(s > 0)}", "s:" + ("0" if not s else "40" if s < 40 else "200" if s < 200 else "more"), "l:" + ("0" if share < 0.1 else "1" if share < 0.5 else "2")))
         return out
 
 
@@ -326,7 +418,7 @@ class Model:
         return "\n\n".join([text for node, text, _ in page.chunks if content[node] > 0.5])
 
 
-def labelled_pages(count: int = 240, seed: int = 5) -> list[Page]:
+def labelled_pages(count: int = 320, seed: int = 5) -> list[Page]:
     """Laid-out pages; data-y holds each element's label (1 content)."""
     rng = random.Random(seed)
 
@@ -336,8 +428,16 @@ def labelled_pages(count: int = 240, seed: int = 5) -> list[Page]:
     def links(n: int, y: int = 0) -> str:
         return f'<ul data-y="{y}">' + "".join(f'<li data-y="{y}"><a href="/x">{say(1, 3)}</a></li>' for _ in range(n)) + "</ul>"
 
-    def named(words: str, tag: str = "div") -> str:
-        return f'<{tag} {rng.choice(("class", "class", "id"))}="{rng.choice(words.split())}" data-y="0">'
+    def state() -> str:
+        """Names that tell nothing: states, and words that are no furniture where they stand."""
+        return rng.choice(("has-sidebar", "no-comments", "with-nav", "menu-closed", "js", "row", "wrap", "clearfix", "container", "top-level", "legal-advice", "more-info", "search-results"))
+
+    def named(kind: str, tag: str = "div") -> str:
+        words = (_WORDS[kind] + " " + _WEAK.get(kind, "")).split()
+        name = rng.choice(words)
+        if name in _WORD_OF:
+            name = rng.choice((name, name, f"{name}-{rng.choice(('box', 'list', 'content', 'inner', 'item'))}", f"{rng.choice(('site', 'page', 'main', 'left'))}-{name}", f"{name} {rng.choice(('row', 'wrap', 'clearfix'))}"))
+        return f'<{tag} {rng.choice(("class", "class", "id"))}="{name}" data-y="0">'
 
     def paragraph() -> str:
         kind = rng.random()
@@ -351,27 +451,30 @@ def labelled_pages(count: int = 240, seed: int = 5) -> list[Page]:
             return f'<table data-y="1"><tr data-y="1"><td data-y="1">{say(1, 4)}</td><td data-y="1">{say(1, 4)}</td></tr></table>'
         if kind < 0.24:
             return f'<pre data-y="1">{say(3, 20)}</pre>'
-        if kind < 0.30:
+        if kind < 0.27:
+            cut = rng.choice(('class="ad"', "hidden", 'class="share-count"', 'style="display:none"'))
+            return f'<p data-y="1">{say(3, 12)} <span {cut} data-y="0">{say(1, 6)}</span> {say(3, 12)}</p>'
+        if kind < 0.33:
             return f'<p data-y="1">{say(3, 12)} <a href="/y">{say(1, 4)}</a> {say(3, 12)}</p>'
         return f'<p data-y="1">{say(1, 60) if kind < 0.5 else say(15, 60)}</p>'
 
     def furniture(kind: str) -> str:
         tag = rng.random() < 0.5
         if kind == "nav":
-            return ('<nav data-y="0">' if tag else named(_WORDS["nav"])) + links(rng.randint(2, 9)) + ("</nav>" if tag else "</div>")
+            return ('<nav data-y="0">' if tag else named("nav")) + links(rng.randint(2, 9)) + ("</nav>" if tag else "</div>")
         if kind == "header":
-            return ('<header data-y="0">' if tag else named(_WORDS["header"])) + rng.choice((f'<h2 data-y="0">{say(1, 4)}</h2>', f'<p data-y="0">{say(2, 10)}</p>', say(1, 5))) + ("</header>" if tag else "</div>")
+            return ('<header data-y="0">' if tag else named("header")) + rng.choice((f'<h2 data-y="0">{say(1, 4)}</h2>', f'<p data-y="0">{say(2, 10)}</p>', say(1, 5))) + ("</header>" if tag else "</div>")
         if kind == "footer":
-            return ('<footer data-y="0">' if tag else named(_WORDS["footer"])) + rng.choice((say(3, 20), f'<p data-y="0">{say(3, 20)}</p>', links(4))) + ("</footer>" if tag else "</div>")
+            return ('<footer data-y="0">' if tag else named("footer")) + rng.choice((say(3, 20), f'<p data-y="0">{say(3, 20)}</p>', links(4))) + ("</footer>" if tag else "</div>")
         if kind == "side":
             inner = rng.choice((links(rng.randint(2, 6)), f'<h3 data-y="0">{say(1, 4)}</h3><p data-y="0">{say(4, 30)}</p>'))
-            return ('<aside data-y="0">' if tag else named(_WORDS["side"])) + inner + ("</aside>" if tag else "</div>")
+            return ('<aside data-y="0">' if tag else named("side")) + inner + ("</aside>" if tag else "</div>")
         if kind == "form":
-            return f'<form data-y="0"><p data-y="0">{say(1, 10)}</p><button data-y="0">{say(1, 2)}</button></form>' if tag else named(_WORDS["form"]) + f'<form data-y="0">{say(1, 6)}</form></div>'
+            return f'<form data-y="0"><p data-y="0">{say(1, 10)}</p><button data-y="0">{say(1, 2)}</button></form>' if tag else named("form") + f'<form data-y="0">{say(1, 6)}</form></div>'
         if kind == "comment":
             one = lambda: f'<div class="comment" data-y="0"><p data-y="0">{say(3, 40)}</p></div>'
-            return named(_WORDS["comment"]) + rng.choice((f'<h3 data-y="0">{say(1, 3)}</h3>', "")) + "".join(rng.choice((one(), f'<p data-y="0">{say(3, 40)}</p>')) for _ in range(rng.randint(1, 5))) + "</div>"
-        return named(_WORDS[kind]) + rng.choice((say(2, 30), f'<p data-y="0">{say(2, 30)}</p>')) + "</div>"
+            return named("comment") + rng.choice((f'<h3 data-y="0">{say(1, 3)}</h3>', "")) + "".join(rng.choice((one(), f'<p data-y="0">{say(3, 40)}</p>')) for _ in range(rng.randint(1, 5))) + "</div>"
+        return named(kind) + rng.choice((say(2, 30), f'<p data-y="0">{say(2, 30)}</p>')) + "</div>"
 
     kinds = ["nav", "header", "side", "notice", "ad", "form", "share"]
     pages = []
@@ -381,7 +484,25 @@ def labelled_pages(count: int = 240, seed: int = 5) -> list[Page]:
         text = rng.choice(('<div data-y="1">{}</div>', "{}", '<div data-y="1"><div data-y="1">{}</div></div>', '<table data-y="1"><tr data-y="1"><td data-y="1">{}</td></tr></table>')).format(body)
         around = [furniture(k) if rng.random() < 0.35 else "" for k in rng.sample(("nav", "header", "form"), 1) + rng.sample(("footer", "ad", "comment"), 1)]
         top = int(text == body)
-        pages.append(Page(f'<html data-y="0"><body data-y="{top}">{around[0]}{text}{around[1]}</body></html>'))
+        inner = f"{around[0]}{text}{around[1]}"
+        shape = rng.random()
+        if shape < 0.15:  # text and breaks, in no element but the body, or in none at all
+            raw = rng.choice((" ", "<br>", "<br><br>")).join(say(8, 40) for _ in range(rng.randint(1, 4)))
+            boxed = rng.random() < 0.4
+            if boxed:
+                raw = f'<div class="{rng.choice(("post", "text", "entry-content", "box"))}" data-y="1">{raw}</div>'
+            raw = f"{around[0]}{raw}{around[1]}"
+            pages.append(Page(rng.choice((raw, f'<html data-y="0"><body class="{state()}" data-y="{int(not boxed)}">{raw}</body></html>'))))
+            pages[-1].label[0] = int(any(node == 0 for node, _, _ in pages[-1].chunks))
+        elif shape < 0.3:  # a piece of a page
+            pages.append(Page(inner))
+            pages[-1].label[0] = top
+        elif shape < 0.45 and text != body:  # a form, or a named box, around the whole page
+            box = rng.choice(('form id="form"', "form", 'div class="header"', 'div class="search"', 'div class="content-sidebar-wrap"', 'div class="menu"'))
+            text = text.replace("<div", f'<div class="{state()}"', 1)
+            pages.append(Page(f'<html data-y="0"><body data-y="0"><{box} data-y="0">{text}<p data-y="1">{say(25, 60)}</p></{box.split()[0]}>{around[1]}</body></html>'))
+        else:
+            pages.append(Page(f'<html data-y="0"><body class="{state()}" data-y="{top}">{inner}</body></html>'))
     for _ in range(count):
         body = [paragraph() for _ in range(rng.randint(1, 9))]
         if rng.random() < 0.15:  # a long run of short blocks
@@ -389,13 +510,18 @@ def labelled_pages(count: int = 240, seed: int = 5) -> list[Page]:
         for kind in rng.sample(("ad", "side", "share", "notice", "form", "comment"), rng.randint(0, 2)):
             body.insert(rng.randint(0, len(body)), furniture(kind))
         if rng.random() < 0.8:
-            body.insert(0, f'<h1 data-y="1">{say(2, 9)}</h1>')
-        shell = rng.choice(("<article {}>", "<main {}>", '<div class="content" {}>', '<div id="main" {}>', '<div class="post entry" {}>', "<article {}>", "<div {}>", '<section class="story" {}>'))
+            head = f'<h1 data-y="1">{say(2, 9)}</h1>'
+            if rng.random() < 0.35:
+                head = f'<header data-y="1">{head}{rng.choice(("", f"""<p class="byline" data-y="0">{say(2, 5)}</p>""", f"""<p data-y="1">{say(5, 20)}</p>"""))}</header>'
+            body.insert(0, head)
+        if rng.random() < 0.1:
+            body.append(f'<div style="display:none" data-y="0"><p data-y="0">{say(3, 40)}</p></div>')
+        shell = rng.choice(("<article {}>", "<main {}>", '<div class="content" {}>', '<div id="main" {}>', '<div class="post entry" {}>', "<article {}>", "<div {}>", '<section class="story" {}>', '<div class="top-story" {}>', '<div id="main-content" class="no-comments" {}>', '<div class="post" {}>'))
         text = shell.format('data-y="1"') + "".join(body) + f"</{shell[1:].split()[0]}>"
         if rng.random() < 0.25:
             text = f'<main data-y="1">{text}</main>'
-        if rng.random() < 0.25:
-            text = '<div data-y="0">' + text + "</div>"
+        if rng.random() < 0.35:
+            text = f'<div class="{state()}" data-y="0">' + text + "</div>"
         before = [furniture(k) for k in rng.sample(kinds, rng.randint(0, 4))]
         after = [furniture(k) for k in rng.sample(("side", "ad", "comment", "form", "footer", "notice", "share"), rng.randint(0, 4))]
         pages.append(Page(f'<html data-y="0"><body data-y="0">{"".join(before)}{text}{"".join(after)}</body></html>'))
@@ -412,7 +538,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Blocks of content in page order, joined by two newlines; white space inside a block
     is one space and character references are decoded.  Only the contents of script, style,
-    title, textarea and iframe are left out before the model sees them.  Broken markup is
+    title, textarea, iframe, noembed and noframes are left out before the model sees them.  An
+    inline element that is hidden, or named as an advert, notice, comment or sharing, is judged by
+    itself, and the text around it stays one block.  Broken markup is
     read the way browsers do, in time linear in the page: a quote binds only after "=", a tag
     that never ends by that rule ends at the next ">", and a stray "<" is text.  Null, empty or text-free html
     gives an empty text.  Ids and urls may be null or repeated and are passed on.  Pages

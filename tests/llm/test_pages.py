@@ -5,6 +5,7 @@ import time
 import pytest
 
 from quern.llm import html_text as H
+from tests.llm.layouts import LAYOUTS
 
 ARTICLE = "The river rose again on Tuesday, and the old bridge was closed to all traffic before noon."
 PAGES = {
@@ -31,6 +32,19 @@ def test_hand_written_pages(name):
     assert H.default_model().extract(source) == "\n\n".join(want)
 
 
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(name):
+    source, want = LAYOUTS[name]
+    assert H.default_model().extract(source) == "\n\n".join(want)
+
+
+def test_names_tell_by_their_words():
+    told = lambda *names: set().union(*(H._told(n) for n in names))
+    assert told("main-nav") == told("mainNav") == told("nav_item") == {"w:nav"} and told("comment-body") == {"w:comment"}
+    assert told("top-story") == told("search-result-body") == told("text-top") == {"w:main"}
+    assert told("with-nav", "no-comments", "menu-closed", "legal-advice", "formatted") == set() and told("page-top") == {"v:header"}
+
+
 @pytest.mark.parametrize("piece", ['<a "x', '<a b=">" ', "<a b='", "<div>", "<li>", "<ul><li>", "<a<", "&amp;<", "<iframe>", "<script></script ", "<b><div><i></b>", "<div class="])
 def test_hostile_pages_take_linear_time(piece):
     model = H.default_model()
