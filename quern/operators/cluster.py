@@ -27,6 +27,7 @@ from quern.operators.graph import connected_components, reciprocal
 from quern.operators.neighbors import eps_join, knn_join, shared_neighbors
 from quern.operators.pivots import matrix
 from quern.operators.ranks import positions
+from quern.operators.splitting import refined
 from quern.stages import stored
 
 MAX_ROWS = 20_000
@@ -262,20 +263,10 @@ def pca_whiten(df: DataFrame, components: int = 256) -> DataFrame:
     return scaled.select("vec_id", vector_to_array("out").alias("embedding"))
 
 
-def refine(df: DataFrame, assign: DataFrame, eps: float, min_size: int = 2, max_rows: int = MAX_ROWS) -> DataFrame:
+def refine(df: DataFrame, assign: DataFrame, eps: float, min_size: int = 2) -> DataFrame:
     """Splits, prunes and rescues each cluster; dropped rows join the discarded."""
     rows = _vectors(df).join(assign.where("cluster_id is not null"), "vec_id")
-    _refuse(rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0], max_rows)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        ids = pdf["vec_id"].to_numpy()
-        part = kernels.refine(np.stack(pdf["embedding"].to_list()), eps, min_size)
-        keep = part >= 0
-        least = {c: int(ids[part == c].min()) for c in np.unique(part[keep]).tolist()}
-        return pd.DataFrame({"vec_id": ids[keep], "label": [least[c] for c in part[keep].tolist()]})
-
-    return numbered(rows.groupBy("cluster_id").applyInPandas(run, "vec_id long, label long"), df)
+    return numbered(refined(rows, eps, min_size), df)
 
 
 def prune_outliers(df: DataFrame, assign: DataFrame, sigma: float = 2.0) -> DataFrame:

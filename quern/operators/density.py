@@ -30,8 +30,8 @@ from quern.operators.graph import FINISH, connected_components
 from quern.operators.neighbors import BROADCAST_BYTES, _broadcast, _centred, _measure, _products, _step, knn_join
 from quern.stages import stored
 
-#: Columns after a row's vector: its core distance, and its component in two halves.
-_TAGS = 3
+#: Columns after a row's vector: its core distance, its component in two halves, and its group.
+_TAGS = 5
 
 
 def core_distances(rows: DataFrame, n: int, min_size: int) -> DataFrame:
@@ -41,15 +41,17 @@ def core_distances(rows: DataFrame, n: int, min_size: int) -> DataFrame:
 
 
 def _apart(x: np.ndarray) -> tuple[np.ndarray, ...]:
-    return x[:, :-_TAGS], x[:, -3], x[:, -2], x[:, -1]
+    return x[:, :-_TAGS], *x[:, -_TAGS:].T
 
 
 def nearest_elsewhere(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, worst: np.ndarray | None = None) -> P.Found:
-    """(src, dst, reach) of the row of another component with the least mutual reachability."""
+    """(src, dst, reach) of the row of another component of the same group with the least mutual
+    reachability."""
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     if not len(q) or not len(b):
         return out[0]
-    (q, core, high, low), (b, other_core, other_high, other_low) = _apart(q), _apart(b)
+    (q, core, *comp, group, group_low), (b, other_core, *other, other_group, other_group_low) = _apart(q), _apart(b)
+    eq = lambda mine, theirs: mine[:, None] == theirs
     qc, bc, moved = _centred(q, b)
     norms, step = (bc * bc).sum(axis=1), _step(len(b))
     for at in range(0, len(q), step):
@@ -59,7 +61,7 @@ def nearest_elsewhere(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarr
         # how far a distance may be off: the product's error, and that of centring
         loose = np.sqrt(2 * slack)[:, None] + 8 * moved * np.sqrt(q.shape[1])
         key = np.maximum(np.maximum(far, core[here, None]), other_core)
-        key[(high[here, None] == other_high) & (low[here, None] == other_low)] = np.inf
+        key[(eq(comp[0][here], other[0]) & eq(comp[1][here], other[1])) | ~(eq(group[here], other_group) & eq(group_low[here], other_group_low))] = np.inf
         least = key.min(axis=1)
         r, c = np.nonzero((key <= least[:, None] + 2 * loose) & np.isfinite(key))
         dist = np.sqrt(((q[here][r] - b[c]) ** 2).sum(axis=1))
@@ -82,24 +84,28 @@ def mutual_tree(df: DataFrame, min_size: int, id_col: str = "vec_id", vector: st
     """(u, v, w), u < v: the minimum spanning tree of mutual reachability, ties by (w, u, v)."""
     rows = _vectors(df, id_col, vector)
     n, size = _measure(rows)
-    return _boruvka(rows.join(core_distances(rows, n, min_size), "id"), n, size, broadcast_bytes)
+    return _boruvka(rows.join(core_distances(rows, n, min_size), "id").withColumn("group", F.lit(0).cast("long")), n, size, broadcast_bytes)
 
 
-def spanning_tree(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(u, v, w), u < v: the minimum spanning tree of all distances, ties by (w, u, v)."""
+def spanning_tree(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES, group: str | None = None) -> DataFrame:
+    """(u, v, w), u < v: the minimum spanning tree of all distances, ties by (w, u, v); that of
+    each group by itself, if ``group`` names a column of integers."""
     rows = _vectors(df, id_col, vector)
+    if group:
+        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(group).cast("long").alias("group")).where("id is not null and v is not null and group is not null")
+    else:
+        rows = rows.withColumn("group", F.lit(0).cast("long"))
     return _boruvka(rows.withColumn("core", F.lit(0.0)), *_measure(rows), broadcast_bytes)
 
 
 def _boruvka(rows: DataFrame, n: int, size: int, broadcast_bytes: int) -> DataFrame:
+    spark = rows.sparkSession
     rows = stored(rows, "cores")
-    comp, chosen = rows.select(F.col("id").alias("node"), F.col("id").alias("component")), None
-    parts = n
+    comp, chosen, parts = rows.select(F.col("id").alias("node"), F.col("id").alias("component")), None, n
     while parts > 1:
-        half = F.shiftright("component", 32)
-        tags = F.array(F.col("core"), half.cast("double"), (F.col("component") - F.shiftleft(half, 32)).cast("double"))
-        tagged = rows.join(comp, F.col("id") == F.col("node")).select("id", F.concat("v", tags).alias("v"), "component")
-        tagged = stored(tagged, "tagged")
+        halves = lambda c: (F.shiftright(c, 32).cast("double"), (F.col(c) - F.shiftleft(F.shiftright(c, 32), 32)).cast("double"))
+        tags = F.array("core", *halves("component"), *halves("group"))
+        tagged = stored(rows.join(comp, F.col("id") == F.col("node")).select("id", F.concat("v", tags).alias("v"), "component"), "tagged")
         asked = tagged.select("id", "v")
         if size <= broadcast_bytes:
             found = _broadcast(asked, asked, nearest_elsewhere)
@@ -108,10 +114,15 @@ def _boruvka(rows: DataFrame, n: int, size: int, broadcast_bytes: int) -> DataFr
             found = P.search(asked.withColumn("own", F.lit(0.0)), asked, 1, nearest_elsewhere, lift=bare, query_lift=bare)[0].withColumnRenamed("key", "dist")
         edge = F.struct(F.col("dist").alias("w"), F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).alias("e")
         light = found.join(tagged.select(F.col("id").alias("src"), "component"), "src").groupBy("component").agg(F.min(edge).alias("e")).select("e.u", "e.v", "e.w")
-        chosen = stored((light if chosen is None else chosen.unionByName(light)).distinct(), "tree")
-        comp = stored(connected_components(chosen, "u", "v"), "parts")
-        parts = n - chosen.count()
-    return rows.sparkSession.createDataFrame([], "u long, v long, w double") if chosen is None else chosen
+        light = stored(light.distinct(), "lightest")
+        more = light.count()
+        if not more:  # every group is one tree
+            break
+        chosen = stored(light if chosen is None else chosen.unionByName(light), "tree")
+        comp = connected_components(chosen, "u", "v")
+        comp = stored(rows.select(F.col("id").alias("node")).join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "parts")
+        parts -= more
+    return spark.createDataFrame([], "u long, v long, w double") if chosen is None else chosen
 
 
 def leaves_of(edges: list[tuple[float, int, int]], min_size: int) -> list[tuple[int, int]]:
