@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators import kernels
 from quern.operators import pivots as P
 from quern.operators.graph import FINISH, connected_components
 from quern.operators.neighbors import BROADCAST_BYTES, _broadcast, _centred, _measure, _products, _step, knn_join
@@ -32,6 +33,8 @@ from quern.stages import stored
 
 #: Columns after a row's vector: its core distance, its component in two halves, and its group.
 _TAGS = 5
+#: Rows whose spanning tree one task takes.
+IN_TASK = 2048
 
 
 def core_distances(rows: DataFrame, n: int, min_size: int) -> DataFrame:
@@ -87,10 +90,19 @@ def mutual_tree(df: DataFrame, min_size: int, id_col: str = "vec_id", vector: st
     return _boruvka(rows.join(core_distances(rows, n, min_size), "id").withColumn("group", F.lit(0).cast("long")), n, size, broadcast_bytes)
 
 
-def spanning_tree(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES, group: str | None = None) -> DataFrame:
+def spanning_tree(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES, group: str | None = None, in_task: int = IN_TASK) -> DataFrame:
     """(u, v, w), u < v: the minimum spanning tree of all distances, ties by (w, u, v); that of
-    each group by itself, if ``group`` names a column of integers."""
+    each group by itself, if ``group`` names a column of integers.  Up to ``in_task`` rows are
+    solved in one task."""
     rows = _vectors(df, id_col, vector)
+    if not group and rows.count() <= in_task:
+
+        def run(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("id")
+            ids, edges = rows.column("id").to_numpy(), kernels.prim(P.matrix(rows.column("v")))
+            return pa.table({"u": ids[[u for _, u, _ in edges]] if edges else ids[:0], "v": ids[[v for _, _, v in edges]] if edges else ids[:0], "w": np.array([w for w, _, _ in edges], float)})
+
+        return rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "u long, v long, w double")
     if group:
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(group).cast("long").alias("group")).where("id is not null and v is not null and group is not null")
     else:

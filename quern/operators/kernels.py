@@ -33,23 +33,6 @@ def between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(d2)
 
 
-def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Label of each of n nodes: the smallest node of its component."""
-    label = np.arange(n)
-    while len(u):
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, label[u], low)
-        np.minimum.at(new, label[v], low)
-        new = new[new]
-        while (new != new[new]).any():
-            new = new[new]
-        label = new[label]
-        apart = label[u] != label[v]
-        u, v = u[apart], v[apart]
-    return label
-
-
 def greedy_block(rows: list[int], near: dict[int, list[int]], hit: dict[int, list[tuple[int, int]]], size: dict[int, int], ratio: float) -> dict[int, int]:
     """Greedy assignment of some rows in order: a row joins the cluster that holds most of its
     neighbours, if those are at least ``ratio`` of the cluster; else it opens one.
@@ -69,52 +52,6 @@ def greedy_block(rows: list[int], near: dict[int, list[int]], hit: dict[int, lis
     return of
 
 
-def linkage_cut(x: np.ndarray, threshold: float, ward: bool) -> np.ndarray:
-    """Agglomerative clusters below a cut: complete linkage, or Ward's distance."""
-    n = len(x)
-    if n < 2:
-        return np.zeros(n, np.int64)
-    d = distances(x)
-    np.fill_diagonal(d, np.inf)
-    size, parent = np.ones(n), np.arange(n)
-    alive = np.ones(n, bool)
-    while alive.sum() > 1:
-        flat = int(d.argmin())
-        i, j = divmod(flat, n)
-        if not d[i, j] < threshold:
-            break
-        i, j = min(i, j), max(i, j)
-        if ward:
-            a, b, c = size[i], size[j], size
-            with np.errstate(invalid="ignore"):
-                row = np.sqrt(np.maximum(((a + c) * d[i] ** 2 + (b + c) * d[j] ** 2 - c * d[i, j] ** 2) / (a + b + c), 0))
-        else:
-            row = np.maximum(d[i], d[j])
-        size[i] += size[j]
-        alive[j] = False
-        row[~alive] = np.inf
-        row[i] = np.inf
-        d[i], d[:, i], d[j], d[:, j] = row, row, np.inf, np.inf
-        parent[parent == j] = i
-    return parent
-
-
-def spanning_tree(d: np.ndarray) -> list[tuple[float, int, int]]:
-    """Edges (w, u, v) of a minimum spanning tree of a complete graph, by Prim from row 0."""
-    n = len(d)
-    best, link, out = d[0].copy() if n else np.zeros(0), np.zeros(n, int), []
-    inside = np.zeros(n, bool)
-    if n:
-        inside[0] = True
-    for _ in range(n - 1):
-        v = int(np.where(inside, np.inf, best).argmin())
-        out.append((float(best[v]), min(int(link[v]), v), max(int(link[v]), v)))
-        inside[v] = True
-        closer = ~inside & (d[v] < best)
-        best[closer], link[closer] = d[v][closer], v
-    return out
-
-
 def optics(x: np.ndarray, min_samples: int, max_eps: float, xi: float = 0.05) -> np.ndarray:
     """OPTICS ordering with xi extraction of the smallest clusters; -1 is noise."""
     n = len(x)
@@ -196,51 +133,6 @@ def optics(x: np.ndarray, min_samples: int, max_eps: float, xi: float = 0.05) ->
     return label
 
 
-def tree_split(x: np.ndarray, rows: np.ndarray, ratio: float = 2.4) -> list[np.ndarray]:
-    """Cuts the longest tree edge while it is over ``ratio`` times the mean and 1e-4."""
-    work, out = [rows], []
-    while work:
-        part = work.pop()
-        edges = spanning_tree(distances(x[part]))
-        w = np.array([e[0] for e in edges])
-        if len(w) and w.max() > ratio * w.mean() and w.max() > 1e-4:
-            cut = int(w.argmax())
-            rest = [e for k, e in enumerate(edges) if k != cut]
-            label = components(len(part), np.array([e[1] for e in rest], int), np.array([e[2] for e in rest], int))
-            work += [part[label == c] for c in np.unique(label)]
-        else:
-            out.append(part)
-    return sorted(out, key=lambda p: p[0])
-
-
-def refine(x: np.ndarray, eps: float, min_size: int, sigma: float = 2.0, density: float = 0.6, rescue: float = 0.75) -> np.ndarray:
-    """Refines one cluster: split by its tree, prune outliers, and of a part that is too
-    wide keep only its dense cores.  Returns a part number for each row, -1 for dropped."""
-    label, number = np.full(len(x), -1), 0
-    if len(x) < min_size:
-        return label
-    for part in tree_split(x, np.arange(len(x))):
-        if len(part) < min_size:
-            continue
-        r = np.linalg.norm(x[part] - x[part].mean(axis=0), axis=1)
-        if r.std() >= 1e-6:
-            part = part[r <= r.mean() + sigma * r.std()]
-        if len(part) < min_size:
-            continue
-        wide = np.linalg.norm(x[part] - x[part].mean(axis=0), axis=1).mean()
-        limit = eps * density * (1.0 if len(part) >= max(5, min_size + 1) else 1.5)
-        cores = [part]
-        if eps > 0 and wide > limit:
-            u, v = np.nonzero(np.triu(distances(x[part]) <= eps * rescue, 1))
-            comp = components(len(part), u, v)
-            cores = [part[comp == c] for c in np.unique(comp)]
-        for core in cores:
-            if len(core) >= min_size:
-                label[core] = number
-                number += 1
-    return label
-
-
 def insertion_path(x: np.ndarray, window: int = 40) -> np.ndarray:
     """Farthest insertion: starts at two far ends, then always inserts the row farthest
     from the path, near its closest path row or at an end, where it costs least.
@@ -297,8 +189,25 @@ def two_opt(x: np.ndarray, path: np.ndarray) -> np.ndarray:
         path[i[best] : j[best] + 1] = path[i[best] : j[best] + 1][::-1]
 
 
-def tree_order(n: int, edges: list[tuple[float, int, int]], beta: float = 0.3, gamma: float = 1e-4) -> list[int]:
-    """Depth-first order of a tree from its weighted centre.
+def prim(x: np.ndarray) -> list[tuple[float, int, int]]:
+    """Edges (w, u, v), u < v, of the minimum spanning tree of all distances; ties by (w, u, v)."""
+    n, out = len(x), []
+    rows, best, link = np.arange(n), np.full(n, np.inf), np.zeros(n, int)
+    outside, at = np.ones(n, bool), 0
+    for _ in range(n - 1):
+        outside[at] = False
+        d = np.sqrt(((x - x[at]) ** 2).sum(axis=1))
+        pair = np.minimum(rows, at) * n + np.maximum(rows, at)
+        closer = outside & ((d < best) | ((d == best) & (pair < np.minimum(rows, link) * n + np.maximum(rows, link))))
+        best[closer], link[closer] = d[closer], at
+        left = np.flatnonzero(outside & (best == best[outside].min()))
+        at = int(left[(np.minimum(left, link[left]) * n + np.maximum(left, link[left])).argmin()])
+        out.append((float(best[at]), min(at, int(link[at])), max(at, int(link[at]))))
+    return out
+
+
+def tree_order(n: int, edges: list[tuple[float, int, int]], beta: float = 0.3, gamma: float = 1e-4, root: int | None = None) -> list[int]:
+    """Depth-first order of a tree from its weighted centre, or from ``root``.
 
     Children come in order of edge weight, plus a share of the lightest edge onward, less a
     little for each row below.
@@ -322,11 +231,12 @@ def tree_order(n: int, edges: list[tuple[float, int, int]], beta: float = 0.3, g
 
     if n == 0:
         return []
-    a = far(0)[0]
-    b, dist, back = far(a)
-    centre, half = b, dist[b] / 2
-    while back[centre] >= 0 and dist[back[centre]] >= half:
-        centre = back[centre]
+    centre = root
+    if centre is None:
+        b, dist, back = far(far(0)[0])
+        centre, half = b, dist[b] / 2
+        while back[centre] >= 0 and dist[back[centre]] >= half:
+            centre = back[centre]
     order, parent, stack = [], [-1] * n, [centre]
     while stack:
         u = stack.pop()

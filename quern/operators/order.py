@@ -105,13 +105,25 @@ def dfs_order(df: DataFrame, k: int = 10, in_task: int = MAX_ROWS) -> DataFrame:
     return _concatenate(walked.unionByName(alone), ranked(keyed, "key", "rank"))
 
 
-def cell_order(cells: DataFrame) -> DataFrame:
+def cell_order(cells: DataFrame, in_task: int = MAX_ROWS) -> DataFrame:
     """(part, rank) of cells (part, size, centroid): depth first over the spanning tree of the
-    centroids, from the largest cell, nearer cells first."""
+    centroids, from the largest cell, nearer cells first.  Trees of up to ``in_task`` cells are
+    walked in one task."""
     largest = cells.orderBy(F.desc("size"), "part").limit(1).select(F.lit(0).cast("long").alias("part"), F.col("part").alias("root"))
     tree = stored(spanning_tree(cells, "part", "centroid"), "tree")
     if tree.isEmpty():
         return largest.select(F.col("root").alias("part"), F.lit(0).cast("long").alias("rank"))
+    if tree.count() < in_task:
+
+        def run(edges: pa.Table) -> pa.Table:
+            u, v, w = (edges.column(c).to_numpy() for c in ("u", "v", "w"))
+            ids, start = np.unique(np.concatenate((u, v))), edges.column("root")[0].as_py()
+            near = sorted(zip(w.tolist(), np.searchsorted(ids, u).tolist(), np.searchsorted(ids, v).tolist(), strict=True))
+            path = kernels.tree_order(len(ids), near, 0.0, 0.0, int(np.searchsorted(ids, start)))
+            return pa.table({"part": ids[path], "rank": np.arange(len(ids))})
+
+        rooted = tree.withColumn("part", F.lit(0).cast("long")).join(F.broadcast(largest), "part")
+        return rooted.groupBy("part").applyInArrow(run, "part long, rank long")
     walk = preorder(tree.withColumn("part", F.lit(0).cast("long")), 0.0, 0.0, stored(largest, "root"))
     return walk.select(F.col("vec_id").alias("part"), F.col("place").alias("rank"))
 

@@ -7,6 +7,7 @@ from quern.operators import density as D
 from quern.operators import kernels as Kn
 from quern.operators import order as O
 from tests.fixtures import frame
+from tests.reference import spanning_tree
 
 
 def length(x):
@@ -21,7 +22,7 @@ def runs(path, most):
     return [z for t in cuts for z in (np.vstack((path[t:], path[:t])), np.vstack((path[t:], path[:t]))[::-1])]
 
 
-@pytest.mark.parametrize("block", [1, 2, 3, 100])
+@pytest.mark.parametrize("block", [1, 3, 100])
 def test_chain_is_the_best_of_all_choices(spark, block):
     rng = np.random.default_rng(7)
     paths = [rng.normal(0, 1, (n, 2)) + rng.normal(0, 3, 2) for n in (4, 1, 5, 2, 3)]
@@ -64,19 +65,31 @@ def test_path_is_no_longer_than_by_nearest_ends(spark, seed):
     assert length(x[order]) <= length(x[old_chain(x, paths)]) + 1e-9
 
 
-@pytest.mark.parametrize("limit", [1 << 30, 0])
-def test_spanning_tree_of_all_distances(spark, limit):
+@pytest.mark.parametrize("limit,in_task", [(0, 100), (1 << 30, 0), (0, 0)])
+def test_spanning_tree_of_all_distances(spark, limit, in_task):
     x = np.random.default_rng(5).normal(size=(40, 3))
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
-    tree = D.spanning_tree(df, broadcast_bytes=limit).collect()
-    want = Kn.spanning_tree(Kn.distances(x))
+    tree = D.spanning_tree(df, broadcast_bytes=limit, in_task=in_task).collect()
+    want = spanning_tree(Kn.distances(x))
     assert {(r["u"], r["v"]) for r in tree} == {(u, v) for _, u, v in want}
 
 
-def test_cells_follow_the_tree(spark):
+def test_ties_of_a_grid_go_by_ids():
+    x = np.array([[i, j] for i in range(6) for j in range(6)], float)
+    left, want = {i: i for i in range(36)}, []
+    for w, u, v in sorted((float(np.linalg.norm(x[u] - x[v])), u, v) for v in range(36) for u in range(v)):
+        if left[u] != left[v]:
+            want.append((w, u, v))
+            old, new = left[v], left[u]
+            left = {k: new if z == old else z for k, z in left.items()}
+    assert sorted(Kn.prim(x)) == sorted(want)
+
+
+@pytest.mark.parametrize("in_task", [0, 100])
+def test_cells_follow_the_tree(spark, in_task):
     at = [[0.0], [1.0], [2.1], [-1.2], [10.0]]
     cells = spark.createDataFrame([(i, 9 if i == 1 else 1, c) for i, c in enumerate(at)], "part long, size long, centroid array<double>")
-    assert [r["part"] for r in O.cell_order(cells).orderBy("rank").collect()] == [1, 0, 3, 2, 4]
+    assert [r["part"] for r in O.cell_order(cells, in_task).orderBy("rank").collect()] == [1, 0, 3, 2, 4]
     assert [(r["part"], r["rank"]) for r in O.cell_order(cells.where("part = 3")).collect()] == [(3, 0)]
 
 

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 
 from quern.operators import cluster as C
-from quern.operators import kernels as Kn
+from quern.operators.kernels import distances
 from tests.fixtures import frame, partition, planted, unit
+from tests.reference import linkage_cut
 
 
 @pytest.fixture(scope="module")
@@ -83,8 +84,8 @@ def test_degenerate(spark):
 
 def test_complete_linkage_diameter():
     x = unit(np.random.default_rng(5).normal(size=(80, 3)))
-    label = Kn.linkage_cut(x, 0.7, ward=False)
-    d = Kn.distances(x)
+    label = linkage_cut(x, 0.7, ward=False)
+    d = distances(x)
     assert all(d[np.ix_(label == c, label == c)].max() < 0.7 for c in np.unique(label))
 
 

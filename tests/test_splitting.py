@@ -1,9 +1,9 @@
 import numpy as np
 import pytest
 
-from quern.operators import kernels as Kn
 from quern.operators import splitting as Sp
 from tests.fixtures import partition
+from tests.reference import refine
 
 
 def clusters(count=30):
@@ -24,7 +24,7 @@ def test_equal_to_the_kernel(spark, eps, min_size):
     rows, want, at = [], [], 0
     for c, x in enumerate(clusters()):
         rows += [(at + i, v, c) for i, v in enumerate(x.tolist())]
-        part = Kn.refine(x, eps, min_size)
+        part = refine(x, eps, min_size)
         want += [[at + i for i in np.flatnonzero(part == p).tolist()] for p in np.unique(part[part >= 0])]
         at += len(x)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cluster_id int")
