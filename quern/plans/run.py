@@ -13,7 +13,8 @@ from __future__ import annotations
 import argparse
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
@@ -23,6 +24,7 @@ from quern.operators import neighbors as N
 from quern.operators import order as O
 from quern.plans.config import Clustering, Search, Sorting, with_values
 from quern.sources import catalog as S
+from quern.sources.models import Model, load
 
 TASKS = {"find": Search, "cluster": Clustering, "sorting": Sorting}
 
@@ -59,24 +61,59 @@ def sort(df: DataFrame, config: Sorting = Sorting()) -> DataFrame:
     return order
 
 
-def find(df: DataFrame, query: str, config: Search = Search(), text: DataFrame | None = None) -> DataFrame:
-    """(vec_id, path, dist): nearest to a catalog path, fused with the one vector of ``text``
-    (column embedding, optional base) if given.  The query's own row is left out."""
-    asked = df.sparkSession.createDataFrame([(query,)], "query string")
-    match = S.lookup(df, asked, key="path").first()
-    if match["match"] is None:
-        raise LookupError(f"{query} is not in the catalog; embed it first")
-    own = df.where(F.col("path") == match["match"]).select("vec_id", "embedding").first()
-    vector = F.array(*[F.lit(float(x)) for x in own["embedding"]])
+def _encoded(spark: SparkSession, model: Model, file: str | None = None, text: str | None = None) -> list[float]:
+    """The unit vector of a file, or of a text, by a registered encoder."""
+    if file is not None:
+        try:
+            content = spark.read.format("binaryFile").load(file).select(F.col("path").alias("filename"), "content")
+        except AnalysisException:
+            raise LookupError(f"{file} is neither in the catalog nor a file") from None
+    else:
+        content = spark.createDataFrame([("text", bytearray(text.encode()))], "filename string, content binary")
+    row = S.embed(content, model.make).first()
+    if row is None:
+        raise LookupError(f"{model.name} gives no vector for {file or text}")
+    return [float(x) for x in row["features"]]
+
+
+def find(df: DataFrame, query: str, config: Search = Search(), text: DataFrame | None = None, model: Model | None = None) -> DataFrame:
+    """(vec_id, path, dist): the rows nearest to a query, which is a path, a text (mode "text"), or
+    a path, a tab and a text (mode "fused").
+
+    A path in the catalog, or the one file name that equals its last part, is asked by the vector
+    it has, and its own row is left out; another file, or a text, is embedded by ``model``.
+    ``text`` (column embedding, optional base) gives the vector of a text instead.
+    """
+    spark, own = df.sparkSession, None
+    path, tab, words = query.partition("\t") if config.mode == "fused" else (query, "", "")
+    literal = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    need = lambda: model or _no_model(query)
+    if config.mode == "text":
+        return _nearest_to(df, literal(_encoded(spark, need(), text=query)), config, None)
+    match = S.lookup(df, spark.createDataFrame([(path,)], "query string"), key="path").first()
+    if match["match"] is not None:
+        own = df.where(F.col("path") == match["match"]).select("vec_id", "embedding").first()
+    vector = literal(own["embedding"] if own else _encoded(spark, need(), file=path))
+    base = None
     if text is not None:
         row = text.first()
-        words = F.array(*[F.lit(float(x)) for x in row["embedding"]])
+        said, base = row["embedding"], row["base"] if "base" in text.columns else None
+    elif tab:
+        said, base = _encoded(spark, need(), text=words), _encoded(spark, need(), text=config.base_prompt)
+    if text is not None or tab:
         if config.fusion == "simple":
-            vector = V.fuse_simple(vector, words, config.image_weight, config.text_weight)
+            vector = V.fuse_simple(vector, literal(said), config.image_weight, config.text_weight)
         else:
-            base = row["base"] if "base" in text.columns else None
-            vector = V.fuse_directional(vector, words, None if base is None else F.array(*[F.lit(float(x)) for x in base]), config.alpha)
-    near = N.knn_query(df, vector, config.neighbors, exclude=F.col("vec_id") == own["vec_id"])
+            vector = V.fuse_directional(vector, literal(said), None if base is None else literal(base), config.alpha)
+    return _nearest_to(df, vector, config, own["vec_id"] if own else None)
+
+
+def _no_model(query: str):
+    raise LookupError(f"{query} is not in the catalog, and no encoder is named to embed it")
+
+
+def _nearest_to(df: DataFrame, vector: Column, config: Search, own: int | None) -> DataFrame:
+    near = N.knn_query(df, vector, config.neighbors, exclude=None if own is None else F.col("vec_id") == own)
     return near.join(df.select("vec_id", "path"), "vec_id").orderBy("dist", "vec_id")
 
 
@@ -94,6 +131,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("catalog")
     parser.add_argument("--out")
     parser.add_argument("--list", action="store_true")
+    parser.add_argument("--model", help="registered encoder for queries that are not in the catalog")
     for task in TASKS:
         parser.add_argument(f"--{task}", nargs="?", const="", metavar="GROUP")
     args = parser.parse_args(argv)
@@ -117,7 +155,7 @@ def main(argv: list[str] | None = None) -> None:
     df = S.load_features(known)
     for task, direct, config in args.plan:
         if task == "find":
-            find(df, direct, config).show(truncate=False)
+            find(df, direct, config, model=load(args.model) if args.model else None).show(truncate=False)
             continue
         result = cluster(df, config) if task == "cluster" else sort(df, config)
         if args.out and task == "sorting":

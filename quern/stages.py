@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +41,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Deletes all stored stages; results that still read them become unreadable."""
-    while _written:
+def release(keep: int = 0) -> None:
+    """Deletes all stored stages but the first ``keep``; results that still read them become
+    unreadable."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
@@ -51,4 +54,15 @@ def release() -> None:
             return
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Stages stored inside are deleted at its end, so a long session keeps none of them; results
+    must be written or collected by then."""
+    kept = len(_written)
+    try:
+        yield
+    finally:
+        release(kept)
+
+
 atexit.register(release)

@@ -92,3 +92,25 @@ def test_find(spark):
     assert len(rows) == 3 and all(label[r["vec_id"]] == 0 and r["vec_id"] != 0 for r in rows)
     with pytest.raises(LookupError):
         R.find(df, "none.jpg")
+
+
+def test_find_what_is_not_in_the_catalog(spark, tmp_path):
+    from quern.sources.models import load
+
+    for i in range(6):
+        (tmp_path / f"q{i}.jpg").write_bytes(bytes([16 * i] * 8 + [16 * i + 16] * i))
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    made = S.embed(files.withColumnRenamed("path", "filename"), S.byte_histogram)
+    df = made.select(F.regexp_extract("filename", r"q(\d)", 1).cast("long").alias("vec_id"), F.col("filename").alias("path"), F.col("features").alias("embedding"))
+    known, model = df.where("vec_id <> 2").cache(), load("byte_histogram")
+    rows = R.find(known, str(tmp_path / "q2.jpg"), Cf.Search(neighbors=2), model=model).collect()
+    assert len(rows) == 2 and rows[0]["vec_id"] == 3
+    text = R.find(known, "000", Cf.Search(neighbors=1, mode="text"), model=model).collect()  # bytes 0x30
+    assert text[0]["vec_id"] == 3
+    for fusion in ("simple", "directional"):
+        both = R.find(known, f"{tmp_path}/q0.jpg\t@@@@", Cf.Search(neighbors=5, mode="fused", fusion=fusion, image_weight=0.1, text_weight=0.9, alpha=5.0), model=model).collect()
+        assert both[0]["vec_id"] == 4 and all(r["vec_id"] != 0 for r in both)
+    with pytest.raises(LookupError):
+        R.find(known, str(tmp_path / "q2.jpg"))
+    with pytest.raises(LookupError):
+        R.find(known, str(tmp_path / "none.jpg"), model=model)

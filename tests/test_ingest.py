@@ -93,3 +93,14 @@ def test_a_killed_ingest_takes_each_file_once(spark, tmp_path, monkeypatch, die)
     (folder / "p9.jpg").write_bytes(bytes([16 * 9] * 10))
     start()
     assert found() == [*[(f"p{i}.jpg", i) for i in range(5)], ("p9.jpg", 9)]
+
+
+def test_stages_go_at_the_end_of_their_scope(spark):
+    from quern import stages
+
+    outer = stages.stored(spark.range(3), "outer")
+    with stages.scope():
+        inner = stages.stored(spark.range(4), "inner")
+        path = inner.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path) and inner.count() == 4
+    assert not os.path.exists(path) and outer.count() == 3
