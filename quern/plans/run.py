@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
 from quern.operators import cluster as C
-from quern.operators import export as X
 from quern.operators import neighbors as N
 from quern.operators import order as O
 from quern.plans.config import Clustering, Search, Sorting, with_values
+from quern.plans.save import save
 from quern.sources import catalog as S
 from quern.sources.models import Model, load
 
@@ -161,8 +161,7 @@ def main(argv: list[str] | None = None) -> None:
         if args.out and task == "sorting":
             S.save_index(result, df, f"{args.out}/index")
         elif args.out:
-            items = C.item_distances(df, result).join(df.select("vec_id", "path"), "vec_id")
-            X.cluster_documents(items, C.cluster_distances(items)).write.mode("overwrite").parquet(f"{args.out}/clusters")
+            save(df, result, config, args.out)
         else:
             result.show()
 
