@@ -530,17 +530,25 @@ def cluster_sort(spark, d):
     return P.cluster_sort(df, C.cc_graph(df, 1.05, 2), 10)
 
 
-@_query()
+@_query(
+    f"WITH {_ITEMS}, c AS (SELECT cluster_id, count(*) AS size, avg(m) AS a, list({{'vec_id': vec_id, 'path': vec_id::VARCHAR, 'average_distance': round(m, 6)}} ORDER BY vec_id) AS items FROM p GROUP BY cluster_id) "
+    "SELECT cluster_id, to_json({'id': cluster_id, 'size': size, 'folder_name': 'cluster_' || lpad(cluster_id::VARCHAR, 3, '0'), 'average_distance': round(a, 6), 'items': items})::VARCHAR AS document FROM c"
+)
 def cluster_documents(spark, d):
     df = _embeddings(spark, d)
     items = C.item_distances(df, _labelled(df))
     return X.cluster_documents(items.withColumn("path", F.col("vec_id").cast("string")), C.cluster_distances(items))
 
 
-@_query()
+_METRICS = ("path_length", "edge_stats", "knn_recall", "continuity_error", "path_smoothness", "curvature", "spearman_sampled", "run_length", "label_homogeneity", "sequential_map", "boundary_consistency")
+
+
+@_query("SELECT * FROM " + ", ".join(f"({_sql[m].replace('ORDER BY label, vec_id', 'ORDER BY vec_id')}) AS {m}" for m in _METRICS))
 def evaluate_order(spark, d):
+    """All metrics that have SQL, of the order by id, in one row."""
     df = _embeddings(spark, d)
-    return M.evaluate(df, _by_id(df))
+    found = M.evaluate(df, _by_id(df), pairs=20_000).drop("avg_boundary_width")
+    return found.select(*[_r(c) if t == "double" else c for c, t in found.dtypes])
 
 
 def queries() -> dict[str, Query]:
