@@ -372,3 +372,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if found.count() * 16 <= BROADCAST_BYTES:
         found = F.broadcast(found)
     return docs.join(found, F.col(id_col) == F.col(name), "left_anti")
+
+
+SQL = r"""
+WITH RECURSIVE
+t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+arcs AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(node, other) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.node, x.b FROM reach r JOIN arcs x ON x.a = r.other)
+SELECT t.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id FROM t JOIN reach ON node = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id GROUP BY t.doc_id
+"""

@@ -90,4 +90,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": _bench.SQL, "op10_exact_dedup": _exact.SQL, "op11_importance_resampling": _resample.SQL, "op12_merkle_manifest": _manifest.SQL, "op13_pivot_topk": _topk.SQL}
+    return {"op1_decontaminate": _bench.SQL, "op5_jaccard_components": _jaccard.SQL, "op10_exact_dedup": _exact.SQL, "op11_importance_resampling": _resample.SQL, "op12_merkle_manifest": _manifest.SQL, "op13_pivot_topk": _topk.SQL}

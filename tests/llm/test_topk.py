@@ -36,8 +36,7 @@ def vectors(n, d, seed, centres=0, spread=1.0):
     return [(i, v) for i, v in enumerate(x.tolist())]
 
 
-@pytest.mark.parametrize("width", [7, 64, None])
-@pytest.mark.parametrize("centres", [0, 9])
+@pytest.mark.parametrize("width,centres", [(7, 9), (64, 0), (None, 9)])
 def test_matches_every_pair(spark, width, centres):
     rows = vectors(500, 8, 1, centres, 0.2 if centres else 1.0)
     got, report = run(spark, rows, 10, by=20, width=width)
