@@ -120,6 +120,8 @@ def _told(name: str) -> set[str]:
 def _cached_static(tag: str, attrs: str) -> tuple[tuple[str, ...], str]:
     kind = _TAGS.get(tag, "inline" if tag in _INLINE else "other")
     found: set[str] = set()
+    if "-" in tag:  # an element of the page's own making
+        found |= _told(tag)
     if attrs and kind != "root":
         if _HIDDEN.search(attrs):
             found.add("w:hidden")
@@ -476,12 +478,16 @@ def labelled_pages(count: int = 320, seed: int = 5) -> list[Page]:
             return named("comment") + rng.choice((f'<h3 data-y="0">{say(1, 3)}</h3>', "")) + "".join(rng.choice((one(), f'<p data-y="0">{say(3, 40)}</p>')) for _ in range(rng.randint(1, 5))) + "</div>"
         return named(kind) + rng.choice((say(2, 30), f'<p data-y="0">{say(2, 30)}</p>')) + "</div>"
 
+    def menu() -> str:
+        """Sometimes a cell of links beside the text."""
+        return rng.choice(("", f'<td data-y="0">{"<br>".join(f"""<a href="/x">{say(1, 2)}</a>""" for _ in range(rng.randint(2, 6)))}</td>'))
+
     kinds = ["nav", "header", "side", "notice", "ad", "form", "share"]
     pages = []
     for _ in range(count):  # pages that name nothing: plain blocks, down to one paragraph
         body = "".join(paragraph() for _ in range(rng.choice((1, 1, 2, 3, 6)))) if rng.random() < 0.8 else say(2, 60)
         body = rng.choice((f'<h1 data-y="1">{say(2, 9)}</h1>', "")) + body
-        text = rng.choice(('<div data-y="1">{}</div>', "{}", '<div data-y="1"><div data-y="1">{}</div></div>', '<table data-y="1"><tr data-y="1"><td data-y="1">{}</td></tr></table>')).format(body)
+        text = rng.choice(('<div data-y="1">{}</div>', "{}", '<div data-y="1"><div data-y="1">{}</div></div>', '<table data-y="1"><tr data-y="1">' + menu() + '<td data-y="1">{}</td></tr></table>')).format(body)
         around = [furniture(k) if rng.random() < 0.35 else "" for k in rng.sample(("nav", "header", "form"), 1) + rng.sample(("footer", "ad", "comment"), 1)]
         top = int(text == body)
         inner = f"{around[0]}{text}{around[1]}"
@@ -507,7 +513,7 @@ def labelled_pages(count: int = 320, seed: int = 5) -> list[Page]:
         body = [paragraph() for _ in range(rng.randint(1, 9))]
         if rng.random() < 0.15:  # a long run of short blocks
             body += [f'<p data-y="1">{say(1, 3)}</p>' for _ in range(rng.randint(15, 60))]
-        for kind in rng.sample(("ad", "side", "share", "notice", "form", "comment"), rng.randint(0, 2)):
+        for kind in rng.sample(("ad", "side", "share", "notice", "form", "comment", "nav"), rng.randint(0, 2)):
             body.insert(rng.randint(0, len(body)), furniture(kind))
         if rng.random() < 0.8:
             head = f'<h1 data-y="1">{say(2, 9)}</h1>'

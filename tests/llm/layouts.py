@@ -60,4 +60,15 @@ LAYOUTS = {
     "header with a menu": (f"<body><header><h2>Daily River</h2>{NAV}</header><article>{P}</article>{FOOT}</body>", [A, B]),
     "header around the page": (f'<body><div class="header"><div class="inner"><h1>River rises</h1>{P}<p>{C}</p></div></div></body>', ["River rises", A, B, C]),
     "sponsored box": (f'<article><p>{A}</p><div class="sponsored-content"><p>Ten tricks that plumbers hate, number four is a surprise.</p></div><p>{B}</p></article>', [A, B]),
+    # written after the model was settled, then kept
+    "amp": (f'<body class="amp-mode-mouse"><amp-sidebar id="sb"><ul><li><a href=/>Home</a></li></ul></amp-sidebar><main id="content" role="main"><h1>School</h1>{P}</main></body>', ["School", A, B]),
+    "shop": (f'<body class="template-article"><div id="shop-section-header"><a href=/>Shop</a></div><div class="page-container"><div class="rte">{P}</div></div><div id="shop-section-footer"><p>Quick links</p></div></body>', [A, B]),
+    "fields": (f'<body class="html not-front logged-in one-sidebar sidebar-first page-node"><div class="region region-content"><div class="node node-article"><div class="field-items"><div class="field-item even">{P}</div></div></div></div><div class="region region-sidebar-first"><h2>Menu</h2><ul><li><a href=/a>A</a></li></ul></div></body>', [A, B]),
+    "spans": (f'<div id="story"><span>{A}</span> <span>{B}</span></div>', [f"{A} {B}"]),
+    "definitions": (f"<main><h1>Terms</h1><dl><dt>River</dt><dd>{A}</dd><dt>Bridge</dt><dd>{C}</dd></dl></main>", ["Terms", "River", A, "Bridge", C]),
+    "cells of links": (f"<html><body bgcolor=#fff><table width=600><tr><td colspan=2><img src=l.gif></td></tr><tr><td valign=top><a href=1>One</a><br><a href=2>Two</a></td><td><font face=Arial>{A}<br><br>{B}</font></td></tr></table></body></html>", [f"{A} {B}"]),
+    "modal": (f'<body><div id="gdpr-modal" class="overlay"><h2>Your privacy</h2><p>We value it and use small files.</p></div><div class="l-page"><div class="l-main">{P}</div></div></body>', [A, B]),
+    "search in the header": (f'<body><header class="header-search"><form action=/s><input name=q><button>Go</button></form></header><div class="story-text">{P}</div></body>', [A, B]),
+    "paywall": (f'<article class="has-paywall">{P}<div class="paywall"><p>Subscribe to read on.</p></div></article>', [A, B]),
+    "contents inside": (f'<div class="markdown-body"><h1>Guide</h1><ul class="toc"><li><a href=#a>Start</a></li></ul>{P}</div>', ["Guide", A, B]),
 }
