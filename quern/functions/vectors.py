@@ -6,6 +6,8 @@ around by the optimizer.  Vectors of unlike lengths compare as null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +32,19 @@ def norm(v: Column | str) -> Column:
     return F.sqrt(total(F.transform(_doubles(v), lambda x: x * x)))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row: what a lambda function mentions of its
+    surroundings is otherwise computed again for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _divided(v: Column, n: Column, otherwise: Column) -> Column:
+    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(otherwise)
+
+
 def normalize(v: Column | str) -> Column:
     """v / |v|; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(_doubles(v), lambda x: x / n)).otherwise(_doubles(v))
+    return _once(_doubles(v), lambda x: _once(norm(x), lambda n: _divided(x, n, x)))
 
 
 def squared_l2(a: Column | str, b: Column | str) -> Column:
@@ -78,8 +89,7 @@ def fuse_directional(image: Column | str, text: Column | str, base: Column | str
     """
     t = _doubles(text)
     b = t if base is None else F.coalesce(_doubles(base), t)
-    step = minus(t, b)
-    direction = F.when(norm(step) > 0, normalize(step)).otherwise(t)
+    direction = _once(minus(t, b), lambda step: _once(norm(step), lambda n: _divided(step, n, t)))
     return normalize(weighted(image, direction, F.lit(1.0), F.lit(float(alpha))))
 
 

@@ -52,3 +52,16 @@ def test_knn_as_a_table_function(spark):
     assert "TakeOrderedAndProject" in found._jdf.queryExecution().executedPlan().toString()
     both = spark.sql("SELECT q.vec_id AS src, n.vec_id AS dst FROM near_index q, LATERAL near(q.v, 2) n WHERE q.vec_id = 3")
     assert sorted(r["dst"] for r in both.collect())[:1] and len(both.collect()) == 2
+
+
+def test_fusion_work_is_in_proportion_to_the_width(spark):
+    import time
+
+    x = np.random.default_rng(1).normal(size=(3, 40, 400))
+    df = spark.createDataFrame([(a, b, c) for a, b, c in zip(*x.tolist(), strict=True)], "a array<double>, b array<double>, c array<double>")
+    began = time.time()
+    got = np.array([r[0] for r in df.select(V.fuse_directional("a", "b", F.col("c"))).collect()])
+    assert time.time() - began < 20
+    step = x[1] - x[2]
+    want = x[0] + 0.7 * step / np.linalg.norm(step, axis=1, keepdims=True)
+    assert np.allclose(got, want / np.linalg.norm(want, axis=1, keepdims=True), atol=1e-12)
