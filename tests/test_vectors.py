@@ -65,3 +65,10 @@ def test_fusion_work_is_in_proportion_to_the_width(spark):
     step = x[1] - x[2]
     want = x[0] + 0.7 * step / np.linalg.norm(step, axis=1, keepdims=True)
     assert np.allclose(got, want / np.linalg.norm(want, axis=1, keepdims=True), atol=1e-12)
+
+
+def test_table_function_query_takes_one_row_against_all(spark, sf):
+    from quern.plans import queries as Q
+
+    plan = Q.queries()["knn_table_function"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "TakeOrderedAndProject" in plan
