@@ -42,6 +42,10 @@ def normalized_path(path: Column) -> Column:
     return F.regexp_replace(p, r"(?<=.)/+$", "")
 
 
+def as_given(path: Column) -> Column:
+    return path
+
+
 def new_files(found: DataFrame, known: DataFrame, key: str = "filename") -> DataFrame:
     """Files that are not in the catalog yet."""
     return found.join(known.select(key), key, "left_anti")
@@ -89,15 +93,18 @@ def rebased(known: DataFrame, old_root: str, new_root: str, found: DataFrame | N
     return rows.withColumn("status", status).drop("_taken", "_there")
 
 
-def lookup(known: DataFrame, queries: DataFrame, key: str = "filename", query: str = "query") -> DataFrame:
+def lookup(known: DataFrame, queries: DataFrame, key: str = "filename", query: str = "query", clean: Callable[[Column], Column] = normalized_path) -> DataFrame:
     """(query, match, kind): the row with the same path, else the only row with the same
-    file name, else none ("external")."""
+    file name, else none ("external").
+
+    Paths are compared as ``clean`` leaves them; of URLs, where a slash at the end counts, nothing
+    is to be cleaned (``as_given``)."""
     from quern.operators.export import basename
 
-    exact = known.select(F.col(key).alias("_path"), normalized_path(F.col(key)).alias("_exact")).dropDuplicates(["_exact"])
+    exact = known.select(F.col(key).alias("_path"), clean(F.col(key)).alias("_exact")).dropDuplicates(["_exact"])
     names = known.select(F.col(key).alias("_only"), F.lower(basename(F.col(key))).alias("_name"))
     only = names.groupBy("_name").agg(F.count(F.lit(1)).alias("_c"), F.min("_only").alias("_only")).where("_c = 1")
-    q = queries.select(query, normalized_path(F.col(query)).alias("_q"), F.lower(basename(normalized_path(F.col(query)))).alias("_b"))
+    q = queries.select(query, clean(F.col(query)).alias("_q"), F.lower(basename(clean(F.col(query)))).alias("_b"))
     both = q.join(exact, F.col("_q") == F.col("_exact"), "left").join(only, F.col("_b") == F.col("_name"), "left")
     kind = F.when(F.col("_path").isNotNull(), "exact").when(F.col("_only").isNotNull(), "name").otherwise("external")
     return both.select(query, F.coalesce("_path", "_only").alias("match"), kind.alias("kind"))

@@ -114,3 +114,10 @@ def test_find_what_is_not_in_the_catalog(spark, tmp_path):
         R.find(known, str(tmp_path / "q2.jpg"))
     with pytest.raises(LookupError):
         R.find(known, str(tmp_path / "none.jpg"), model=model)
+
+
+def test_lookup_of_urls_as_given(spark):
+    known = spark.createDataFrame([("http://a/x/1/",), ("http://b/2",), ("http://b/3/",)], "url string")
+    asked = spark.createDataFrame([("http://a/x/1",), ("http://c/2/",), ("http://b/3/",), ("http://c/2",)], "query string")
+    got = {r["query"]: (r["match"], r["kind"]) for r in S.lookup(known, asked, "url", clean=S.as_given).collect()}
+    assert got == {"http://a/x/1": (None, "external"), "http://c/2/": (None, "external"), "http://b/3/": ("http://b/3/", "exact"), "http://c/2": ("http://b/2", "name")}
