@@ -104,3 +104,20 @@ def test_stages_go_at_the_end_of_their_scope(spark):
         path = inner.inputFiles()[0].removeprefix("file://")
         assert os.path.exists(path) and inner.count() == 4
     assert not os.path.exists(path) and outer.count() == 3
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_stream_of_a_table_that_is_a_file_or_a_folder(spark, tmp_path, folder):
+    import pandas as pd
+
+    from quern.plans import queries as Q
+
+    at = tmp_path / "pages.parquet"
+    if folder:
+        at.mkdir()
+    rows = [(i, f"u{i % 7}", "") for i in range(20)]
+    for k in (0, 1) if folder else (0,):
+        part = rows[k::2] if folder else rows
+        pd.DataFrame(part, columns=["page_id", "url", "html"]).to_parquet(at / f"part-{k}.parquet" if folder else at)
+    got = {r["url"]: r["page_id"] for r in Q.queries()["stream_ingest"](spark, str(tmp_path)).collect()}
+    assert got == {u: max(i for i, v, _ in rows if v == u) for u in {u for _, u, _ in rows}}
