@@ -24,6 +24,12 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """Half away from zero; what is rounded to zero keeps its sign, as it does in SQL engines on
+    IEEE numbers."""
+    return F.when(x > 0, F.round(x, places)).when(x < 0, -F.round(-x, places)).otherwise(x)
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return total(F.zip_with(_doubles(a), _doubles(b), lambda x, y: x * y))
 

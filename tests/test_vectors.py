@@ -72,3 +72,24 @@ def test_table_function_query_takes_one_row_against_all(spark, sf):
 
     plan = Q.queries()["knn_table_function"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "TakeOrderedAndProject" in plan
+
+
+def test_rounding_to_zero_keeps_the_sign(spark):
+    x = [-4e-7, 4e-7, -0.0, 0.0, -1.25e-6, 2.5e-6, None]
+    df = spark.createDataFrame([(x,)], "x array<double>")
+    got = df.select(F.transform("x", lambda z: V.rounded(z))).first()[0]
+    assert [str(v) for v in got] == ["-0.0", "0.0", "-0.0", "0.0", "-1e-06", "3e-06", "None"]
+
+
+def test_fused_zeros_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from quern.plans import queries as Q
+
+    x = [[-1e-7] + [1.0] * 63, [-2e-7] + [1.0] * 63]
+    spark.createDataFrame([(i, v, 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = Q.queries()["fuse_simple"](spark, str(tmp_path)).first()["fused"]
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = c.execute(Q.oracle_sql()["fuse_simple"]).fetchone()[1]
+    assert list(map(str, got)) == list(map(str, want)) and str(got[0]) == "-0.0"
