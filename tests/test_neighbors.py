@@ -130,3 +130,22 @@ def test_fewer_rows_than_asked(spark):
     x = clustered(7)
     assert N.knn_join(frame(spark, x), 20, broadcast_bytes=0).count() == 42
     assert N.knn_join(frame(spark, x[:0]), 20, broadcast_bytes=0).count() == 0
+
+
+def test_kernels_by_stretches_hold_no_more_than_a_step(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    x, ids = rng.normal(size=(30_000, 4)), rng.permutation(30_000).astype(np.int64)
+    whole = np.linalg.norm(x[:50, None] - x[None], axis=2)
+    tracemalloc.start()
+    src, dst, dist = N._nearest(ids[:2000], x[:2000], ids, x, 3)
+    found = [(s, t) for s, t, _ in N._within(ids[:50], x[:50], ids, x, 0.5, False)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # a step held 8 M numbers, several times over
+    for i in range(50):
+        order = [j for j in np.lexsort((ids, whole[i])) if j != i][:3]
+        assert dst[src == ids[i]].tolist() == ids[order].tolist()
+    want = {(ids[i], ids[j]) for i, j in zip(*np.nonzero(whole < 0.5), strict=True) if i != j}
+    assert {p for s, t in found for p in zip(s.tolist(), t.tolist(), strict=True)} == want and len(found) > 1
