@@ -149,3 +149,16 @@ def test_kernels_by_stretches_hold_no_more_than_a_step(monkeypatch):
         assert dst[src == ids[i]].tolist() == ids[order].tolist()
     want = {(ids[i], ids[j]) for i, j in zip(*np.nonzero(whole < 0.5), strict=True) if i != j}
     assert {p for s, t in found for p in zip(s.tolist(), t.tolist(), strict=True)} == want and len(found) > 1
+
+
+def test_a_cell_passes_its_pairs_on_step_by_step(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK_BYTES", 20 * 3 * 8)
+
+    def steps(qi, q, bi, b):
+        for at in range(0, len(q), 7):
+            src, dst = (z.ravel() for z in np.meshgrid(qi[at : at + 7], bi, indexing="ij"))
+            yield src, dst, np.zeros(len(src))
+
+    x = np.random.default_rng(7).normal(size=(60, 3))
+    found = P.eps_pairs(N._rows(frame(spark, x), "vec_id", "embedding"), 60, 60 * 32, 100.0, steps)[0]
+    assert sorted((r["src"], r["dst"]) for r in found.collect()) == [(i, j) for i in range(60) for j in range(60)]
