@@ -107,3 +107,15 @@ def test_pca_whitening(spark):
     rows = C.pca_whiten(frame(spark, x), 3).orderBy("vec_id").collect()
     y = np.array([r["embedding"] for r in rows])
     assert np.allclose(np.cov(y.T), np.eye(3), atol=1e-3) and np.allclose(y.mean(axis=0), 0, atol=1e-4)
+
+
+@pytest.mark.parametrize("eps,size", [(0.0, 3), (0.0, 2), (0.9, 4), (0.35, 5)])
+def test_optics_by_edges_is_that_by_all_distances(spark, blobs, eps, size):
+    from quern.operators import kernels
+
+    rng = np.random.default_rng(8)
+    for x in (rng.normal(size=(80, 3)), np.vstack([c + 0.1 * rng.normal(size=(25, 3)) for c in np.eye(3)])):
+        df = frame(spark, x)
+        label = kernels.optics(x.astype(np.float32).astype(float), size, eps or np.inf)
+        want = sorted(np.flatnonzero(label == c).tolist() for c in set(label.tolist()) - {-1})
+        assert partition(C.optics(df, eps, size).collect()) == want
