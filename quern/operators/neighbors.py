@@ -4,13 +4,15 @@ Distances are Euclidean, in double precision.  Joins over all pairs run as Arrow
 a base that is measured to fit ``BROADCAST_BYTES`` is broadcast as one matrix and every
 task compares its own rows with it; a larger base is cut in the blocks of a pivot index, and
 only pairs of blocks that the triangle inequality leaves possible are compared, each in one
-task, so neither side ever has to fit one machine.  Candidates found by the fast product are
-measured again by direct differences.
+task, so neither side ever has to fit one machine.  Candidates are found by a product in single
+precision, with a slack for its rounding, and measured again by direct differences, a few thousand
+pairs at a time, so a task's memory does not depend on how many pairs are close.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,9 @@ from quern.operators.pivots import matrix
 BROADCAST_BYTES = 64 << 20
 #: Numbers in the matrix product of one step, and rows of the base that one step compares.
 STEP_CELLS, STEP_BASE = 1 << 20, 1 << 13
+#: Pairs that are measured again at once, and the share of a step's pairs from which on they are
+#: screened once more before that.
+AGAIN, MANY = 1 << 12, 1 / 32
 
 
 def _step(n: int) -> int:
@@ -33,6 +38,7 @@ def _step(n: int) -> int:
 
 
 _EPS = np.finfo(np.float64).eps
+_FAR = float(np.finfo(np.float32).max)
 
 
 def _products(x: np.ndarray, b: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,42 +54,105 @@ def _centred(q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, floa
     return q - centre, b - centre, 4 * _EPS * float(max(np.abs(b).max(initial=0), np.abs(q).max(initial=0)))
 
 
-def _nearest(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class _Screen:
+    """Both sides in single precision, such that one product gives squared distances over
+    ``unit``: how far each may be off (``slack``), and how far centring moves a coordinate."""
+
+    left: np.ndarray
+    right: np.ndarray
+    unit: float
+    slack: float
+    moved: float
+
+    def far(self, at: slice) -> np.ndarray:
+        return self.left[at] @ self.right
+
+
+def _screen(q: np.ndarray, b: np.ndarray) -> _Screen:
+    qc, bc, moved = _centred(q, b)
+    own, norms, d = (qc * qc).sum(axis=1), (bc * bc).sum(axis=1), q.shape[1]
+    lengths = np.concatenate((own, norms))
+    unit = float(lengths[np.isfinite(lengths)].max(initial=0)) or 1.0
+    one, root = np.ones((len(qc), 1)), np.sqrt(unit)
+    left = np.hstack((qc * (-2 / root), one, own[:, None] / unit)).astype(np.float32)
+    right = np.vstack((bc.T / root, norms / unit, np.ones(len(bc)))).astype(np.float32)
+    return _Screen(left, right, unit, 8 * (d + 8) * 2.0**-24, moved)
+
+
+def _again(x: np.ndarray, r: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distances of x[r] to b[c] by direct differences, for a bounded number of pairs at once."""
+    out = np.empty(len(r))
+    for at in range(0, len(r), AGAIN):
+        here = slice(at, at + AGAIN)
+        out[here] = np.sqrt(((x[r[here]] - b[c[here]]) ** 2).sum(axis=1))
+    return out
+
+
+def _nearest(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, k: int, worst: np.ndarray | None = None) -> P.Found:
     """Rows (src, dst, dist) of the k nearest of b to each of q; ties by dst, self left out.
 
-    The base is taken in stretches, each merged with the k best so far."""
-    best = _nearest_in(qi, q, bi[:STEP_BASE], b[:STEP_BASE], k)
+    The base is taken in stretches, each merged with the k best so far; what is farther than the
+    k-th of these, or than ``worst``, is not looked for."""
+    worst = np.full(len(q), np.inf) if worst is None else worst
+    found = _nearest_in(qi, q, bi[:STEP_BASE], b[:STEP_BASE], k, worst)
+    best = found[0][:0], found[1][:0], found[2][:0]
     for at in range(STEP_BASE, len(b), STEP_BASE):
-        more = _nearest_in(qi, q, bi[at : at + STEP_BASE], b[at : at + STEP_BASE], k)
-        src, dst, dist = (np.concatenate(z) for z in zip(best, more, strict=True))
+        src, dst, dist = (np.concatenate(z) for z in zip(best, found, strict=True))
         order = np.lexsort((dst, dist, src))
         src = src[order]
-        keep = np.arange(len(src)) - np.searchsorted(src, src) < k
+        place = np.arange(len(src)) - np.searchsorted(src, src)
+        keep = place < k
         best = src[keep], dst[order[keep]], dist[order[keep]]
-    return best
-
-
-def _nearest_in(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        full, last = src[place == k - 1], dist[order[place == k - 1]]
+        if len(full):
+            i = np.minimum(np.searchsorted(full, qi), len(full) - 1)
+            worst = np.where(full[i] == qi, np.minimum(worst, last[i]), worst)
+        found = _nearest_in(qi, q, bi[at : at + STEP_BASE], b[at : at + STEP_BASE], k, worst)
+    if len(b) <= STEP_BASE:
+        return found
+    src, dst, dist = (np.concatenate(z) for z in zip(best, found, strict=True))
+    order = np.lexsort((dst, dist, src))
+    order = order[np.arange(len(src)) - np.searchsorted(src[order], src[order]) < k]
+    return src[order], dst[order], dist[order]
+
+
+def _nearest_in(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, k: int, worst: np.ndarray) -> P.Found:
     if not len(q) or not len(b) or k <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     out = []
-    qc, bc, moved = _centred(q, b)
-    norms = (bc * bc).sum(axis=1)
-    step = _step(len(b))
+    screen, exact = _screen(q, b), None
+    by_id = np.argsort(bi, kind="stable")
+    first, past = np.searchsorted(bi[by_id], qi), np.searchsorted(bi[by_id], qi, "right")
+    step, take = _step(len(b)), min(k, len(b))
+    loose = 8 * screen.moved * np.sqrt(q.shape[1])
     for at in range(0, len(q), step):
-        x, xi = q[at : at + step], qi[at : at + step]
-        d2, slack = _products(qc[at : at + step], bc, norms)
-        d2[xi[:, None] == bi[None, :]] = np.inf
-        take = min(k, len(b))
-        bound = np.partition(d2, take - 1, axis=1)[:, take - 1]
-        far = np.sqrt(np.maximum(np.where(np.isfinite(bound), bound, 0), 0)) + moved
-        slack = 2 * slack + 8 * moved * np.sqrt(q.shape[1]) * far
-        r, c = np.nonzero((d2 <= (bound + slack)[:, None]) & np.isfinite(d2))
-        dist = np.sqrt(((x[r] - b[c]) ** 2).sum(axis=1))
+        here = slice(at, at + step)
+        x, xi, reach = q[here], qi[here], worst[here]
+        d2 = screen.far(here)
+        for i in np.flatnonzero(past[here] > first[here]).tolist():
+            d2[i, by_id[first[at + i] : past[at + i]]] = np.inf
+        most = np.where(np.isfinite(reach), reach, 0)
+        limit = np.where(np.isfinite(reach), np.minimum((most * most + loose * (most + screen.moved)) / screen.unit + screen.slack, _FAR), _FAR)
+        close = d2 <= limit.astype(np.float32)[:, None]
+        if np.count_nonzero(close) > MANY * d2.size:
+            bound = np.partition(d2, take - 1, axis=1)[:, take - 1].astype(np.float64)
+            near = np.sqrt(np.maximum(np.where(np.isfinite(bound), bound, 0), 0) * screen.unit) + screen.moved
+            close &= d2 <= np.minimum(bound + 2 * screen.slack + loose * near / screen.unit, _FAR).astype(np.float32)[:, None]
+        if np.count_nonzero(close) > MANY * d2.size:  # near copies, too close for single precision
+            if exact is None:
+                exact = _centred(q, b)
+                norms = (exact[1] ** 2).sum(axis=1)
+            fine, slack = _products(exact[0][here], exact[1], norms)
+            fine[~close] = np.inf
+            bound = np.partition(fine, take - 1, axis=1)[:, take - 1]
+            near = np.sqrt(np.maximum(np.where(np.isfinite(bound), bound, 0), 0)) + screen.moved
+            close = (fine <= (bound + 2 * slack + loose * near)[:, None]) & np.isfinite(fine)
+        r, c = np.divmod(np.flatnonzero(close), len(b))
+        dist = _again(x, r, b, c)
         order = np.lexsort((bi[c], dist, r))
         r, c, dist = r[order], c[order], dist[order]
-        rank = np.arange(len(r)) - np.searchsorted(r, r)
-        keep = rank < k
+        keep = (np.arange(len(r)) - np.searchsorted(r, r) < k) & (dist <= reach[r])
         out.append((xi[r[keep]], bi[c[keep]], dist[keep]))
     return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
@@ -97,16 +166,14 @@ def _within(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, eps: f
 def _within_in(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, eps: float, inclusive: bool) -> Iterator[P.Found]:
     if not len(q) or not len(b):
         return
-    qc, bc, moved = _centred(q, b)
-    norms = (bc * bc).sum(axis=1)
-    step = _step(len(b))
+    screen, step = _screen(q, b), _step(len(b))
+    loose = 8 * screen.moved * np.sqrt(q.shape[1]) * (eps + screen.moved) + 4 * _EPS * eps * eps
+    limit = np.float32(min((eps * eps + loose) / screen.unit + screen.slack, _FAR))
     for at in range(0, len(q), step):
         x, xi = q[at : at + step], qi[at : at + step]
-        d2, slack = _products(qc[at : at + step], bc, norms)
-        slack = slack + 8 * moved * np.sqrt(q.shape[1]) * (eps + moved) + 4 * _EPS * eps * eps
-        r, c = np.nonzero((d2 <= (eps * eps + slack)[:, None]) & (xi[:, None] != bi[None, :]))
-        dist = np.sqrt(((x[r] - b[c]) ** 2).sum(axis=1))
-        keep = dist <= eps if inclusive else dist < eps
+        r, c = np.divmod(np.flatnonzero(screen.far(slice(at, at + step)) <= limit), len(b))
+        dist = _again(x, r, b, c)
+        keep = (dist <= eps if inclusive else dist < eps) & (xi[r] != bi[c])
         yield xi[r[keep]], bi[c[keep]], dist[keep]
 
 
@@ -161,10 +228,7 @@ def knn_pruned(queries: DataFrame, base: DataFrame, k: int) -> tuple[DataFrame,
     many of them were visited."""
 
     def kernel(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, worst: np.ndarray) -> P.Found:
-        src, dst, dist = _nearest(qi, q, bi, b, k)
-        order = np.argsort(qi, kind="stable")
-        keep = dist <= worst[order][np.searchsorted(qi[order], src)]
-        return src[keep], dst[keep], dist[keep]
+        return _nearest(qi, q, bi, b, k, worst)
 
     found, report = P.search(queries.withColumn("own", F.lit(0.0)), base, k, kernel)
     return found.withColumnRenamed("key", "dist"), report

@@ -162,3 +162,55 @@ def test_a_cell_passes_its_pairs_on_step_by_step(spark, monkeypatch):
     x = np.random.default_rng(7).normal(size=(60, 3))
     found = P.eps_pairs(N._rows(frame(spark, x), "vec_id", "embedding"), 60, 60 * 32, 100.0, steps)[0]
     assert sorted((r["src"], r["dst"]) for r in found.collect()) == [(i, j) for i in range(60) for j in range(60)]
+
+
+def _peak(run) -> int:
+    import tracemalloc
+
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+@pytest.mark.parametrize("spread", [0, 1e-9])
+def test_copies_take_no_more_memory_than_other_rows(spread):
+    n, d = 8192, 64
+    x, ids = 0.1 + np.random.default_rng(5).normal(0, 1, (n, d)) * spread, np.arange(n)
+    assert _peak(lambda: [len(s) for s, _, _ in N._within(ids[:256], x[:256], ids, x, 1.15, False)]) < 200 << 20  # 1 GB: all differences of a step's pairs
+    assert _peak(lambda: N._nearest(ids[:256], x[:256], ids, x, 10)) < 200 << 20
+    src, dst, _ = N._nearest(ids[:5], x[:5], ids, x, 10)
+    near = np.sqrt(((x[:5, None] - x[None]) ** 2).sum(axis=2))
+    near[np.arange(5), np.arange(5)] = np.inf
+    assert dst.reshape(5, 10).tolist() == [np.lexsort((ids, row))[:10].tolist() for row in near]
+
+
+def _hard_rows() -> dict[str, np.ndarray]:
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 5))
+    mixed = x.copy()
+    mixed[:400], mixed[400:600], mixed[600] = x[0], x[0] + rng.normal(size=(200, 5)) * 1e-7, 1e6
+    return {"plain": x, "copies, near copies and one far off": mixed, "all alike": x * 0, "far from zero": 1e8 + x * 1e-3, "tiny": x * 1e-170, "huge": x * 1e150, "ties": np.round(x * 2), "ever nearer": np.sort(x, axis=0)[::-1].copy()}
+
+
+@pytest.mark.parametrize("name", list(_hard_rows()))
+def test_screening_in_single_precision_loses_nothing(monkeypatch, name):
+    monkeypatch.setattr(N, "STEP_BASE", 256)
+    x, ids = _hard_rows()[name], np.random.default_rng(2).permutation(900)
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    own = dist + np.diag(np.full(900, np.inf))
+    want = [(ids[i], ids[j], own[i, j]) for i in range(900) for j in np.lexsort((ids, own[i]))[:7]]
+    found = N._nearest(ids, x, ids, x, 7)
+    assert sorted(zip(*(z.tolist() for z in found), strict=True)) == sorted(want)
+    limit = float(np.median(np.sort(own, axis=1)[:, 5])) or 1e-3
+    close = [(s, t) for src, dst, _ in N._within(ids, x, ids, x, limit, True) for s, t in zip(src.tolist(), dst.tolist(), strict=True)]
+    assert sorted(close) == sorted((ids[i], ids[j]) for i, j in zip(*np.nonzero(own <= limit), strict=True))
+
+
+def test_search_by_blocks_with_a_bound_keeps_ties():
+    x, ids = np.repeat(np.arange(6.0), 50)[:, None], np.arange(300)
+    worst = np.full(300, 1.0)
+    src, dst, dist = N._nearest(ids, x, ids, x, 60, worst)
+    assert dist.max() == 1.0 and np.bincount(src).tolist() == [60] * 300
+    assert len(N._nearest(ids, x, ids, x, 60, np.zeros(300))[0]) == 300 * 49
