@@ -163,38 +163,71 @@ def _within(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, eps: f
         yield from _within_in(qi, q, bi[at : at + STEP_BASE], b[at : at + STEP_BASE], eps, inclusive)
 
 
-def _within_in(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, eps: float, inclusive: bool) -> Iterator[P.Found]:
+def _close_in(q: np.ndarray, b: np.ndarray, eps: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(at, r, c), step by step: candidates q[at + r], b[c] for being within eps, by the screen."""
     if not len(q) or not len(b):
         return
     screen, step = _screen(q, b), _step(len(b))
     loose = 8 * screen.moved * np.sqrt(q.shape[1]) * (eps + screen.moved) + 4 * _EPS * eps * eps
     limit = np.float32(min((eps * eps + loose) / screen.unit + screen.slack, _FAR))
     for at in range(0, len(q), step):
-        x, xi = q[at : at + step], qi[at : at + step]
-        r, c = np.divmod(np.flatnonzero(screen.far(slice(at, at + step)) <= limit), len(b))
-        dist = _again(x, r, b, c)
-        keep = (dist <= eps if inclusive else dist < eps) & (xi[r] != bi[c])
-        yield xi[r[keep]], bi[c[keep]], dist[keep]
+        yield at, *np.divmod(np.flatnonzero(screen.far(slice(at, at + step)) <= limit), len(b))
 
 
-def _broadcast(queries: DataFrame, base: DataFrame, kernel: Callable[..., P.Found | Iterator[P.Found]]) -> DataFrame:
-    """Runs kernel(qi, q, bi, b) over all of queries x a small base; (src, dst, dist).
+def _within_in(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, eps: float, inclusive: bool) -> Iterator[P.Found]:
+    for at, r, c in _close_in(q, b, eps):
+        r = r + at
+        dist = _again(q, r, b, c)
+        keep = (dist <= eps if inclusive else dist < eps) & (qi[r] != bi[c])
+        yield qi[r[keep]], bi[c[keep]], dist[keep]
+
+
+def _links(qi: np.ndarray, q: np.ndarray, bi: np.ndarray, b: np.ndarray, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(src, dst): a forest with the components of the pairs closer than eps.  Pairs that are
+    linked already are not measured."""
+    names, place = np.unique(np.concatenate((qi, bi)), return_inverse=True)
+    mine, other, to = place[: len(qi)], place[len(qi) :], np.arange(len(names))
+    for low in range(0, len(b), STEP_BASE):
+        y, there = b[low : low + STEP_BASE], other[low : low + STEP_BASE]
+        for at, r, c in _close_in(q, y, eps):
+            r = r + at
+            new = to[mine[r]] != to[there[c]]
+            r, c = r[new], c[new]
+            near = _again(q, r, y, c) < eps
+            one, two = mine[r[near]], there[c[near]]
+            while (to[one] != to[two]).any():
+                least = np.minimum(to[one], to[two])
+                np.minimum.at(to, to[one], least)
+                np.minimum.at(to, to[two], least)
+                while (to[to] != to).any():
+                    to = to[to]
+    moved = np.flatnonzero(to != np.arange(len(names)))
+    yield names[moved], names[to[moved]]
+
+
+PAIRS = "src long, dst long, dist double"
+
+
+def _broadcast(queries: DataFrame, base: DataFrame, kernel: Callable[..., P.Found | Iterator[P.Found]], schema: str = PAIRS) -> DataFrame:
+    """Runs kernel(qi, q, bi, b) over all of queries x a small base; (src, dst, dist), or as the
+    schema says.
 
     A kernel may give what it finds in steps, which are passed on one by one."""
     whole = base.toArrow()
     shared = queries.sparkSession.sparkContext.broadcast((whole.column("id").to_numpy(), matrix(whole.column("v"))))
+    names = [field.split()[0] for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bi, b = shared.value
         for batch in batches:
             if batch.num_rows:
                 found = kernel(batch.column(0).to_numpy(), matrix(batch.column(1)), bi, b)
-                for src, dst, dist in [found] if isinstance(found, tuple) else found:
-                    if len(src):
-                        yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(dist, pa.float64())], names=["src", "dst", "dist"])
+                for columns in [found] if isinstance(found, tuple) else found:
+                    if len(columns[0]):
+                        yield pa.record_batch([pa.array(z) for z in columns], names=names)
 
     parts = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return queries.repartition(parts, "id").mapInArrow(run, "src long, dst long, dist double")
+    return queries.repartition(parts, "id").mapInArrow(run, schema)
 
 
 def _measure(base: DataFrame) -> tuple[int, int]:
@@ -204,7 +237,9 @@ def _measure(base: DataFrame) -> tuple[int, int]:
 
 
 def _rows(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    """Rows (id, v); vectors of floats stay so until a task compares them, at half the bytes."""
+    v = F.col(vector) if df.schema[vector].dataType.simpleString() == "array<float>" else F.col(vector).cast("array<double>")
+    return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
 
 
 def knn_join(df: DataFrame, k: int, queries: DataFrame | None = None, id_col: str = "vec_id", vector: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -244,6 +279,20 @@ def eps_join(df: DataFrame, eps: float, inclusive: bool = False, id_col: str = "
     return eps_pruned(base, eps, inclusive)[0]
 
 
+def eps_links(df: DataFrame, eps: float, id_col: str = "vec_id", vector: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(src, dst): edges with the components of all pairs closer than ``eps``.
+
+    A task gives a forest of the pairs it compares, so no more edges than it has rows."""
+    base = _rows(df, id_col, vector)
+    if eps <= 0:
+        return base.sparkSession.createDataFrame([], "src long, dst long")
+    n, size = _measure(base)
+    kernel = lambda qi, q, bi, b: _links(qi, q, bi, b, eps)
+    if size <= broadcast_bytes:
+        return _broadcast(base, base, kernel, "src long, dst long")
+    return P.eps_pairs(base, n, size, eps, kernel, "src long, dst long")[0]
+
+
 def eps_pruned(base: DataFrame, eps: float, inclusive: bool = False) -> tuple[DataFrame, dict[str, int]]:
     """(src, dst, dist) by the pivot index, from rows (id, v); and its pairs of blocks and how
     many of them were visited."""

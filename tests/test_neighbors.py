@@ -214,3 +214,20 @@ def test_search_by_blocks_with_a_bound_keeps_ties():
     src, dst, dist = N._nearest(ids, x, ids, x, 60, worst)
     assert dist.max() == 1.0 and np.bincount(src).tolist() == [60] * 300
     assert len(N._nearest(ids, x, ids, x, 60, np.zeros(300))[0]) == 300 * 49
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 26, 0])
+def test_links_have_the_components_of_all_pairs_and_few_edges(spark, broadcast_bytes, monkeypatch):
+    from quern.operators.graph import connected_components
+
+    monkeypatch.setattr("quern.operators.pivots.BLOCK_BYTES", 2048)
+    x = np.vstack((np.random.default_rng(3).normal(size=(150, 2)), np.full((50, 2), 9.0), np.full((1, 2), 9.5)))
+    df = frame(spark, x).repartition(3)
+    for eps in (0.25, 0.5):
+        parts = lambda e: {(r["node"], r["component"]) for r in connected_components(e).collect()}
+        links = N.eps_links(df, eps, broadcast_bytes=broadcast_bytes)
+        every = N.eps_join(df, eps)
+        assert parts(links) == parts(every)
+        tasks = 4 if broadcast_bytes else 400
+        assert links.count() < min(every.count(), tasks * 201)
+    assert N.eps_links(df, 0).count() == 0
